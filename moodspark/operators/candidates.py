@@ -63,6 +63,7 @@ def clean_candidates(df: DataFrame, profile: str, source_order: list[str] = voca
 
     Items without a title are dropped, and those without an address unless the source can make one;
     activities also need a title of more than five characters. MUSIC_RAW keeps titles and texts as they come.
+    Rows that the catalogue's columns cannot hold are dropped one by one.
     """
     category = "MUSIC" if profile == "MUSIC_RAW" else profile
     placed = df.withColumn("source", F.lit(category)).withColumn("ord", harvest_order(source_order))
@@ -77,7 +78,13 @@ def clean_candidates(df: DataFrame, profile: str, source_order: list[str] = voca
         if profile == "ACTIVITY":
             placed = placed.where(F.length(java_trim("title")) > vocab.SHORT_TITLE)
         rows = _shape(placed, profile)
-    return rows.withColumns({
+    fits = (
+        (F.length("title") <= vocab.TITLE_LIMIT)
+        & F.col("description").isNotNull()
+        & (F.coalesce(F.length("image_url"), F.lit(0)) <= vocab.URL_LIMIT)
+        & (F.length("content_url") <= vocab.URL_LIMIT)
+    )
+    return rows.where(fits).withColumns({
         "category": F.lit(category),
         "stored_key": title_key("title"),
     }).select(*CLEAN)

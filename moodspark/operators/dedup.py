@@ -30,7 +30,7 @@ def _without_known(rows: DataFrame, catalogue: DataFrame, floor: int) -> DataFra
     return salted_join(fresh, titles, ["emotion", "probe_key"], "left_anti", ["ord"], floor=floor)
 
 
-def _savable(rows: DataFrame) -> DataFrame:
+def _savable(rows: DataFrame, floor: int) -> DataFrame:
     """Undecided rows that nothing undecided before them can exclude.
 
     They come first among their address and no earlier row stores the title they look for. A title within the
@@ -42,10 +42,11 @@ def _savable(rows: DataFrame) -> DataFrame:
     leading = rows.join(first_url, "ord", "left_semi")
     usual = leading.where("stored_key = probe_key").join(titles.select("ord"), "ord", "left_semi")
     earlier = titles.select("emotion", F.col("stored_key").alias("probe_key"), F.col("ord").alias("_before"))
-    long = leading.where("stored_key <> probe_key").join(earlier, ["emotion", "probe_key"], "left").where(
+    long = leading.where("stored_key <> probe_key")
+    long = salted_join(long, earlier, ["emotion", "probe_key"], "left", ["ord"], floor=floor).where(
         F.col("_before").isNull() | (F.col("_before") >= F.col("ord"))
-    ).drop("_before")
-    return usual.unionByName(long)
+    )
+    return usual.unionByName(long.drop("_before"))
 
 
 def _not_excluded(rows: DataFrame, saved: DataFrame, floor: int) -> DataFrame:
@@ -64,12 +65,13 @@ def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int
     saved ones exclude, until all are decided. Rounds work on the few columns that decide and write their
     result to the shared folder. A repeat of mood, address and title never matters and goes first.
     """
+    candidates = cut_lineage(candidates)
     narrow = candidates.select(*_NARROW)
     single = keep_first(narrow, ["emotion", "content_url", "probe_key"], [F.col("ord")])
     undecided = cut_lineage(_without_known(single, catalogue, floor))
     saved = []
     while not undecided.isEmpty():
-        savable = cut_lineage(_savable(undecided))
+        savable = cut_lineage(_savable(undecided, floor))
         saved.append(savable.select("ord"))
         undecided = cut_lineage(_not_excluded(undecided, savable, floor))
     if not saved:

@@ -29,8 +29,8 @@ def until_next(opening: str) -> str:
 class PageProfile:
     """Where the items of a kind of result page are.
 
-    `block` finds an item, the others look inside it: `link` the opening tag with the address, `title`,
-    `author` and `description` elements whose group 1 is the text, `image` an opening tag.
+    `block` finds an item, the others look inside it, each with a group for what it wants: `link` and `image`
+    the opening tag, `title`, `author` and `description` the markup of the text.
     """
 
     source: str
@@ -40,38 +40,52 @@ class PageProfile:
     author: str | None = None
     description: str | None = None
     image: str | None = None
+    author_group: int = 1
+    description_group: int = 1
 
 
+def _titled_link(css_class: str) -> str:
+    """Up to the title link of a block: the first link of a title box, else a link with the class."""
+    return rf"(?s)(?:^<div\b(?:[^<]++|<(?!a\b))*+|(?={tag('a', css_class)}))"
+
+
+# An element's own class may be one of several; a title span must not be the category label.
+_NO_LABEL = r"span\b(?![^>]*\bprod_category\b)"
+
 BOOK_PAGE = PageProfile(
     source="BOOK",
     block=until_next(tag("div", "prod_area")),
-    link=tag("a", "prod_info"),
-    title=rf"(?s){tag('a', 'prod_info')}(?:(?!</a>).)*?<span\b(?![^>]*\bprod_category\b)[^>]*>(.*?)</span>",
-    author=inside(tag(r"\w+", "author"), r"\w+"),
-    description=inside(tag(r"\w+", "(?:desc|desc_area)"), r"\w+"),
+    link=f"({tag('a', 'prod_info')})",
+    title=rf"(?s){tag('a', 'prod_info')}(?:[^<]++|<(?!/a>|{_NO_LABEL}))*+<span\b[^>]*>(.*?)</span>",
+    author=rf"(?s){tag(r'(\w+)', 'author')}(.*?)</\1>",
+    description=rf"(?s){tag(r'(\w+)', '(?:desc|desc_area)')}(.*?)</\1>",
     image=rf"(?s){tag(r'\w+', 'img_box')}.*?({tag('img')})",
+    author_group=2,
+    description_group=2,
 )
 MOVIE_PAGE = PageProfile(
     source="MOVIE",
     block=rf"(?s){tag('li')}(?:(?!</li>).)*+</li>|{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>",
-    link=rf"{tag('a', 'link_txt')}|(?<=info_tit.{{0,200}}){tag('a')}",
-    title=rf"(?s)(?:{tag('a', 'link_txt')}|^<div\b[^>]*>(?:(?!<a\b).)*+{tag('a')})(.*?)</a>",
+    link=rf"{_titled_link('link_txt')}(<a\b[^>]*>)",
+    title=rf"{_titled_link('link_txt')}<a\b[^>]*>(.*?)</a>",
     description=inside(tag("p", "desc"), "p"),
     image=f"({tag('img')})",
 )
+_BOX = tag("div", "wrap_cont")
 ACTIVITY_PAGE = PageProfile(
     source="ACTIVITY",
-    block=rf"(?s){tag('li')}(?:(?!</li>).)*+</li>|{tag('div', 'wrap_cont')}(?:(?!{tag('div', 'wrap_cont')}).)*+",
-    link=tag("a", "(?:link_txt|f_link_b)"),
+    block=rf"(?s){tag('li')}(?:(?!</li>).)*+</li>|{_BOX}(?:(?!{_BOX}|<li\b).)*+",
+    link=f"({tag('a', '(?:link_txt|f_link_b)')})",
     title=inside(tag("a", "(?:link_txt|f_link_b)"), "a"),
-    description=rf"(?s)<(?:p|div)\b[^>]*\bclass=[\"'](?:[^\"']*\s)?desc(?:\s[^\"']*)?[\"'][^>]*>(.*?)</(?:p|div)>",
+    description=rf"(?s){tag('(p|div)', 'desc')}(.*?)</\1>",
     image=f"({tag('img')})",
+    description_group=2,
 )
 # Any page: every plain link is an item.
 LINK_PAGE = PageProfile(
     source="ACTIVITY",
     block=r'<a href="[^"]*">[^<]*</a>',
-    link=r'<a href="[^"]*">',
+    link=r'(<a href="[^"]*">)',
     title=r"<a [^>]*>([^<]*)</a>",
 )
 
@@ -97,10 +111,10 @@ def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
     ).alias("pos", "block"))
     block = F.col("block")
 
-    def text(pattern: str | None) -> Column:
-        return F.lit(None).cast("string") if pattern is None else page_text(_first(block, pattern, 1))
+    def text(pattern: str | None, group: int = 1) -> Column:
+        return F.lit(None).cast("string") if pattern is None else page_text(_first(block, pattern, group))
 
-    link = _first(block, profile.link, 0)
+    link = _first(block, profile.link, 1)
     found = blocks.withColumn("_href", java_trim(page_text(_attribute(link, "href"))))
     if profile.image is None:
         image = F.lit(None).cast("string")
@@ -112,8 +126,8 @@ def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
         *[c for c in kept if c != "url"], F.col("url").alias("page_url"), "pos",
         F.lit(profile.source).alias("source"),
         text(profile.title).alias("title"),
-        text(profile.author).alias("author"),
-        text(profile.description).alias("description"),
+        text(profile.author, profile.author_group).alias("author"),
+        text(profile.description, profile.description_group).alias("description"),
         image.alias("image_url"),
         absolute_url("url", F.col("_href")).alias("content_url"),
     )

@@ -61,7 +61,7 @@ SEARCH_ADDRESS = {
 }
 
 # Column widths of the catalogue and snippet lengths of the sources.
-TITLE_LIMIT, DESCRIPTION_LIMIT = 200, 1000
+TITLE_LIMIT, DESCRIPTION_LIMIT, URL_LIMIT = 200, 1000, 500
 BOOK_SNIPPET, MOVIE_SNIPPET, ACTIVITY_SNIPPET = 100, 100, 80
 SHORT_TITLE = 5
 
