@@ -25,6 +25,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def java_trim(c) -> Column:
     """Strip blanks and control characters; other Unicode spaces stay."""
     return F.btrim(_col(c), F.lit(_BLANKS))
@@ -99,28 +104,34 @@ def _without_dot_segments(path: Column) -> Column:
     return F.array_join(F.aggregate(segments, F.expr("cast(array() as array<string>)"), step), "/")
 
 
-def absolute_url(base, href) -> Column:
-    """Resolve a link against the address of its page; an empty link stays empty."""
-    base, href = _col(base), _col(href)
-    site = site_of(base)
-    # Address of the page without query and fragment, and the part of it after the site.
-    plain = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(F.substr(plain, F.length(site) + 1), r"^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+def _resolve(base: Column, href: Column) -> Column:
+    def from_path(path):
+        # Address of the page without query and fragment, and the folder it is in.
+        plain = F.regexp_extract(base, r"^([^?#]*)", 1)
+        folder = F.regexp_extract(F.substr(plain, F.length(site_of(base)) + 1), r"^(.*/)", 1)
+        beside = F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), path)
+        return let(
+            F.when(path.startswith("/"), path).otherwise(beside),
+            lambda t: F.when(t.rlike(r"/\.\.?(/|$)"), _without_dot_segments(t)).otherwise(t),
+        )
+
     path = F.regexp_extract(href, r"^([^?#]*)", 1)
     tail = F.substr(href, F.length(path) + 1)
-    target = F.when(href.startswith("/"), path).otherwise(F.concat(folder, path))
-    dotted = target.contains("/./") | target.contains("/../") | target.rlike(r"/\.\.?$")
-    target = F.when(dotted, _without_dot_segments(target)).otherwise(target)
     return (
         F.when((href == "") | href.rlike(_SCHEME), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, _SCHEME, 0), href))
-        .when(href.startswith("?"), F.concat(plain, href))
+        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(site, target, tail))
+        .otherwise(F.concat(site_of(base), let(path, from_path), tail))
     )
 
 
+def absolute_url(base, href) -> Column:
+    """Resolve a link against the address of its page; an empty link stays empty."""
+    base = _col(base)
+    return let(_col(href), lambda h: _resolve(base, h))
+
+
 def _decode_numeric(c: Column, mark: str, digits: str, base: int) -> Column:
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"&#{mark}({digits});"), F.lit(1)))
 
@@ -138,14 +149,22 @@ def _decode_numeric(c: Column, mark: str, digits: str, base: int) -> Column:
     return F.when(c.contains(f"&#{mark}"), F.aggregate(found, c, step)).otherwise(c)
 
 
+def _decode_entities(text: Column) -> Column:
+    def named(c):
+        for entity, char in _ENTITIES.items():
+            c = F.replace(c, F.lit(entity), F.lit(char))
+        return F.replace(c, F.lit("&amp;"), F.lit("&"))
+
+    return let(
+        _decode_numeric(text, "", "[0-9]{1,7}", 10),
+        lambda t: named(_decode_numeric(t, "x", "[0-9A-Fa-f]{1,6}", 16)),
+    )
+
+
 def page_text(html) -> Column:
     """Text of a piece of markup: tags dropped, entities decoded, white space collapsed and trimmed."""
-    text = F.regexp_replace(_col(html), r"<[^>]*>", "")
-    text = _decode_numeric(text, "", "[0-9]{1,7}", 10)
-    text = _decode_numeric(text, "x", "[0-9A-Fa-f]{1,6}", 16)
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    bare = F.regexp_replace(_col(html), r"<[^>]*>", "")
+    text = let(bare, lambda t: F.when(t.contains("&"), _decode_entities(t)).otherwise(t))
     text = F.translate(text, "\u200b\u00ad", "")
     text = F.regexp_replace(text, "[ \\t\\n\\f\\r\u00a0]+", " ")
     return java_trim(text)

@@ -23,14 +23,18 @@ def new_by_url(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     return first.join(known, "content_url", "left_anti")
 
 
-def _without_known(rows: DataFrame, catalogue: DataFrame, floor: int) -> DataFrame:
+def _spread(rows: DataFrame, table: DataFrame, keys: list[str], how: str, size: int, floor: int) -> DataFrame:
+    return salted_join(rows, table, keys, how, ["ord"], floor=floor, size=size)
+
+
+def _without_known(rows: DataFrame, catalogue: DataFrame, size: int, floor: int) -> DataFrame:
     urls = catalogue.select("content_url").where(F.col("content_url").isNotNull()).distinct()
     titles = catalogue.select("emotion", title_key("title").alias("probe_key")).distinct()
-    fresh = salted_join(rows, urls, ["content_url"], "left_anti", ["ord"], floor=floor)
-    return salted_join(fresh, titles, ["emotion", "probe_key"], "left_anti", ["ord"], floor=floor)
+    fresh = _spread(rows, urls, ["content_url"], "left_anti", size, floor)
+    return _spread(fresh, titles, ["emotion", "probe_key"], "left_anti", size, floor)
 
 
-def _savable(rows: DataFrame, floor: int) -> DataFrame:
+def _savable(rows: DataFrame, size: int, floor: int) -> DataFrame:
     """Undecided rows that nothing undecided before them can exclude.
 
     They come first among their address and no earlier row stores the title they look for. A title within the
@@ -43,18 +47,18 @@ def _savable(rows: DataFrame, floor: int) -> DataFrame:
     usual = leading.where("stored_key = probe_key").join(titles.select("ord"), "ord", "left_semi")
     earlier = titles.select("emotion", F.col("stored_key").alias("probe_key"), F.col("ord").alias("_before"))
     long = leading.where("stored_key <> probe_key")
-    long = salted_join(long, earlier, ["emotion", "probe_key"], "left", ["ord"], floor=floor).where(
+    long = _spread(long, earlier, ["emotion", "probe_key"], "left", size, floor).where(
         F.col("_before").isNull() | (F.col("_before") >= F.col("ord"))
     )
     return usual.unionByName(long.drop("_before"))
 
 
-def _not_excluded(rows: DataFrame, saved: DataFrame, floor: int) -> DataFrame:
+def _not_excluded(rows: DataFrame, saved: DataFrame, size: int, floor: int) -> DataFrame:
     """Undecided rows that no saved row excludes by its address or, if earlier, by its title."""
     rest = rows.join(saved.select("ord"), "ord", "left_anti")
-    rest = salted_join(rest, saved.select("content_url"), ["content_url"], "left_anti", ["ord"], floor=floor)
+    rest = _spread(rest, saved.select("content_url"), ["content_url"], "left_anti", size, floor)
     titles = saved.groupBy("emotion", F.col("stored_key").alias("probe_key")).agg(F.min("ord").alias("_before"))
-    rest = salted_join(rest, titles, ["emotion", "probe_key"], "left", ["ord"], floor=floor)
+    rest = _spread(rest, titles, ["emotion", "probe_key"], "left", size, floor)
     return rest.where(F.col("_before").isNull() | (F.col("_before") > F.col("ord"))).drop("_before")
 
 
@@ -66,14 +70,14 @@ def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int
     result to the shared folder. A repeat of mood, address and title never matters and goes first.
     """
     candidates = cut_lineage(candidates)
-    narrow = candidates.select(*_NARROW)
-    single = keep_first(narrow, ["emotion", "content_url", "probe_key"], [F.col("ord")])
-    undecided = cut_lineage(_without_known(single, catalogue, floor))
+    size = candidates.count()
+    single = keep_first(candidates.select(*_NARROW), ["emotion", "content_url", "probe_key"], [F.col("ord")])
+    undecided = cut_lineage(_without_known(single, catalogue, size, floor))
     saved = []
-    while not undecided.isEmpty():
-        savable = cut_lineage(_savable(undecided, floor))
+    while size := undecided.count():
+        savable = cut_lineage(_savable(undecided, size, floor))
         saved.append(savable.select("ord"))
-        undecided = cut_lineage(_not_excluded(undecided, savable, floor))
+        undecided = cut_lineage(_not_excluded(undecided, savable, size, floor))
     if not saved:
         return candidates.limit(0)
     return candidates.join(reduce(DataFrame.unionByName, saved), "ord", "left_semi")

@@ -34,13 +34,17 @@ def salted_join(
     salt_by: list[str],
     hot: DataFrame | None = None,
     floor: int = HOT_FLOOR,
+    size: int | None = None,
 ) -> DataFrame:
     """Join whose hot keys on the left are spread over as many reducers as a shuffle has.
 
     `table` repeats only the rows of hot keys. Left rows without a key never match and are spread too.
     `salt_by` names columns that tell the rows of one key apart; the salt depends on nothing else,
-    so a retried task sends every row where it went before.
+    so a retried task sends every row where it went before. Left rows counted as `size` need none of it
+    if they are few.
     """
+    if size is not None and size <= floor:
+        return rows.join(table, keys, how)
     spark = rows.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot_keys(rows, keys, floor) if hot is None else hot

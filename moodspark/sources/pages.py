@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.functions.text import absolute_url, java_trim, page_text
+from moodspark.functions.text import absolute_url, java_trim, let, page_text
 
 
 def tag(name: str, css_class: str | None = None) -> str:
@@ -99,35 +99,35 @@ def _attribute(opening: Column, name: str) -> Column:
     return F.regexp_extract(opening, rf"\s{name}=[\"']([^\"']*)[\"']", 1)
 
 
-def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
-    """One row per item block of each page with its position: title, author, description, image, address.
-
-    Missing elements are NULL, found but empty ones are empty. Pages are matched once; the finer patterns
-    see one block at a time.
-    """
-    kept = [c for c in pages.columns if c != "html"]
-    blocks = pages.select(*kept, F.posexplode(
-        F.regexp_extract_all("html", F.lit(profile.block), F.lit(0))
-    ).alias("pos", "block"))
-    block = F.col("block")
-
-    def text(pattern: str | None, group: int = 1) -> Column:
+def _item(block: Column, url: Column, profile: PageProfile) -> Column:
+    def text(pattern: str | None, group: int) -> Column:
         return F.lit(None).cast("string") if pattern is None else page_text(_first(block, pattern, group))
 
-    link = _first(block, profile.link, 1)
-    found = blocks.withColumn("_href", java_trim(page_text(_attribute(link, "href"))))
-    if profile.image is None:
-        image = F.lit(None).cast("string")
-    else:
-        img = _first(block, profile.image, 1)
-        lazy = java_trim(_attribute(img, "data-src"))
-        image = absolute_url("url", F.coalesce(F.nullif(lazy, F.lit("")), java_trim(_attribute(img, "src"))))
-    return found.select(
-        *[c for c in kept if c != "url"], F.col("url").alias("page_url"), "pos",
-        F.lit(profile.source).alias("source"),
-        text(profile.title).alias("title"),
+    def picture(img: Column) -> Column:
+        lazy = F.nullif(java_trim(_attribute(img, "data-src")), F.lit(""))
+        return absolute_url(url, F.coalesce(lazy, java_trim(_attribute(img, "src"))))
+
+    href = page_text(_attribute(_first(block, profile.link, 1), "href"))
+    image = F.lit(None).cast("string") if profile.image is None else let(_first(block, profile.image, 1), picture)
+    return F.struct(
+        text(profile.title, 1).alias("title"),
         text(profile.author, profile.author_group).alias("author"),
         text(profile.description, profile.description_group).alias("description"),
         image.alias("image_url"),
-        absolute_url("url", F.col("_href")).alias("content_url"),
+        absolute_url(url, href).alias("content_url"),
+    )
+
+
+def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
+    """One row per item block of each page with its position: title, author, description, image, address.
+
+    Missing elements are NULL, found but empty ones are empty. Pages are matched once; the finer patterns
+    see one block at a time. Items are read before they become rows, so that later filters work on the
+    values and do not repeat the patterns.
+    """
+    kept = [c for c in pages.columns if c not in ("html", "url")]
+    blocks = F.regexp_extract_all("html", F.lit(profile.block), F.lit(0))
+    items = F.transform(blocks, lambda block: _item(block, F.col("url"), profile))
+    return pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item")).select(
+        *kept, "page_url", "pos", F.lit(profile.source).alias("source"), "item.*"
     )
