@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from moodspark import vocab
 from moodspark.functions import dates, numbers
-from moodspark.operators.diaries import active
+from moodspark.operators.diaries import active, lookup
 
 MONTH_KEY = ["member_id", "month_start"]
 
@@ -86,7 +86,7 @@ def dominant_emotion(counts: DataFrame, order: list[str] = vocab.DOMINANT_ORDER)
 
 
 def emotion_share(counts: DataFrame) -> DataFrame:
-    """Share of each mood in a member's month, whole percent, and the label a slice of 5 % or more gets."""
+    """Slices of a member's month: share, whole percent, the label that 5 % or more get, and the slice's name."""
     month = W.partitionBy(*MONTH_KEY)
     share = F.col("n") / F.sum("n").over(month)
     return (
@@ -94,6 +94,9 @@ def emotion_share(counts: DataFrame) -> DataFrame:
         .withColumn("share", share)
         .withColumn("percent", numbers.half_up(F.col("share") * 100).cast("int"))
         .withColumn("label", F.when(F.col("share") >= 0.05, F.concat(F.col("percent").cast("string"), F.lit("%"))))
+        .withColumn("name", F.concat_ws(
+            " ", lookup(vocab.DASHBOARD_EMOJI, F.col("emotion"), vocab.DEFAULT_EMOJI), "emotion"
+        ))
     )
 
 

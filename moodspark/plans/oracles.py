@@ -308,7 +308,8 @@ ORACLES: dict[str, str] = {
     "emotion_share": _diaries(
         f"SELECT member_id, month_start, emotion, n, {_half_up('exact', 4)} AS share, "
         "CAST(floor(exact * 100 + 0.5) AS INTEGER) AS percent, CASE WHEN exact >= 0.05 THEN "
-        "CAST(CAST(floor(exact * 100 + 0.5) AS INTEGER) AS VARCHAR) || '%' END AS label FROM (SELECT *, "
+        "CAST(CAST(floor(exact * 100 + 0.5) AS INTEGER) AS VARCHAR) || '%' END AS label, "
+        + _case("emotion", vocab.DASHBOARD_EMOJI, vocab.DEFAULT_EMOJI) + " || ' ' || emotion AS name FROM (SELECT *, "
         "n / CAST(sum(n) OVER (PARTITION BY member_id, month_start) AS DOUBLE) AS exact FROM counts)", more=_COUNTS
     ),
     "score_gauge": _diaries(

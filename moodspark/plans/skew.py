@@ -19,11 +19,15 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def hot_keys(rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE) -> DataFrame:
-    """Keys of more than `share` of the rows: at most 1 / share of them, so safe to broadcast."""
+    """Keys of more than `share` of the rows, with the number of parts to split each into.
+
+    There are at most 1 / share of them, so they are safe to broadcast, and their parts add up to at most twice that.
+    """
     total = rows.select(F.count("*")).scalar()
+    part = F.greatest(F.lit(floor), total * F.lit(share))
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     counts = rows.where(known).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > F.greatest(F.lit(floor), total * F.lit(share))).select(*keys)
+    return counts.where(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -36,25 +40,21 @@ def salted_join(
     floor: int = HOT_FLOOR,
     size: int | None = None,
 ) -> DataFrame:
-    """Join whose hot keys on the left are spread over as many reducers as a shuffle has.
+    """Join that splits the hot keys of the left side, so that no reducer gets one whole.
 
-    `table` repeats only the rows of hot keys. Left rows without a key never match and are spread too.
-    `salt_by` names columns that tell the rows of one key apart; the salt depends on nothing else,
-    so a retried task sends every row where it went before. Left rows counted as `size` need none of it
-    if they are few.
+    `table` repeats only the rows of hot keys, once per part. Left rows without a key never match and are
+    spread too. `salt_by` names columns that tell the rows of one key apart; the part depends on nothing
+    else, so a retried task sends every row where it went before. Left rows counted as `size` need none
+    of it if they are few.
     """
     if size is not None and size <= floor:
         return rows.join(table, keys, how)
-    spark = rows.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_keys(rows, keys, floor) if hot is None else hot
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-
-    spread = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
+    marks = F.broadcast(hot_keys(rows, keys, floor) if hot is None else hot)
     unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    parts = F.when(unknown, F.lit(int(1 / HOT_SHARE))).otherwise(F.coalesce("_parts", F.lit(1)))
     left = rows.join(marks, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | unknown, spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(marks, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+        "_part", F.pmod(F.xxhash64(*salt_by), parts.cast("bigint")).cast("int")
+    ).drop("_parts")
+    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = table.join(marks, keys, "left").withColumn("_part", F.explode(copies)).drop("_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")

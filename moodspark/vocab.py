@@ -25,6 +25,8 @@ DAILY_THEN_WEEKLY_RUN = ["MOVIE", "BOOK", "ACTIVITY", "MUSIC"]
 # Emoji of a mood and icon of a category, with fallbacks.
 EMOTION_EMOJI = {JOY: "😊", SADNESS: "😢", ANGER: "😡", ANXIETY: "😰", NEUTRAL: "😐"}
 DEFAULT_EMOJI = "🙂"
+# The shorter emoji table of the statistics dashboard.
+DASHBOARD_EMOJI = {JOY: "😊", SADNESS: "😢", ANGER: "😡", NEUTRAL: "😐"}
 CATEGORY_ICON = {"MUSIC": "🎵", "MOVIE": "🎬", "BOOK": "📚", "ACTIVITY": "🏃", "HOBBY": "🎨"}
 DEFAULT_ICON = "📌"
 
