@@ -118,7 +118,8 @@ def _resolve(base: Column, href: Column) -> Column:
     path = F.regexp_extract(href, r"^([^?#]*)", 1)
     tail = F.substr(href, F.length(path) + 1)
     return (
-        F.when((href == "") | href.rlike(_SCHEME), href)
+        F.when(href == "", base)
+        .when(href.rlike(_SCHEME), href)
         .when(href.startswith("//"), F.concat(F.regexp_extract(base, _SCHEME, 0), href))
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
         .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
@@ -127,7 +128,7 @@ def _resolve(base: Column, href: Column) -> Column:
 
 
 def absolute_url(base, href) -> Column:
-    """Resolve a link against the address of its page; an empty link stays empty."""
+    """Resolve a link against the address of its page. An empty link is the page itself, NULL stays NULL."""
     base = _col(base)
     return let(_col(href), lambda h: _resolve(base, h))
 
@@ -149,22 +150,24 @@ def _decode_numeric(c: Column, mark: str, digits: str, base: int) -> Column:
     return F.when(c.contains(f"&#{mark}"), F.aggregate(found, c, step)).otherwise(c)
 
 
-def _decode_entities(text: Column) -> Column:
+def decode_entities(text: Column) -> Column:
+    """Numeric and common named entities as the characters they stand for."""
+
     def named(c):
         for entity, char in _ENTITIES.items():
             c = F.replace(c, F.lit(entity), F.lit(char))
         return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
-    return let(
-        _decode_numeric(text, "", "[0-9]{1,7}", 10),
-        lambda t: named(_decode_numeric(t, "x", "[0-9A-Fa-f]{1,6}", 16)),
-    )
+    def decoded(t):
+        numeric = _decode_numeric(t, "", "[0-9]{1,7}", 10)
+        return let(numeric, lambda n: named(_decode_numeric(n, "x", "[0-9A-Fa-f]{1,6}", 16)))
+
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def page_text(html) -> Column:
     """Text of a piece of markup: tags dropped, entities decoded, white space collapsed and trimmed."""
-    bare = F.regexp_replace(_col(html), r"<[^>]*>", "")
-    text = let(bare, lambda t: F.when(t.contains("&"), _decode_entities(t)).otherwise(t))
+    text = decode_entities(F.regexp_replace(_col(html), r"<[^>]*>", ""))
     text = F.translate(text, "\u200b\u00ad", "")
     text = F.regexp_replace(text, "[ \\t\\n\\f\\r\u00a0]+", " ")
     return java_trim(text)

@@ -18,7 +18,10 @@ CLEAN = [
 
 
 def harvest_order(source_order: list[str], emotion_order: list[str] = vocab.HARVEST_ORDER) -> Column:
-    """Place of a candidate in the harvest: source, mood, phrase, page, position. Smaller is saved earlier."""
+    """Place of a candidate in the harvest: source, mood, phrase, page, position. Smaller is saved earlier.
+
+    No two candidates of a harvest may share a place, so a page id must be one source's page for one phrase.
+    """
 
     def rank(values: list[str], c: str) -> Column:
         place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)).cast("int")

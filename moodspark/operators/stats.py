@@ -32,14 +32,8 @@ def mood_parts(diaries: DataFrame) -> DataFrame:
     )
 
 
-def stats_from_parts(parts: DataFrame) -> DataFrame:
-    """The month record of each member: total, mean score and diaries per mood as a map.
-
-    The parts are first added up per mood, so that a map is built from one row per mood.
-    """
-    moods = parts.groupBy(*MONTH_KEY, "emotion").agg(
-        F.sum("n").alias("n"), F.sum("score_n").alias("score_n"), F.sum("score_sum").alias("score_sum")
-    )
+def _records(moods: DataFrame) -> DataFrame:
+    """The month record of each member from one row per mood: total, mean score and diaries per mood as a map."""
     entry = F.when(F.col("emotion").isNotNull(), F.struct("emotion", "n"))
     return moods.groupBy(*MONTH_KEY).agg(
         F.sum("n").alias("total_count"),
@@ -50,7 +44,14 @@ def stats_from_parts(parts: DataFrame) -> DataFrame:
 
 def monthly_stats(diaries: DataFrame) -> DataFrame:
     """Month records with an open set of moods."""
-    return stats_from_parts(mood_parts(diaries))
+    return _records(mood_parts(diaries))
+
+
+def stats_from_parts(parts: DataFrame) -> DataFrame:
+    """Month records from the parts of several batches."""
+    return _records(parts.groupBy(*MONTH_KEY, "emotion").agg(
+        F.sum("n").alias("n"), F.sum("score_n").alias("score_n"), F.sum("score_sum").alias("score_sum")
+    ))
 
 
 def monthly_stats_wide(diaries: DataFrame, emotions: list[str] = vocab.DIARY_EMOTIONS) -> DataFrame:

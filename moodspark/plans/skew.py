@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 HOT_SHARE = 0.001
 # Below this many rows one task copes with the key anyway.
 HOT_FLOOR = 100_000
+# Keys a sketch tells apart: its error stays well below HOT_SHARE. Sketches of the tasks are merged in groups.
+SKETCH_ITEMS = 8_000
+SKETCHES = 500
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -19,15 +22,25 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def hot_keys(rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE) -> DataFrame:
-    """Keys of more than `share` of the rows, with the number of parts to split each into.
+    """Hashes of the keys with more than `share` of the rows, and the number of parts to split each into.
 
-    There are at most 1 / share of them, so they are safe to broadcast, and their parts add up to at most twice that.
+    The heavy keys come from frequent-item sketches, merged group by group, so the keys themselves are not
+    shuffled. There are at most 1 / share of them, which makes them safe to broadcast, and their parts add up
+    to about twice that at most. A sketch that errs costs a little balance and no row.
     """
-    total = rows.select(F.count("*")).scalar()
-    part = F.greatest(F.lit(floor), total * F.lit(share))
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counts = rows.where(known).groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.where(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
+    known = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    sketches = (
+        known.select(F.xxhash64(*keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_group"))
+        .groupBy("_group")
+        .agg(F.expr(f"approx_top_k_accumulate(_key, {SKETCH_ITEMS})").alias("_sketch"), F.count("*").alias("_rows"))
+    )
+    # One group of its own, as combining no sketches at all is an error.
+    merged = sketches.groupBy(F.lit("all")).agg(
+        F.expr("approx_top_k_combine(_sketch)").alias("_sketch"), F.sum("_rows").alias("_rows")
+    )
+    top = merged.select("_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {int(1 / HOT_SHARE)})) AS (_key, _n)"))
+    part = F.greatest(F.lit(floor), F.col("_rows") * F.lit(share))
+    return top.where(F.col("_n") > part).select("_key", F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -52,9 +65,11 @@ def salted_join(
     marks = F.broadcast(hot_keys(rows, keys, floor) if hot is None else hot)
     unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     parts = F.when(unknown, F.lit(int(1 / HOT_SHARE))).otherwise(F.coalesce("_parts", F.lit(1)))
-    left = rows.join(marks, keys, "left").withColumn(
+    left = rows.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*salt_by), parts.cast("bigint")).cast("int")
-    ).drop("_parts")
+    )
     copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    right = table.join(marks, keys, "left").withColumn("_part", F.explode(copies)).drop("_parts")
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    right = table.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
+        "_part", F.explode(copies)
+    )
+    return left.drop("_key", "_parts").join(right.drop("_key", "_parts"), [*keys, "_part"], how).drop("_part")

@@ -5,24 +5,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.functions.text import absolute_url, java_trim, let, page_text
+from moodspark.functions.text import absolute_url, decode_entities, java_trim, let, page_text
 
 
 def tag(name: str, css_class: str | None = None) -> str:
-    """Pattern of an opening tag, with a class if given."""
+    """Pattern of an opening tag, with a class among its classes if given."""
     if css_class is None:
         return rf"<{name}\b[^>]*>"
-    return rf"<{name}\b[^>]*\bclass=[\"'](?:[^\"']*\s)?{css_class}(?:\s[^\"']*)?[\"'][^>]*>"
+    c = f"(?:{css_class})"
+    listed = rf"(?:\"(?:[^\"]*\s)?{c}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{c}(?:\s[^']*)?'|{c}(?=[\s>]))"
+    return rf"<{name}\b[^>]*\sclass\s*=\s*{listed}[^>]*>"
 
 
 def inside(opening: str, name: str) -> str:
     """Pattern of an element without nested ones of its kind; group 1 is what it holds."""
-    return rf"(?s){opening}(.*?)</{name}>"
+    return rf"{opening}(.*?)</{name}>"
 
 
 def until_next(opening: str) -> str:
     """Pattern of a block that reaches to the next one or to the end of the page."""
-    return rf"(?s){opening}(?:(?!{opening}).)*+"
+    return rf"{opening}(?:(?!{opening}).)*+"
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class PageProfile:
 
 def _titled_link(css_class: str) -> str:
     """Up to the title link of a block: the first link of a title box, else a link with the class."""
-    return rf"(?s)(?:^<div\b(?:[^<]++|<(?!a\b))*+|(?={tag('a', css_class)}))"
+    return rf"(?:^<div\b(?:[^<]++|<(?!a\b))*+|(?={tag('a', css_class)}))"
 
 
 # An element's own class may be one of several; a title span must not be the category label.
@@ -56,16 +58,16 @@ BOOK_PAGE = PageProfile(
     source="BOOK",
     block=until_next(tag("div", "prod_area")),
     link=f"({tag('a', 'prod_info')})",
-    title=rf"(?s){tag('a', 'prod_info')}(?:[^<]++|<(?!/a>|{_NO_LABEL}))*+<span\b[^>]*>(.*?)</span>",
-    author=rf"(?s){tag(r'(\w+)', 'author')}(.*?)</\1>",
-    description=rf"(?s){tag(r'(\w+)', '(?:desc|desc_area)')}(.*?)</\1>",
-    image=rf"(?s){tag(r'\w+', 'img_box')}.*?({tag('img')})",
+    title=rf"{tag('a', 'prod_info')}(?:[^<]++|<(?!/a>|{_NO_LABEL}))*+<span\b[^>]*>(.*?)</span>",
+    author=rf"{tag(r'(\w+)', 'author')}(.*?)</\1>",
+    description=rf"{tag(r'(\w+)', '(?:desc|desc_area)')}(.*?)</\1>",
+    image=rf"{tag(r'\w+', 'img_box')}.*?({tag('img')})",
     author_group=2,
     description_group=2,
 )
 MOVIE_PAGE = PageProfile(
     source="MOVIE",
-    block=rf"(?s){tag('li')}(?:(?!</li>).)*+</li>|{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>",
+    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>",
     link=rf"{_titled_link('link_txt')}(<a\b[^>]*>)",
     title=rf"{_titled_link('link_txt')}<a\b[^>]*>(.*?)</a>",
     description=inside(tag("p", "desc"), "p"),
@@ -74,10 +76,10 @@ MOVIE_PAGE = PageProfile(
 _BOX = tag("div", "wrap_cont")
 ACTIVITY_PAGE = PageProfile(
     source="ACTIVITY",
-    block=rf"(?s){tag('li')}(?:(?!</li>).)*+</li>|{_BOX}(?:(?!{_BOX}|<li\b).)*+",
+    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{_BOX}(?:(?!{_BOX}|<li\b).)*+",
     link=f"({tag('a', '(?:link_txt|f_link_b)')})",
     title=inside(tag("a", "(?:link_txt|f_link_b)"), "a"),
-    description=rf"(?s){tag('(p|div)', 'desc')}(.*?)</\1>",
+    description=rf"{tag('(p|div)', 'desc')}(.*?)</\1>",
     image=f"({tag('img')})",
     description_group=2,
 )
@@ -90,13 +92,20 @@ LINK_PAGE = PageProfile(
 )
 
 
+# Tag and class names are matched in any case. Comments, scripts and styles hold no items.
+_FLAGS = "(?is)"
+_NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+
+
 def _first(c: Column, pattern: str, group: int) -> Column:
     """First match, NULL where there is none."""
-    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+    return F.get(F.regexp_extract_all(c, F.lit(_FLAGS + pattern), F.lit(group)), F.lit(0))
 
 
 def _attribute(opening: Column, name: str) -> Column:
-    return F.regexp_extract(opening, rf"\s{name}=[\"']([^\"']*)[\"']", 1)
+    """Value of an attribute, NULL without it."""
+    value = r"[\"']?((?<=\")[^\"]*|(?<=')[^']*|(?<=[=\s])[^\s\"'>]+)"
+    return java_trim(decode_entities(_first(opening, rf"\s{name}\s*=\s*{value}", 1)))
 
 
 def _item(block: Column, url: Column, profile: PageProfile) -> Column:
@@ -104,17 +113,16 @@ def _item(block: Column, url: Column, profile: PageProfile) -> Column:
         return F.lit(None).cast("string") if pattern is None else page_text(_first(block, pattern, group))
 
     def picture(img: Column) -> Column:
-        lazy = F.nullif(java_trim(_attribute(img, "data-src")), F.lit(""))
-        return absolute_url(url, F.coalesce(lazy, java_trim(_attribute(img, "src"))))
+        lazy = F.nullif(_attribute(img, "data-src"), F.lit(""))
+        return absolute_url(url, F.coalesce(lazy, _attribute(img, "src")))
 
-    href = page_text(_attribute(_first(block, profile.link, 1), "href"))
     image = F.lit(None).cast("string") if profile.image is None else let(_first(block, profile.image, 1), picture)
     return F.struct(
         text(profile.title, 1).alias("title"),
         text(profile.author, profile.author_group).alias("author"),
         text(profile.description, profile.description_group).alias("description"),
         image.alias("image_url"),
-        absolute_url(url, href).alias("content_url"),
+        absolute_url(url, _attribute(_first(block, profile.link, 1), "href")).alias("content_url"),
     )
 
 
@@ -126,7 +134,8 @@ def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
     values and do not repeat the patterns.
     """
     kept = [c for c in pages.columns if c not in ("html", "url")]
-    blocks = F.regexp_extract_all("html", F.lit(profile.block), F.lit(0))
+    markup = F.regexp_replace("html", _NOT_MARKUP, "")
+    blocks = F.regexp_extract_all(markup, F.lit(_FLAGS + profile.block), F.lit(0))
     items = F.transform(blocks, lambda block: _item(block, F.col("url"), profile))
     return pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item")).select(
         *kept, "page_url", "pos", F.lit(profile.source).alias("source"), "item.*"

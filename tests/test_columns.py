@@ -68,7 +68,8 @@ def test_search_address_stands_in_for_a_missing_one(spark):
 
 
 @pytest.mark.parametrize("href, expected", [
-    ("", ""),
+    ("", "http://h.example:8080/a/b/c?q=1#z"),
+    (None, None),
     ("https://o.example/x", "https://o.example/x"),
     ("mailto:a@b", "mailto:a@b"),
     ("//cdn.example/x", "http://cdn.example/x"),

@@ -94,8 +94,9 @@ MOVIES = """
 <div class="coll_cont"><ul>
 <li><img src="/p.jpg"><a class="link_txt f" href="/m/1">첫 영화</a><p class="desc">줄거리</p></li>
 <li><a class="other" href="/no">아님</a></li>
-<li><a class="link_txt" href="">주소 없는 영화</a></li></ul></div>
-<div class="info_tit"><strong>x</strong><a href="/m/2">둘째</a></div>
+<!-- <li><a class="link_txt" href="/c">주석</a></li> --><script>"<li><a class='link_txt'>x</a></li>"</script>
+<LI><A CLASS=link_txt>주소 없는 영화</A></LI></ul></div>
+<div class="info_tit"><strong>x</strong><a href=/m/2?a=1&amp;b=2>둘째</a></div>
 """
 ACTIVITIES = """
 <div class="coll_cont"><ul><li><a class="f_link_b" href="/a/1">여섯 글자야</a><div class="desc">설명</div></li>
@@ -117,7 +118,7 @@ def test_book_page(spark):
     assert rows == [
         ("첫 & 책", "글쓴이", "짧은 글", "https://h.example/lazy.png", "https://h.example/book/1"),
         ("둘째", None, "y" * 101, "https://h.example/x.png", "https://o.example/2"),
-        ("주소 없음", None, None, None, ""),
+        ("주소 없음", None, None, None, None),
         (None, None, None, None, "https://h.example/4"),
     ]
     clean = clean_candidates(found, "BOOK").orderBy("ord").collect()
@@ -132,7 +133,7 @@ def test_movie_page(spark):
     assert [(r["title"], r["content_url"]) for r in clean] == [
         ("첫 영화", "https://h.example/m/1"),
         ("주소 없는 영화", "https://search.daum.net/search?w=tot&q=%EC%A3%BC%EC%86%8C+%EC%97%86%EB%8A%94+%EC%98%81%ED%99%94+영화"),
-        ("둘째", "https://h.example/m/2"),
+        ("둘째", "https://h.example/m/2?a=1&b=2"),
     ]
     assert (clean[0]["image_url"], clean[0]["description"]) == ("https://h.example/p.jpg", "첫 영화 | 줄거리")
     assert clean[2]["description"] == "둘째 | 줄거리 정보 없음"
