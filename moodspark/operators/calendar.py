@@ -5,40 +5,46 @@ from pyspark.sql import functions as F
 
 from moodspark.functions import dates
 from moodspark.operators.diaries import active
-from moodspark.plans.skew import keep_first
+from moodspark.plans.skew import keep_first, only_wanted
 
+MONTH_KEY = ["member_id", "month_start"]
 
-def days_with_diary(diaries: DataFrame, key: str = "created_at") -> DataFrame:
-    """Last diary (highest id) per member, diary month and cell day; rows without a mood or time are skipped."""
-    rows = active(diaries).where(F.col("emotion").isNotNull() & F.col("created_at").isNotNull()).select(
-        "member_id", dates.month_start("date").alias("month_start"), F.to_date(key).alias("day"), "id", "emotion"
+
+def _rows(diaries: DataFrame, key: str) -> DataFrame:
+    return active(diaries).select(
+        "member_id", dates.month_start("date").alias("month_start"), "id", "emotion", "created_at",
+        F.to_date(key).alias("day"),
     )
-    shown = rows.where(dates.month_start("day") == F.col("month_start"))
-    return keep_first(shown, ["member_id", "month_start", "day"], [F.col("id").desc()])
 
 
-def asked_months(diaries: DataFrame) -> DataFrame:
-    """Every member and month with an active diary, as requests for a grid."""
-    month = dates.month_start("date").alias("month_start")
-    return active(diaries).select("member_id", month).distinct()
+def _last_of_day(rows: DataFrame) -> DataFrame:
+    """Last diary (highest id) per member, diary month and cell day; rows without a mood or time are skipped."""
+    shown = rows.where(
+        F.col("emotion").isNotNull()
+        & F.col("created_at").isNotNull()
+        & (dates.month_start("day") == F.col("month_start"))
+    )
+    return keep_first(shown.drop("created_at"), [*MONTH_KEY, "day"], [F.col("id").desc()])
 
 
-def month_grid(diaries: DataFrame, requests: DataFrame, key: str = "created_at") -> DataFrame:
+def month_grid(diaries: DataFrame, requests: DataFrame | None = None, key: str = "created_at") -> DataFrame:
     """Cells of each requested (member_id, month_start), padded to whole weeks from Sunday.
 
-    A member's month has at most 31 days with a diary, so they travel as one small map and the cells are
-    made after the join, not before it. Padding cells have no day.
+    Without requests, every month in which a member has an active diary. A member's month has at most 31
+    days with a diary, so they travel as one small map and the cells are made after the join, not before
+    it. Padding cells have no day.
     """
+    rows = _rows(diaries, key)
+    asked = (rows if requests is None else requests).select(*MONTH_KEY).distinct()
+    if requests is not None:
+        rows = only_wanted(rows, asked, MONTH_KEY)
     entry = F.struct("day", F.struct(F.col("id").alias("diary_id"), "emotion"))
-    months = days_with_diary(diaries, key).groupBy("member_id", "month_start").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("found")
-    )
+    months = _last_of_day(rows).groupBy(*MONTH_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
     lead = dates.weekday("month_start")
     length = F.day(F.last_day("month_start"))
     cells = F.ceil((lead + length) / F.lit(7)).cast("int") * 7
     grid = (
-        requests.select("member_id", "month_start").distinct()
-        .join(months, ["member_id", "month_start"], "left")
+        asked.join(months, MONTH_KEY, "left")
         .withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
         .withColumn("offset", F.col("cell") - lead)
         .withColumn("day", F.when(F.col("offset").between(0, length - 1), F.date_add("month_start", F.col("offset"))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from moodspark import vocab
 from moodspark.functions.text import title_key
 from moodspark.plans.session import cut_lineage
-from moodspark.plans.skew import HOT_FLOOR, keep_first, salted_join
+from moodspark.plans.skew import BROADCAST_BYTES, HOT_FLOOR, keep_first, only_wanted, salted_join
 
 # Sources whose titles are compared as well.
 TITLE_CHECKED = {"ACTIVITY"}
@@ -68,8 +68,8 @@ def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int
     Each round saves every undecided candidate that nothing undecided can exclude, and drops those the
     saved ones exclude, until all are decided. Rounds work on the few columns that decide and write their
     result to the shared folder. A repeat of mood, address and title never matters and goes first.
+    The candidates are read more than once, so cut their lineage before if they are costly.
     """
-    candidates = cut_lineage(candidates)
     size = candidates.count()
     single = keep_first(candidates.select(*_NARROW), ["emotion", "content_url", "probe_key"], [F.col("ord")])
     undecided = cut_lineage(_without_known(single, catalogue, size, floor))
@@ -83,12 +83,28 @@ def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int
     return candidates.join(reduce(DataFrame.unionByName, saved), "ord", "left_semi")
 
 
+def _near(catalogue: DataFrame, candidates: DataFrame, limit: int) -> DataFrame:
+    """Catalogue rows that share an address or a title with the candidates; all if these are many."""
+    keyed = catalogue.withColumn("probe_key", title_key("title"))
+    by_url = only_wanted(keyed, candidates, ["content_url"], limit)
+    by_title = only_wanted(keyed, candidates, ["emotion", "probe_key"], limit)
+    if by_url is keyed or by_title is keyed:
+        return catalogue
+    return by_url.unionByName(by_title).drop("probe_key")
+
+
 def harvest(
-    candidates: DataFrame, catalogue: DataFrame, source_order: list[str] = vocab.FULL_RUN, floor: int = HOT_FLOOR
+    candidates: DataFrame,
+    catalogue: DataFrame,
+    source_order: list[str] = vocab.FULL_RUN,
+    floor: int = HOT_FLOOR,
+    limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """New catalogue rows from the candidates of all sources, saved source after source.
 
-    Neighbouring sources that compare addresses only are one step, as their order is part of `ord`.
+    Reading pages is costly, so the candidates are written to the shared folder once. Of the catalogue a
+    small harvest needs only the rows it can meet. Neighbouring sources that compare addresses only are one
+    step, as their order is part of `ord`.
     """
     steps: list[list[str]] = []
     for source in source_order:
@@ -96,13 +112,16 @@ def harvest(
             steps[-1].append(source)
         else:
             steps.append([source])
-    existing = catalogue.select("emotion", "title", "content_url")
+    candidates = cut_lineage(candidates)
+    existing = _near(catalogue.select("emotion", "title", "content_url"), candidates, limit)
     saved = []
-    for i, sources in enumerate(steps):
+    for sources in steps:
         part = candidates.where(F.col("source").isin(sources))
-        check = new_by_url_and_title if sources[0] in TITLE_CHECKED else new_by_url
-        found = check(part, existing, floor) if check is new_by_url_and_title else check(part, existing)
-        if i < len(steps) - 1:
+        if sources[0] in TITLE_CHECKED:
+            found = new_by_url_and_title(part, existing, floor)
+        else:
+            found = new_by_url(part, existing)
+        if len(saved) < len(steps) - 1:
             found = cut_lineage(found)
         saved.append(found)
         existing = existing.unionByName(found.select("emotion", "title", "content_url"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moodspark import vocab
 from moodspark.functions import dates
-from moodspark.plans.skew import salted_join
+from moodspark.plans.skew import only_wanted, salted_join
 
 PUBLIC = {
     "diary": [
@@ -54,7 +54,8 @@ def diary_detail(diaries: DataFrame, requests: DataFrame) -> DataFrame:
     rows = active(diaries).select(
         "id", "member_id", "content", "emotion", "sentiment_score", "date", F.lit(True).alias("_found")
     )
-    joined = salted_join(requests, rows, ["id", "member_id"], "left", ["request_id"])
+    keys = ["id", "member_id"]
+    joined = salted_join(requests, only_wanted(rows, requests, keys), keys, "left", ["request_id"])
     return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.plans.skew import keep_first
+from moodspark.plans.skew import keep_first, only_wanted
 
 
 def find_by_email(members: DataFrame, emails: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def admit_members(requests: DataFrame, members: DataFrame) -> tuple[DataFrame, D
     The first request for an address that no member has is admitted.
     """
     first = keep_first(requests, ["email"], [F.col("request_id")])
-    known = members.select("email").distinct()
+    known = only_wanted(members.select("email"), requests, ["email"]).distinct()
     admitted = first.join(known, "email", "left_anti")
     conflicts = requests.join(admitted.select("request_id"), "request_id", "left_anti")
     return admitted, conflicts

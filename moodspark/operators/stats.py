@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from moodspark import vocab
 from moodspark.functions import dates, numbers
 from moodspark.operators.diaries import active, lookup
+from moodspark.plans.skew import only_wanted
 
 MONTH_KEY = ["member_id", "month_start"]
 
 
-def _by_month(diaries: DataFrame) -> DataFrame:
+def by_month(diaries: DataFrame) -> DataFrame:
+    """What the statistics need of the active diaries."""
     return active(diaries).select(
         "member_id", dates.month_start("date").alias("month_start"), "emotion", "sentiment_score"
     )
@@ -19,19 +21,23 @@ def _by_month(diaries: DataFrame) -> DataFrame:
 
 def emotion_counts(diaries: DataFrame) -> DataFrame:
     """Diaries per member, month and mood; those without a mood are left out."""
-    known = _by_month(diaries).where(F.col("emotion").isNotNull())
+    known = by_month(diaries).where(F.col("emotion").isNotNull())
     return known.groupBy(*MONTH_KEY, "emotion").agg(F.count("*").alias("n"))
 
 
-def mood_parts(diaries: DataFrame) -> DataFrame:
-    """Sums per member, month and mood. Parts of several batches add up to the parts of all."""
-    return _by_month(diaries).groupBy(*MONTH_KEY, "emotion").agg(
+def _parts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*MONTH_KEY, "emotion").agg(
         F.count("*").alias("n"),
         F.count("sentiment_score").alias("score_n"),
         F.sum("sentiment_score").alias("score_sum"),
     )
 
 
+def mood_parts(diaries: DataFrame) -> DataFrame:
+    """Sums per member, month and mood. Parts of several batches add up to the parts of all."""
+    return _parts(by_month(diaries))
+
+
 def _records(moods: DataFrame) -> DataFrame:
     """The month record of each member from one row per mood: total, mean score and diaries per mood as a map."""
     entry = F.when(F.col("emotion").isNotNull(), F.struct("emotion", "n"))
@@ -57,20 +63,24 @@ def stats_from_parts(parts: DataFrame) -> DataFrame:
 def monthly_stats_wide(diaries: DataFrame, emotions: list[str] = vocab.DIARY_EMOTIONS) -> DataFrame:
     """Month records with one count column per given mood, n_0 and on: one hash aggregation, one shuffle."""
     counts = [F.count_if(F.col("emotion") == e).alias(f"n_{i}") for i, e in enumerate(emotions)]
-    return _by_month(diaries).groupBy(*MONTH_KEY).agg(
+    return by_month(diaries).groupBy(*MONTH_KEY).agg(
         F.count("*").alias("total_count"),
         numbers.half_up(F.avg("sentiment_score"), 2).alias("average_score"),
         *counts,
     )
 
 
-def stats_for(requests: DataFrame, stats: DataFrame) -> DataFrame:
-    """Answer (member_id, year, month) requests; a month without diaries has total 0, no mean, an empty map."""
+def requested_stats(requests: DataFrame, diaries: DataFrame) -> DataFrame:
+    """Answer (member_id, year, month) requests; a month without diaries has total 0, no mean, an empty map.
+
+    Few requests reach the diaries as a filter, so that only the asked months are added up.
+    """
     asked = requests.select(
         "member_id", "year", "month", F.make_date("year", "month", F.lit(1)).alias("month_start")
     ).distinct()
+    record = _records(_parts(only_wanted(by_month(diaries), asked, MONTH_KEY)))
     empty = F.expr("cast(map() as map<string, bigint>)")
-    return asked.join(stats, MONTH_KEY, "left").select(
+    return asked.join(record, MONTH_KEY, "left").select(
         "member_id", "year", "month",
         F.coalesce("total_count", F.lit(0)).alias("total_count"),
         "average_score",

@@ -232,6 +232,24 @@ _VALIDATE = (
     "SELECT id, nullif(errors, '') AS errors FROM messages"
 )
 
+def _grid(asked: str, day: str) -> str:
+    return _diaries(
+        "SELECT member_id, month_start, CAST(cell // 7 AS INTEGER) AS week, CAST(cell % 7 AS INTEGER) AS dow, day, "
+        "hit.id AS diary_id, hit.emotion AS emotion FROM (SELECT c.*, h AS hit FROM cells c LEFT JOIN hits h "
+        "ON h.member_id = c.member_id AND h.month_start = c.month_start AND h.day = c.day)",
+        more=(
+            "asked AS (SELECT member_id, month_start, CAST(dayofweek(month_start) AS INTEGER) AS lead, "
+            f"CAST(day(last_day(month_start)) AS INTEGER) AS days FROM ({asked})), "
+            "numbered AS (SELECT *, unnest(generate_series(0, CAST(ceil((lead + days) / 7.0) AS INTEGER) * 7 - 1)) AS cell "
+            "FROM asked), "
+            "cells AS (SELECT member_id, month_start, cell, CASE WHEN cell - lead BETWEEN 0 AND days - 1 THEN "
+            "month_start + CAST(cell - lead AS INTEGER) END AS day FROM numbered), "
+            f"hits AS (SELECT member_id, month_start, {day} AS day, max(id) AS id, "
+            "arg_max(emotion, id) AS emotion FROM active WHERE emotion IS NOT NULL AND created_at IS NOT NULL GROUP BY 1, 2, 3)"
+        ),
+    )
+
+
 ORACLES: dict[str, str] = {
     "active_diaries": _diaries("SELECT id, member_id, date, emotion FROM active ORDER BY member_id, date, id"),
     "diaries_newest_first": _diaries("SELECT id, member_id, date, emotion FROM active ORDER BY member_id, date DESC, id"),
@@ -247,20 +265,13 @@ ORACLES: dict[str, str] = {
         "SELECT id AS diary_id, member_id, strftime(created_at, '%Y-%m-%d') AS created_at, emotion FROM active "
         "WHERE year(date) = 2024 AND month(date) = 5"
     ),
-    "month_grid": _diaries(
-        "SELECT member_id, month_start, CAST(cell // 7 AS INTEGER) AS week, CAST(cell % 7 AS INTEGER) AS dow, day, "
-        "hit.id AS diary_id, hit.emotion AS emotion FROM (SELECT c.*, h AS hit FROM cells c LEFT JOIN hits h "
-        "ON h.member_id = c.member_id AND h.month_start = c.month_start AND h.day = c.day)",
-        more=(
-            "asked AS (SELECT DISTINCT member_id, month_start, CAST(dayofweek(month_start) AS INTEGER) AS lead, "
-            "CAST(day(last_day(month_start)) AS INTEGER) AS days FROM active), "
-            "numbered AS (SELECT *, unnest(generate_series(0, CAST(ceil((lead + days) / 7.0) AS INTEGER) * 7 - 1)) AS cell "
-            "FROM asked), "
-            "cells AS (SELECT member_id, month_start, cell, CASE WHEN cell - lead BETWEEN 0 AND days - 1 THEN "
-            "month_start + CAST(cell - lead AS INTEGER) END AS day FROM numbered), "
-            "hits AS (SELECT member_id, month_start, CAST(created_at AS DATE) AS day, max(id) AS id, "
-            "arg_max(emotion, id) AS emotion FROM active WHERE emotion IS NOT NULL AND created_at IS NOT NULL GROUP BY 1, 2, 3)"
-        ),
+    "month_grid": _grid(
+        "SELECT DISTINCT member_id, month_start FROM active",
+        "CAST(created_at AS DATE)",
+    ),
+    "requested_grid": _grid(
+        "SELECT c_custkey AS member_id, make_date(2024, CAST(c_custkey % 12 + 1 AS INTEGER), 1) AS month_start FROM customer",
+        "date",
     ),
     "diaries_with_member": sql(
         "SELECT d.id, d.member_id, d.date, d.emotion, m.nickname, m.provider FROM diaries d "

@@ -11,7 +11,7 @@ from moodspark.functions import dates, numbers, text
 from moodspark.operators import (
     calendar, candidates, catalogue, changes, dedup, diaries, members, sentiment, stats, validation,
 )
-from moodspark.plans.session import shared_folder
+from moodspark.plans.session import cut_lineage, shared_folder
 from moodspark.sources import csv_catalogue, frontier, pages, video_search
 from moodspark.sources.fixtures import shape, table, view
 from moodspark.streaming import catalogue_arrivals, diary_arrivals
@@ -60,8 +60,15 @@ def calendar_rows(spark, sf):
 
 @query
 def month_grid(spark, sf):
-    rows = view(spark, sf, "diaries")
-    return calendar.month_grid(rows, calendar.asked_months(rows))
+    return calendar.month_grid(view(spark, sf, "diaries"))
+
+
+@query
+def requested_grid(spark, sf):
+    asked = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS member_id", "make_date(2024, CAST(c_custkey % 12 + 1 AS INT), 1) AS month_start"
+    )
+    return calendar.month_grid(view(spark, sf, "diaries"), asked, key="date")
 
 
 @query
@@ -120,7 +127,7 @@ def requested_stats(spark, sf):
     asked = table(spark, sf, "customer").selectExpr(
         "c_custkey AS member_id", "2024 AS year", "CAST(c_custkey % 12 + 1 AS INT) AS month"
     )
-    answers = stats.stats_for(asked, stats.monthly_stats(view(spark, sf, "diaries")))
+    answers = stats.requested_stats(asked, view(spark, sf, "diaries"))
     return answers.withColumn("emotion_counts", _map_text("emotion_counts"))
 
 
@@ -375,7 +382,7 @@ def new_by_url(spark, sf):
 @query
 def new_by_title(spark, sf):
     known = candidates.to_catalogue(_earlier_harvest(spark, sf))
-    return _clean_columns(dedup.new_by_url_and_title(_activities(spark, sf), known))
+    return _clean_columns(dedup.new_by_url_and_title(cut_lineage(_activities(spark, sf)), known))
 
 
 def _all_sources(spark, sf) -> DataFrame:

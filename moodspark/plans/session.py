@@ -15,11 +15,20 @@ SETTINGS = {
 }
 
 
+# On a cluster a shuffle starts with many partitions, which adaptive execution merges to about this size.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def build_session(app: str = "moodspark", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    cluster = {} if master and master.startswith("local") else CLUSTER_SETTINGS
+    for key, value in {**SETTINGS, **cluster, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -1,4 +1,4 @@
-"""Joins and first-per-key picks that hold up when one key has a third of all rows."""
+"""Joins and first-per-key picks that hold up when one key has a third of all rows, and when one side is huge."""
 
 from functools import reduce
 
@@ -14,6 +14,24 @@ HOT_FLOOR = 100_000
 SKETCH_ITEMS = 8_000
 SKETCHES = 500
 
+# Keys of up to this many bytes are broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
+
+def only_wanted(
+    table: DataFrame, rows: DataFrame, keys: list[str], limit: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The table's rows whose key occurs in `rows`, if the keys of `rows` are measured to be few; else all.
+
+    A left join or an anti join cannot broadcast its left side, however small. This goes before it and
+    leaves of a large table what a small left side can meet, without a shuffle of the table.
+    """
+    text = F.concat_ws("", *[F.col(k).cast("string") for k in keys])
+    size = rows.agg(F.sum(F.octet_length(text) + 32 * len(keys)).alias("bytes")).first()["bytes"] or 0
+    if size > limit:
+        return table
+    return table.join(F.broadcast(rows.select(*keys).distinct()), keys, "left_semi")
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key. Every task keeps one row per key before the shuffle."""

@@ -4,15 +4,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from moodspark.functions.text import title_key
 from moodspark.operators.candidates import clean_candidates
 from moodspark.operators.dedup import harvest
-from moodspark.plans.session import cut_lineage
 from moodspark.sources.pages import PageProfile, extract_candidates
 
-# Keys of a batch up to this many bytes are broadcast to the catalogue; a larger batch is joined by shuffle.
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 STORED = "emotion string, category string, title string, description string, image_url string, content_url string"
 
 
@@ -27,27 +22,12 @@ def start_catalogue(seed: DataFrame, folder: str) -> None:
     seed.select(*columns).write.mode("overwrite").parquet(f"{folder}/batch_id=-1")
 
 
-def near(catalogue: DataFrame, candidates: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Catalogue rows that share an address or a title with a small batch, found without moving the catalogue."""
-    size = candidates.agg(
-        F.sum(F.octet_length("content_url") + F.octet_length("probe_key") + F.octet_length("emotion")).alias("bytes")
-    ).first()["bytes"] or 0
-    if size > limit:
-        return catalogue
-    urls = F.broadcast(candidates.select("content_url").distinct())
-    titles = F.broadcast(candidates.select("emotion", F.col("probe_key").alias("_key")).distinct())
-    by_url = catalogue.join(urls, "content_url", "left_semi")
-    by_title = catalogue.withColumn("_key", title_key("title")).join(titles, ["emotion", "_key"], "left_semi")
-    return by_url.unionByName(by_title.drop("_key"))
-
-
 def store_batch(pages: DataFrame, batch_id: int, folder: str, profile: PageProfile) -> None:
     """Add a batch's new items. Only older batches count as known, so a repeated batch replaces itself."""
     spark = pages.sparkSession
-    candidates = cut_lineage(clean_candidates(extract_candidates(pages, profile), profile.source))
-    older = stored_catalogue(spark, folder).where(F.col("batch_id") < batch_id).drop("batch_id")
-    known = near(older.select("emotion", "title", "content_url"), candidates)
-    saved = harvest(candidates, known, [profile.source])
+    candidates = clean_candidates(extract_candidates(pages, profile), profile.source)
+    older = stored_catalogue(spark, folder).where(F.col("batch_id") < batch_id)
+    saved = harvest(candidates, older, [profile.source])
     saved.select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("overwrite").parquet(
         f"{folder}/batch_id={batch_id}"
     )

@@ -114,3 +114,15 @@ def test_sources_see_what_earlier_ones_saved(spark, order):
     assert sum(r["found"] for r in report.values()) == 80
     assert sum(r["saved"] for r in report.values()) == new.count()
     assert all(r["skipped"] == r["found"] - r["saved"] for r in report.values())
+
+
+@pytest.mark.parametrize("limit", [0, 10, 10_000])
+def test_a_small_harvest_meets_the_same_rows_of_the_catalogue(spark, limit):
+    draw = random.Random(5)
+    rows = [candidate(i, f"u{draw.randrange(40)}", f"title {draw.randrange(30)}", source=draw.choice(vocab.FULL_RUN)) for i in range(60)]
+    known = [
+        (draw.choice([vocab.JOY, vocab.ANGER]), "BOOK", f" TITLE {draw.randrange(60)}", draw.choice([None, f"u{draw.randrange(80)}"]))
+        for _ in range(60)
+    ]
+    new = dedup.harvest(*frames(spark, rows, known), limit=limit)
+    assert places(new) == loop(rows, known)

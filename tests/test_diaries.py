@@ -39,7 +39,7 @@ def test_mean_on_a_tie_goes_up(spark):
 def test_month_without_diaries_is_answered(spark):
     asked = spark.createDataFrame([(1, 2024, 5), (1, 2024, 6)], "member_id bigint, year int, month int")
     rows = frame(spark, diary(1, emotion=vocab.JOY))
-    answers = {r["month"]: r for r in stats.stats_for(asked, stats.monthly_stats(rows)).collect()}
+    answers = {r["month"]: r for r in stats.requested_stats(asked, rows).collect()}
     assert answers[5]["total_count"] == 1
     assert (answers[6]["total_count"], answers[6]["average_score"], answers[6]["emotion_counts"]) == (0, None, {})
 
@@ -87,12 +87,12 @@ def test_grid_is_whole_weeks_keyed_by_creation(spark):
         diary(4, date="2024-05-11"),
         diary(5, emotion=vocab.JOY, date="2024-05-12", created="2024-04-30T08:00:00"),
     )
-    cells = calendar.month_grid(rows, calendar.asked_months(rows)).orderBy("week", "dow").collect()
+    cells = calendar.month_grid(rows).orderBy("week", "dow").collect()
     assert len(cells) == 35
     assert [c["day"] for c in cells[:4]] == [None, None, None, dt.date(2024, 5, 1)]
     found = {c["day"]: c["diary_id"] for c in cells if c["diary_id"] is not None}
     assert found == {dt.date(2024, 5, 10): 2, dt.date(2024, 5, 21): 3}
-    by_date = calendar.month_grid(rows, calendar.asked_months(rows), key="date").collect()
+    by_date = calendar.month_grid(rows, key="date").collect()
     assert {c["day"].day: c["diary_id"] for c in by_date if c["diary_id"]} == {10: 2, 20: 3, 12: 5}
 
 

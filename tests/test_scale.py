@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 from moodspark import schemas
 from moodspark.operators import catalogue, diaries, stats
 from moodspark.plans.session import cut_lineage, shared_folder
-from moodspark.plans.skew import hot_keys, keep_first, salted_join
+from moodspark.plans.skew import hot_keys, keep_first, only_wanted, salted_join
 from moodspark.sources import sinks
 from moodspark.sources.fixtures import view
 from tests.plans import executed
@@ -44,6 +44,15 @@ def test_salted_join_gives_what_the_join_gives(spark, how, floor):
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_few_keys_reach_a_large_table_as_a_filter(spark, limit):
+    table = spark.range(1000).selectExpr("id", "id % 7 AS k", "'x' AS v")
+    wanted = spark.createDataFrame([(3, 3), (3, 3), (5, 6), (None, 1)], "id bigint, k bigint")
+    kept = only_wanted(table, wanted, ["id", "k"], limit)
+    assert kept.count() == (1 if limit else 1000)
+    assert not limit or "BroadcastHashJoin" in executed(kept)
+
+
 def test_hot_keys_are_few_and_known(spark):
     rows = skewed(spark)
     found = hot_keys(rows, ["k"], floor=100).collect()

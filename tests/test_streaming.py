@@ -97,15 +97,3 @@ def test_a_repeated_catalogue_batch_replaces_itself(spark, small, tmp_path, arri
     once = rows(catalogue_arrivals.stored_catalogue(spark, out))
     catalogue_arrivals.store_batch(shape(arrivals[1], "result_pages"), 1, out, pages.LINK_PAGE)
     assert rows(catalogue_arrivals.stored_catalogue(spark, out)) == once
-
-
-def test_known_rows_are_found_with_and_without_broadcast(spark, small):
-    seed = view(spark, small, "catalogue").select("emotion", "title", "content_url")
-    found = candidates.clean_candidates(
-        pages.extract_candidates(view(spark, small, "result_pages"), pages.LINK_PAGE), "ACTIVITY"
-    )
-    known = seed.unionByName(found.where("ord.pos = 1").select("emotion", "title", "content_url"))
-    near = catalogue_arrivals.near(known, found)
-    assert catalogue_arrivals.near(known, found, limit=0) is known
-    assert 0 < near.count() < known.count() * 2
-    assert rows(dedup.harvest(found, near), "content_url") == rows(dedup.harvest(found, known), "content_url")
