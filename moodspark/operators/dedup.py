@@ -102,9 +102,9 @@ def harvest(
 ) -> DataFrame:
     """New catalogue rows from the candidates of all sources, saved source after source.
 
-    Reading pages is costly, so the candidates are written to the shared folder once. Of the catalogue a
-    small harvest needs only the rows it can meet. Neighbouring sources that compare addresses only are one
-    step, as their order is part of `ord`.
+    The candidates are read several times, so cut their lineage first, as reading pages is costly. Of the
+    catalogue a small harvest needs only the rows it can meet. Neighbouring sources that compare addresses
+    only are one step, as their order is part of `ord`.
     """
     steps: list[list[str]] = []
     for source in source_order:
@@ -112,7 +112,6 @@ def harvest(
             steps[-1].append(source)
         else:
             steps.append([source])
-    candidates = cut_lineage(candidates)
     existing = _near(catalogue.select("emotion", "title", "content_url"), candidates, limit)
     saved = []
     for sources in steps:

@@ -57,103 +57,30 @@ def keyword_sentiment(
     return df.withColumn("sentiment", _sentiment(mood, score, F.lit(None).cast("string")))
 
 
-def _single_value(text: Column) -> Column:
-    """The text as one JSON value, NULL for anything else.
-
-    The parser ignores what follows a value. Wrapping the text both as the only element of a list and as
-    the only field of an object leaves no room for a rest.
-    """
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    value = F.try_variant_get(listed, "$[0]", "variant")
-    second = F.try_variant_get(listed, "$[1]", "variant")
-    alone = named.isNotNull() & value.isNotNull() & second.isNull()
-    return F.when(alone, value)
-
-
-def _number(value: Column) -> Column:
-    """A JSON number, boolean or numeric text as a double, else NULL."""
-    kind = F.schema_of_variant(value)
-    text = _strip(F.try_variant_get(value, "$", "string"))
-    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit("")), "^[+-](?=nan)", "")
-    from_text = F.when(text.rlike(_NUMBER), plain.try_cast("double"))
-    return F.when(kind == "STRING", from_text).otherwise(F.try_variant_get(value, "$", "double"))
-
-
-def _read_object(value: Column, emotions: list[str]) -> Column:
-    """Sentiment from a parsed object, NULL if its score is unusable.
-
-    A score that is there but null is unusable and does not fall back to the other key; no score at all is 0.
-    """
-    raw = F.coalesce(
-        F.try_variant_get(value, "$.sentimentScore", "variant"), F.try_variant_get(value, "$.score", "variant")
-    )
-    score = let(raw, lambda r: F.when(r.isNull(), F.lit(0.0)).otherwise(_number(r)))
-    label = let(
-        _strip(F.try_variant_get(value, "$.emotion", "string")),
-        lambda e: F.when(e.isin(emotions), e).otherwise(F.lit(vocab.NEUTRAL)),
-    )
-    comment = F.when(F.try_variant_get(value, "$.aiComment", "variant").isNull(), F.lit("")).otherwise(
-        _strip(F.try_variant_get(value, "$.aiComment", "string"))
-    )
-    return let(score, lambda s: F.when(s.isNotNull(), _sentiment(label, numbers.clamp01(s), comment)))
-
-
-def parse_model_answer(
-    df: DataFrame, answer: str = "answer", emotions: list[str] = vocab.DIARY_EMOTIONS
-) -> DataFrame:
-    """Sentiment from a model's answer: the whole text as JSON, else what its outermost braces hold.
-
-    Nothing readable gives neutral, 0 and an empty comment. An answer that is JSON but no object gives
-    neutral, 0 and no comment, and so does a missing answer.
-    """
-    braces = F.nullif(F.regexp_extract("_text", r"(?s)\{.*\}", 0), F.lit(""))
-    parsed = (
-        df.withColumn("_text", _strip(F.col(answer)))
-        .withColumn("_whole", _single_value(F.col("_text")))
-        .withColumn("_object", F.col("_text").startswith("{"))
-        .withColumn("_value", F.when(F.col("_whole").isNull(), let(braces, _single_value))
-                    .when(F.col("_object"), F.col("_whole")))
-    )
-    read = F.coalesce(let(F.col("_value"), lambda v: _read_object(v, emotions)), _constant(""))
-    other = F.col("_text").isNull() | (F.col("_whole").isNotNull() & ~F.col("_object"))
-    return parsed.withColumn("sentiment", F.when(other, _constant(None)).otherwise(read)).drop(
-        "_text", "_whole", "_object", "_value"
-    )
-
-
-def rounded_score(df: DataFrame) -> DataFrame:
-    """The score as the classifying service reports it: four places."""
-    return df.withColumn("sentiment", F.col("sentiment").withField("score", numbers.round4("sentiment.score")))
-
-
-def apply_sentiment_defaults(df: DataFrame, success: Column | None = None) -> DataFrame:
-    """Neutral, 0 and no comment where the call failed or mood or score are missing."""
-    usable = F.col("sentiment.emotion").isNotNull() & F.col("sentiment.score").isNotNull()
-    if success is not None:
-        usable = usable & F.coalesce(success, F.lit(False))
-    return df.withColumn("sentiment", F.when(usable, F.col("sentiment")).otherwise(_constant(None)))
-
-
 # How a JSON value can start. Other texts are not worth an attempt.
 _JSON_START = r'^(?:[{\["]|-?[0-9]|(?:true|false|null)$)'
 
+# Ends the list that a text is parsed in. No answer holds it; one that did would be parsed twice.
+_END = "\u2403 end of answer \u2403"
+
 
 def _single_value(text: Column) -> Column:
     """The text, stripped of blanks, as one JSON value; NULL for anything else.
 
-    The parser ignores what follows a value, so the text goes in as the only element of a list: a rest can
-    only hide behind a closing bracket, and such a text must parse as the only field of an object too.
+    The parser ignores what follows a value, so the text is parsed as the first of two elements of a list:
+    if the second one is not found where it should be, the text was more than one value.
     """
 
     def only(listed: Column) -> Column:
-        alone = listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-        hidden = text.contains("]") & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNull()
-        return F.when(alone & ~hidden, F.try_variant_get(listed, "$[0]", "variant"))
+        named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+        alone = (F.try_variant_get(listed, "$[1]", "string") == _END) & F.try_variant_get(
+            listed, "$[2]", "variant"
+        ).isNull()
+        sure = ~text.contains(_END) | named.isNotNull()
+        return F.when(alone & sure, F.try_variant_get(listed, "$[0]", "variant"))
 
-    return F.when(
-        text.rlike(_JSON_START), let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
-    )
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.when(text.rlike(_JSON_START), let(listed, only))
 
 
 def envelope_text(envelope: str) -> Column:
@@ -169,11 +96,11 @@ def envelope_text(envelope: str) -> Column:
 
 def _number(value: Column) -> Column:
     """A JSON number, boolean or numeric text as a double, else NULL."""
-    kind = F.schema_of_variant(value)
     text = _strip(F.try_variant_get(value, "$", "string"))
     plain = F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit("")), "^[+-](?=nan)", "")
     from_text = F.when(text.rlike(_NUMBER), plain.try_cast("double"))
-    return F.when(kind == "STRING", from_text).otherwise(F.try_variant_get(value, "$", "double"))
+    is_text = F.schema_of_variant(value) == "STRING"
+    return F.when(is_text, from_text).otherwise(F.try_variant_get(value, "$", "double"))
 
 
 def _read_object(value: Column, emotions: list[str]) -> Column:
@@ -181,17 +108,18 @@ def _read_object(value: Column, emotions: list[str]) -> Column:
 
     A score that is there but null is unusable and does not fall back to the other key; no score at all is 0.
     """
-    first = F.try_variant_get(value, "$.sentimentScore", "variant")
-    second = F.try_variant_get(value, "$.score", "variant")
-    raw = F.coalesce(first, second)
-    score = F.when(raw.isNull(), F.lit(0.0)).otherwise(_number(raw))
-    label = _strip(F.try_variant_get(value, "$.emotion", "string"))
-    emotion = F.when(label.isin(emotions), label).otherwise(F.lit(vocab.NEUTRAL))
-    comment_value = F.try_variant_get(value, "$.aiComment", "variant")
-    comment = F.when(comment_value.isNull(), F.lit("")).otherwise(
+    raw = F.coalesce(
+        F.try_variant_get(value, "$.sentimentScore", "variant"), F.try_variant_get(value, "$.score", "variant")
+    )
+    score = let(raw, lambda r: F.when(r.isNull(), F.lit(0.0)).otherwise(_number(r)))
+    label = let(
+        _strip(F.try_variant_get(value, "$.emotion", "string")),
+        lambda e: F.when(e.isin(emotions), e).otherwise(F.lit(vocab.NEUTRAL)),
+    )
+    comment = F.when(F.try_variant_get(value, "$.aiComment", "variant").isNull(), F.lit("")).otherwise(
         _strip(F.try_variant_get(value, "$.aiComment", "string"))
     )
-    return F.when(score.isNotNull(), _sentiment(emotion, numbers.clamp01(score), comment))
+    return let(score, lambda s: F.when(s.isNotNull(), _sentiment(label, numbers.clamp01(s), comment)))
 
 
 def parse_model_answer(
@@ -202,19 +130,18 @@ def parse_model_answer(
     Nothing readable gives neutral, 0 and an empty comment. An answer that is JSON but no object gives
     neutral, 0 and no comment, and so does a missing answer.
     """
-    text = _strip(F.col(answer))
     braces = F.nullif(F.regexp_extract("_text", r"(?s)\{.*\}", 0), F.lit(""))
+    value = F.when(F.col("_whole").isNull(), let(braces, _single_value)).when(F.col("_object"), F.col("_whole"))
     parsed = (
-        df.withColumn("_text", text)
+        df.withColumn("_text", _strip(F.col(answer)))
         .withColumn("_whole", _single_value(F.col("_text")))
-        .withColumn("_object", F.col("_whole").isNotNull() & F.col("_text").startswith("{"))
-        .withColumn("_inner", F.when(F.col("_whole").isNull(), _single_value(braces)))
-        .withColumn("_value", F.when(F.col("_object"), F.col("_whole")).otherwise(F.col("_inner")))
+        .withColumn("_object", F.col("_text").startswith("{"))
+        .withColumn("_value", value)
     )
-    read = F.coalesce(_read_object(F.col("_value"), emotions), _constant(""))
+    read = F.coalesce(let(F.col("_value"), lambda v: _read_object(v, emotions)), _constant(""))
     other = F.col("_text").isNull() | (F.col("_whole").isNotNull() & ~F.col("_object"))
     return parsed.withColumn("sentiment", F.when(other, _constant(None)).otherwise(read)).drop(
-        "_text", "_whole", "_object", "_inner", "_value"
+        "_text", "_whole", "_object", "_value"
     )
 
 
@@ -231,13 +158,6 @@ def apply_sentiment_defaults(df: DataFrame, success: Column | None = None) -> Da
     return df.withColumn("sentiment", F.when(usable, F.col("sentiment")).otherwise(_constant(None)))
 
 
-def envelope_text(envelope: str) -> Column:
-    """Message text inside a completion answer: empty where the shape is another, NULL where it is no text."""
-    content = F.try_variant_get(_single_value(F.col(envelope)), "$.choices[0].message.content", "variant")
-    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
-    return F.when(content.isNull(), F.lit("")).otherwise(text)
-
-
 def classify_answers(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     """From completion envelopes to stored sentiments."""
     parsed = parse_model_answer(df.withColumn("_answer", envelope_text(envelope)), "_answer").drop("_answer")

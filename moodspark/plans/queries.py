@@ -401,12 +401,13 @@ def all_candidates(spark, sf):
 
 @query
 def harvest(spark, sf):
-    return _clean_columns(dedup.harvest(_all_sources(spark, sf), view(spark, sf, "catalogue")))
+    found = cut_lineage(_all_sources(spark, sf))
+    return _clean_columns(dedup.harvest(found, view(spark, sf, "catalogue")))
 
 
 @query
 def harvest_report(spark, sf):
-    found = _all_sources(spark, sf)
+    found = cut_lineage(_all_sources(spark, sf))
     return dedup.harvest_report(found, dedup.harvest(found, view(spark, sf, "catalogue")))
 
 

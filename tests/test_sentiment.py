@@ -51,6 +51,8 @@ CASES = [
     (answer(emotion=J, sentimentScore=0.5) + "}", FAILED),
     (answer(emotion=J, sentimentScore=0.5) + "],[" + answer(emotion=J, sentimentScore=0.5), FAILED),
     (answer(emotion=J, sentimentScore=0.5) + ',"k":1', (J, 0.5, "")),
+    (answer(emotion=J, sentimentScore=0.5) + f',"{sentiment._END}"],[' + answer(emotion=J), FAILED),
+    (answer(emotion=J, sentimentScore=0.5, aiComment=sentiment._END), (J, 0.5, sentiment._END)),
     ('{"emotion": "' + J + '", "sentimentScore": NaN}', FAILED),
     ("{'emotion': 1}", FAILED),
     (None, NO_ANSWER),
