@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from moodspark import vocab
 from moodspark.functions import dates, numbers
-from moodspark.functions.text import contains_any, let
+from moodspark.functions.text import contains_any
 
 Classifier = Callable[[DataFrame], DataFrame]
 
@@ -64,37 +64,36 @@ _JSON_START = r'^(?:[{\["]|-?[0-9]|(?:true|false|null)$)'
 _END = "\u2403 end of answer \u2403"
 
 
-def _single_value(text: Column) -> Column:
-    """The text, stripped of blanks, as one JSON value; NULL for anything else.
+def _with_value(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the text, stripped of blanks, as one JSON value; NULL for anything else.
 
     The parser ignores what follows a value, so the text is parsed as the first of two elements of a list:
-    if the second one is not found where it should be, the text was more than one value.
+    if the second one is not found where it should be, the text was more than one value. Each step is a
+    column of its own, which is computed once.
     """
-
-    def only(listed: Column) -> Column:
-        named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-        alone = (F.try_variant_get(listed, "$[1]", "string") == _END) & F.try_variant_get(
-            listed, "$[2]", "variant"
-        ).isNull()
-        sure = ~text.contains(_END) | named.isNotNull()
-        return F.when(alone & sure, F.try_variant_get(listed, "$[0]", "variant"))
-
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    return F.when(text.rlike(_JSON_START), let(listed, only))
-
-
-def envelope_text(envelope: str) -> Column:
-    """Message text inside a completion answer: empty where the shape is another, NULL where it is no text."""
-    whole = _single_value(_strip(F.col(envelope)))
-
-    def text(content: Column) -> Column:
-        found = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
-        return F.when(content.isNull(), F.lit("")).otherwise(found)
-
-    return let(F.try_variant_get(whole, "$.choices[0].message.content", "variant"), text)
+    c = F.col(text)
+    listed = F.when(c.rlike(_JSON_START), F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]'))))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    alone = F.try_variant_get("_list", "$[1]", "string") == _END
+    alone = alone & F.try_variant_get("_list", "$[2]", "variant").isNull()
+    alone = alone & (~c.contains(_END) | named.isNotNull())
+    value = F.when(alone, F.try_variant_get("_list", "$[0]", "variant"))
+    return df.withColumn("_list", listed).withColumn(name, value).drop("_list")
+
+
+def with_envelope_text(df: DataFrame, envelope: str, name: str) -> DataFrame:
+    """Add the message text of a completion answer: empty where the shape is another, NULL where it is no text."""
+    content = F.try_variant_get("_envelope", "$.choices[0].message.content", "variant")
+    text = F.when(F.schema_of_variant("_content") == "STRING", F.try_variant_get("_content", "$", "string"))
+    return (
+        _with_value(df.withColumn("_stripped", _strip(F.col(envelope))), "_stripped", "_envelope")
+        .withColumn("_content", content)
+        .withColumn(name, F.when(F.col("_content").isNull(), F.lit("")).otherwise(text))
+        .drop("_stripped", "_envelope", "_content")
+    )
 
 
-def _number(value: Column) -> Column:
+def _number(value: str) -> Column:
     """A JSON number, boolean or numeric text as a double, else NULL."""
     text = _strip(F.try_variant_get(value, "$", "string"))
     plain = F.regexp_replace(F.replace(F.lower(text), F.lit("_"), F.lit("")), "^[+-](?=nan)", "")
@@ -103,45 +102,43 @@ def _number(value: Column) -> Column:
     return F.when(is_text, from_text).otherwise(F.try_variant_get(value, "$", "double"))
 
 
-def _read_object(value: Column, emotions: list[str]) -> Column:
-    """Sentiment from a parsed object, NULL if its score is unusable.
-
-    A score that is there but null is unusable and does not fall back to the other key; no score at all is 0.
-    """
-    raw = F.coalesce(
-        F.try_variant_get(value, "$.sentimentScore", "variant"), F.try_variant_get(value, "$.score", "variant")
-    )
-    score = let(raw, lambda r: F.when(r.isNull(), F.lit(0.0)).otherwise(_number(r)))
-    label = let(
-        _strip(F.try_variant_get(value, "$.emotion", "string")),
-        lambda e: F.when(e.isin(emotions), e).otherwise(F.lit(vocab.NEUTRAL)),
-    )
-    comment = F.when(F.try_variant_get(value, "$.aiComment", "variant").isNull(), F.lit("")).otherwise(
-        _strip(F.try_variant_get(value, "$.aiComment", "string"))
-    )
-    return let(score, lambda s: F.when(s.isNotNull(), _sentiment(label, numbers.clamp01(s), comment)))
-
-
 def parse_model_answer(
     df: DataFrame, answer: str = "answer", emotions: list[str] = vocab.DIARY_EMOTIONS
 ) -> DataFrame:
     """Sentiment from a model's answer: the whole text as JSON, else what its outermost braces hold.
 
     Nothing readable gives neutral, 0 and an empty comment. An answer that is JSON but no object gives
-    neutral, 0 and no comment, and so does a missing answer.
+    neutral, 0 and no comment, and so does a missing answer. A score that is there but null is not readable
+    and does not fall back to the other key; no score at all is 0.
     """
     braces = F.nullif(F.regexp_extract("_text", r"(?s)\{.*\}", 0), F.lit(""))
-    value = F.when(F.col("_whole").isNull(), let(braces, _single_value)).when(F.col("_object"), F.col("_whole"))
-    parsed = (
-        df.withColumn("_text", _strip(F.col(answer)))
-        .withColumn("_whole", _single_value(F.col("_text")))
-        .withColumn("_object", F.col("_text").startswith("{"))
-        .withColumn("_value", value)
+    found = _with_value(df.withColumn("_text", _strip(F.col(answer))), "_text", "_whole")
+    found = _with_value(
+        found.withColumn("_braces", F.when(F.col("_whole").isNull(), braces)), "_braces", "_inner"
+    )
+    is_object = F.col("_text").startswith("{")
+    raw = F.coalesce(
+        F.try_variant_get("_value", "$.sentimentScore", "variant"), F.try_variant_get("_value", "$.score", "variant")
+    )
+    no_answer = F.col("_text").isNull() | (F.col("_whole").isNotNull() & ~is_object)
+    unreadable = F.col("_value").isNull() | F.col("_score").isNull()
+    emotion = F.when(F.col("_label").isin(emotions), F.col("_label")).otherwise(F.lit(vocab.NEUTRAL))
+    comment = F.when(F.try_variant_get("_value", "$.aiComment", "variant").isNull(), F.lit("")).otherwise(
+        _strip(F.try_variant_get("_value", "$.aiComment", "string"))
     )
-    read = F.coalesce(let(F.col("_value"), lambda v: _read_object(v, emotions)), _constant(""))
-    other = F.col("_text").isNull() | (F.col("_whole").isNotNull() & ~F.col("_object"))
-    return parsed.withColumn("sentiment", F.when(other, _constant(None)).otherwise(read)).drop(
-        "_text", "_whole", "_object", "_value"
+    return (
+        found
+        .withColumn("_value", F.coalesce(F.when(is_object, F.col("_whole")), F.col("_inner")))
+        .withColumn("_raw", raw)
+        .withColumn("_label", _strip(F.try_variant_get("_value", "$.emotion", "string")))
+        .withColumn("_score", F.when(F.col("_raw").isNull(), F.lit(0.0)).otherwise(_number("_raw")))
+        .withColumn(
+            "sentiment",
+            F.when(no_answer, _constant(None))
+            .when(unreadable, _constant(""))
+            .otherwise(_sentiment(emotion, numbers.clamp01("_score"), comment)),
+        )
+        .drop("_text", "_whole", "_braces", "_inner", "_value", "_raw", "_label", "_score")
     )
 
 
@@ -160,7 +157,7 @@ def apply_sentiment_defaults(df: DataFrame, success: Column | None = None) -> Da
 
 def classify_answers(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     """From completion envelopes to stored sentiments."""
-    parsed = parse_model_answer(df.withColumn("_answer", envelope_text(envelope)), "_answer").drop("_answer")
+    parsed = parse_model_answer(with_envelope_text(df, envelope, "_answer"), "_answer").drop("_answer")
     return apply_sentiment_defaults(rounded_score(parsed))
 
 
