@@ -1,5 +1,6 @@
 """Which candidates are new: first by address, and for activities by title too."""
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -8,12 +9,16 @@ from pyspark.sql import functions as F
 from moodspark import vocab
 from moodspark.functions.text import title_key
 from moodspark.plans.session import cut_lineage
-from moodspark.plans.skew import BROADCAST_BYTES, HOT_FLOOR, keep_first, only_wanted, salted_join
+from moodspark.plans.skew import BROADCAST_BYTES, HOT_FLOOR, hot_keys, keep_first, only_wanted, salted_join
 
 # Sources whose titles are compared as well.
 TITLE_CHECKED = {"ACTIVITY"}
 
 _NARROW = ["ord", "emotion", "content_url", "stored_key", "probe_key"]
+_URL, _TITLE = ("content_url",), ("emotion", "probe_key")
+
+# Joins rows with a table of one row per key, whatever share of the rows one key has.
+Join = Callable[[DataFrame, DataFrame, tuple[str, ...], str], DataFrame]
 
 
 def new_by_url(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -23,61 +28,68 @@ def new_by_url(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
     return first.join(known, "content_url", "left_anti")
 
 
-def _spread(rows: DataFrame, table: DataFrame, keys: list[str], how: str, size: int, floor: int) -> DataFrame:
-    return salted_join(rows, table, keys, how, ["ord"], floor=floor, size=size)
+def _joiner(rows: DataFrame, size: int, floor: int) -> Join:
+    """A join for these rows and what remains of them later: their hot keys are looked up once."""
+    hot = {} if size <= floor else {k: cut_lineage(hot_keys(rows, list(k), floor)) for k in (_URL, _TITLE)}
+
+    def join(left: DataFrame, table: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+        if not hot:
+            return left.join(table, list(keys), how)
+        return salted_join(left, table, list(keys), how, ["ord"], hot=hot[keys])
 
+    return join
 
-def _without_known(rows: DataFrame, catalogue: DataFrame, size: int, floor: int) -> DataFrame:
+
+def _without_known(rows: DataFrame, catalogue: DataFrame, join: Join) -> DataFrame:
     urls = catalogue.select("content_url").where(F.col("content_url").isNotNull()).distinct()
     titles = catalogue.select("emotion", title_key("title").alias("probe_key")).distinct()
-    fresh = _spread(rows, urls, ["content_url"], "left_anti", size, floor)
-    return _spread(fresh, titles, ["emotion", "probe_key"], "left_anti", size, floor)
+    return join(join(rows, urls, _URL, "left_anti"), titles, _TITLE, "left_anti")
 
 
-def _savable(rows: DataFrame, size: int, floor: int) -> DataFrame:
+def _savable(rows: DataFrame, long_titles: int, join: Join) -> DataFrame:
     """Undecided rows that nothing undecided before them can exclude.
 
     They come first among their address and no earlier row stores the title they look for. A title within the
     limit is looked for as it is stored, so there first of its title is enough, and the two lists of
-    first rows meet on the place alone. A longer title never finds its own stored form.
+    first rows meet on the number alone. A longer title never finds its own stored form.
     """
-    first_url = rows.groupBy("content_url").agg(F.min("ord").alias("ord")).select("ord")
-    titles = rows.groupBy("emotion", "stored_key").agg(F.min("ord").alias("ord"))
-    leading = rows.join(first_url, "ord", "left_semi")
-    usual = leading.where("stored_key = probe_key").join(titles.select("ord"), "ord", "left_semi")
-    earlier = titles.select("emotion", F.col("stored_key").alias("probe_key"), F.col("ord").alias("_before"))
-    long = leading.where("stored_key <> probe_key")
-    long = _spread(long, earlier, ["emotion", "probe_key"], "left", size, floor).where(
-        F.col("_before").isNull() | (F.col("_before") >= F.col("ord"))
-    )
-    return usual.unionByName(long.drop("_before"))
+    first_url = rows.groupBy("content_url").agg(F.min("n").alias("n")).select("n")
+    titles = rows.groupBy("emotion", "stored_key").agg(F.min("n").alias("n"))
+    leading = rows.join(first_url, "n", "left_semi")
+    usual = leading.where("stored_key = probe_key").join(titles.select("n"), "n", "left_semi")
+    if not long_titles:
+        return usual
+    earlier = titles.select("emotion", F.col("stored_key").alias("probe_key"), F.col("n").alias("_before"))
+    long = join(leading.where("stored_key <> probe_key"), earlier, _TITLE, "left")
+    return usual.unionByName(long.where("_before IS NULL OR _before >= n").drop("_before"))
 
 
-def _not_excluded(rows: DataFrame, saved: DataFrame, size: int, floor: int) -> DataFrame:
-    """Undecided rows that no saved row excludes by its address or, if earlier, by its title."""
-    rest = rows.join(saved.select("ord"), "ord", "left_anti")
-    rest = _spread(rest, saved.select("content_url"), ["content_url"], "left_anti", size, floor)
-    titles = saved.groupBy("emotion", F.col("stored_key").alias("probe_key")).agg(F.min("ord").alias("_before"))
-    rest = _spread(rest, titles, ["emotion", "probe_key"], "left", size, floor)
-    return rest.where(F.col("_before").isNull() | (F.col("_before") > F.col("ord"))).drop("_before")
+def _not_excluded(rows: DataFrame, saved: DataFrame, join: Join) -> DataFrame:
+    """Undecided rows that no saved row excludes by its address, which drops the saved too, or by an earlier title."""
+    rest = join(rows, saved.select("content_url"), _URL, "left_anti")
+    titles = saved.groupBy("emotion", F.col("stored_key").alias("probe_key")).agg(F.min("n").alias("_before"))
+    return join(rest, titles, _TITLE, "left").where("_before IS NULL OR _before > n").drop("_before")
 
 
 def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     """What saving the candidates one by one would keep, testing address and title against saved rows.
 
     Each round saves every undecided candidate that nothing undecided can exclude, and drops those the
-    saved ones exclude, until all are decided. Rounds work on the few columns that decide and write their
-    result to the shared folder. A repeat of mood, address and title never matters and goes first.
-    The candidates are read more than once, so cut their lineage before if they are costly.
+    saved ones exclude, until all are decided. Rounds work on the few columns that decide, with a number for
+    the place, and write their result to the shared folder. A repeat of mood, address and title never
+    matters and goes first. The candidates are read more than once, so cut their lineage before if they
+    are costly.
     """
-    size = candidates.count()
+    join = _joiner(candidates, candidates.count(), floor)
     single = keep_first(candidates.select(*_NARROW), ["emotion", "content_url", "probe_key"], [F.col("ord")])
-    undecided = cut_lineage(_without_known(single, catalogue, size, floor))
+    fresh = _without_known(single, catalogue, join)
+    undecided = cut_lineage(fresh.orderBy("ord").withColumn("n", F.monotonically_increasing_id()))
+    left = F.count("*").alias("rows"), F.count_if(F.col("stored_key") != F.col("probe_key")).alias("long")
     saved = []
-    while size := undecided.count():
-        savable = cut_lineage(_savable(undecided, size, floor))
+    while (todo := undecided.agg(*left).first())["rows"]:
+        savable = cut_lineage(_savable(undecided, todo["long"], join))
         saved.append(savable.select("ord"))
-        undecided = cut_lineage(_not_excluded(undecided, savable, size, floor))
+        undecided = cut_lineage(_not_excluded(undecided, savable, join))
     if not saved:
         return candidates.limit(0)
     return candidates.join(reduce(DataFrame.unionByName, saved), "ord", "left_semi")
