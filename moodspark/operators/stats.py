@@ -26,10 +26,12 @@ def emotion_counts(diaries: DataFrame) -> DataFrame:
 
 
 def _parts(rows: DataFrame) -> DataFrame:
+    high, low = numbers.exact_parts("sentiment_score")
     return rows.groupBy(*MONTH_KEY, "emotion").agg(
         F.count("*").alias("n"),
         F.count("sentiment_score").alias("score_n"),
-        F.sum("sentiment_score").alias("score_sum"),
+        F.sum(high).alias("score_high"),
+        F.sum(low).alias("score_low"),
     )
 
 
@@ -38,12 +40,16 @@ def mood_parts(diaries: DataFrame) -> DataFrame:
     return _parts(by_month(diaries))
 
 
+def _mean(high: Column, low: Column, n: Column) -> Column:
+    return numbers.half_up((high + low) / F.nullif(n, F.lit(0)), 2)
+
+
 def _records(moods: DataFrame) -> DataFrame:
     """The month record of each member from one row per mood: total, mean score and diaries per mood as a map."""
     entry = F.when(F.col("emotion").isNotNull(), F.struct("emotion", "n"))
     return moods.groupBy(*MONTH_KEY).agg(
         F.sum("n").alias("total_count"),
-        numbers.half_up(F.sum("score_sum") / F.nullif(F.sum("score_n"), F.lit(0)), 2).alias("average_score"),
+        _mean(F.sum("score_high"), F.sum("score_low"), F.sum("score_n")).alias("average_score"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("emotion_counts"),
     )
 
@@ -56,16 +62,17 @@ def monthly_stats(diaries: DataFrame) -> DataFrame:
 def stats_from_parts(parts: DataFrame) -> DataFrame:
     """Month records from the parts of several batches."""
     return _records(parts.groupBy(*MONTH_KEY, "emotion").agg(
-        F.sum("n").alias("n"), F.sum("score_n").alias("score_n"), F.sum("score_sum").alias("score_sum")
+        *[F.sum(c).alias(c) for c in ("n", "score_n", "score_high", "score_low")]
     ))
 
 
 def monthly_stats_wide(diaries: DataFrame, emotions: list[str] = vocab.DIARY_EMOTIONS) -> DataFrame:
     """Month records with one count column per given mood, n_0 and on: one hash aggregation, one shuffle."""
     counts = [F.count_if(F.col("emotion") == e).alias(f"n_{i}") for i, e in enumerate(emotions)]
+    high, low = numbers.exact_parts("sentiment_score")
     return by_month(diaries).groupBy(*MONTH_KEY).agg(
         F.count("*").alias("total_count"),
-        numbers.half_up(F.avg("sentiment_score"), 2).alias("average_score"),
+        _mean(F.sum(high), F.sum(low), F.count("sentiment_score")).alias("average_score"),
         *counts,
     )
 

@@ -59,7 +59,7 @@ _COUNTS = (
     "counts AS (SELECT member_id, month_start, emotion, count(*) AS n FROM active "
     "WHERE emotion IS NOT NULL GROUP BY ALL)"
 )
-_MEAN = _half_up("avg(sentiment_score)", 2)
+_MEAN = _half_up("favg(sentiment_score)", 2)
 _WIDE = ", ".join(
     f"CAST(count(*) FILTER (emotion = '{e}') AS BIGINT) AS n_{i}" for i, e in enumerate(vocab.DIARY_EMOTIONS)
 )
@@ -73,7 +73,10 @@ _DOMINANT = " ".join(f"WHEN '{e}' THEN {i}" for i, e in enumerate(vocab.DOMINANT
 
 # Raw links of the pages, in page order.
 _SITE = "regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
-_PAGE_TEXT = "replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+_PAGE_TEXT = (
+    "replace(replace(replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34)), "
+    "'&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+)
 _TITLE = _trim("regexp_replace(" + _PAGE_TEXT.format(c="raw_title") + r", '[ \t\n\f\r]+', ' ', 'g')")
 _LINKS = (
     "found AS (SELECT page_id, url, emotion, "
@@ -202,11 +205,13 @@ _PRODUCT_LINES = [
 ]
 
 _STREAM_STATS = (
-    "WITH " + _REQUESTS + ", moods AS (SELECT member_id, CAST(date_trunc('month', now) AS DATE) AS month_start, emotion, "
-    "count(*) AS n, sum(sentiment_score) AS s FROM written GROUP BY ALL) "
-    "SELECT member_id, month_start, CAST(sum(n) AS BIGINT) AS total_count, "
-    + _half_up("sum(s) / sum(n)", 2) + " AS average_score, "
-    "string_agg(emotion || '=' || n, ',' ORDER BY emotion) AS emotion_counts FROM moods GROUP BY ALL"
+    "WITH " + _REQUESTS + ", months AS (SELECT *, CAST(date_trunc('month', now) AS DATE) AS month_start FROM written), "
+    "moods AS (SELECT member_id, month_start, emotion, count(*) AS n FROM months GROUP BY ALL), "
+    "texts AS (SELECT member_id, month_start, string_agg(emotion || '=' || n, ',' ORDER BY emotion) AS emotion_counts "
+    "FROM moods GROUP BY ALL), record AS (SELECT member_id, month_start, count(*) AS total_count, "
+    + _half_up("fsum(sentiment_score) / count(*)", 2) + " AS average_score FROM months GROUP BY ALL) "
+    "SELECT r.member_id, r.month_start, total_count, average_score, emotion_counts FROM record r "
+    "JOIN texts t ON t.member_id = r.member_id AND t.month_start = r.month_start"
 )
 
 _PLAIN = {c: e.replace("string_t", "VARCHAR") for c, e in JOIN_REQUEST.items()}

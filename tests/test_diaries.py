@@ -1,11 +1,14 @@
 """Statistics, calendar and lookups on hand-made diaries."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from moodspark import schemas, vocab
+from moodspark.functions import numbers
 from moodspark.operators import calendar, catalogue, diaries, stats
 
 
@@ -57,6 +60,19 @@ def test_parts_add_up(spark):
     assert stats.stats_from_parts(parts).first() == together
 
 
+def test_mean_does_not_depend_on_the_order_of_the_rows(spark):
+    scores = [0.7, 0.71, 0.9, 0.83, 0.1, 0.2, 0.3] * 40 + [1e-9, 0.999999999]
+    means = set()
+    for seed in range(5):
+        random.Random(seed).shuffle(scores)
+        rows = frame(spark, *[diary(i, score=s) for i, s in enumerate(scores)]).repartition(seed + 1)
+        high, low = numbers.exact_parts("sentiment_score")
+        exact = rows.agg((F.sum(high) + F.sum(low)).alias("s")).first()["s"]
+        assert exact == math.fsum(scores)
+        means.add(stats.monthly_stats(rows).first()["average_score"])
+    assert len(means) == 1
+
+
 def test_dominant_mood_breaks_ties_by_rank(spark):
     rows = frame(spark, *[diary(i, emotion=e) for i, e in enumerate([vocab.JOY, vocab.SADNESS] * 2 + ["x"] * 2)])
     counts = stats.emotion_counts(rows)
