@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from moodspark import vocab
 from moodspark.functions import numbers
 from moodspark.operators.diaries import active, lookup
-from moodspark.plans.skew import keep_first, salted_join
+from moodspark.plans.skew import hot_keys, keep_first, salted_join
 
 # More (emotion, category) pairs than this are joined by shuffle instead of broadcast.
 BROADCAST_PICKS = 10_000
@@ -43,7 +43,7 @@ def recommend_for_diaries(
     pairs = catalogue.select("emotion", "category").distinct().limit(broadcast_picks + 1).count()
     if pairs <= broadcast_picks:
         return rows.join(F.broadcast(picks), "emotion")
-    return salted_join(rows, picks, ["emotion"], "inner", ["diary_id"])
+    return salted_join(rows, picks, ["emotion"], "inner", ["diary_id"], hot_keys(rows, ["emotion"]))
 
 
 def with_category_icon(catalogue: DataFrame) -> DataFrame:

@@ -30,12 +30,10 @@ def new_by_url(candidates: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def _joiner(rows: DataFrame, size: int, floor: int) -> Join:
     """A join for these rows and what remains of them later: their hot keys are looked up once."""
-    hot = {} if size <= floor else {k: cut_lineage(hot_keys(rows, list(k), floor)) for k in (_URL, _TITLE)}
+    hot = {} if size <= floor else {k: hot_keys(rows, list(k), floor) for k in (_URL, _TITLE)}
 
     def join(left: DataFrame, table: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
-        if not hot:
-            return left.join(table, list(keys), how)
-        return salted_join(left, table, list(keys), how, ["ord"], hot=hot[keys])
+        return salted_join(left, table, list(keys), how, ["ord"], hot.get(keys))
 
     return join
 

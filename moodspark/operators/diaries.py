@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from moodspark import vocab
 from moodspark.functions import dates
-from moodspark.plans.skew import only_wanted, salted_join
+from moodspark.plans.skew import hot_keys, only_wanted, salted_join
 
 PUBLIC = {
     "diary": [
@@ -55,14 +55,15 @@ def diary_detail(diaries: DataFrame, requests: DataFrame) -> DataFrame:
         "id", "member_id", "content", "emotion", "sentiment_score", "date", F.lit(True).alias("_found")
     )
     keys = ["id", "member_id"]
-    joined = salted_join(requests, only_wanted(rows, requests, keys), keys, "left", ["request_id"])
+    wanted = only_wanted(rows, requests, keys)
+    joined = salted_join(requests, wanted, keys, "left", ["request_id"], hot_keys(requests, keys))
     return joined.withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found")
 
 
 def diaries_with_member(diaries: DataFrame, members: DataFrame) -> DataFrame:
     """Each diary with its writer. A member with very many diaries is spread over the reducers."""
     people = members.select(F.col("id").alias("member_id"), "nickname", "provider")
-    return salted_join(diaries, people, ["member_id"], "inner", ["id"])
+    return salted_join(diaries, people, ["member_id"], "inner", ["id"], hot_keys(diaries, ["member_id"]))
 
 
 def public_view(kind: str, df: DataFrame) -> DataFrame:

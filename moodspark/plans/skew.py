@@ -1,11 +1,11 @@
 """Joins and first-per-key picks that hold up when one key has a third of all rows, and when one side is huge."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from moodspark.plans.session import cut_lineage
+
 # A key is hot when it holds more than this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 # Below this many rows one task copes with the key anyway.
@@ -39,16 +39,18 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def hot_keys(rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE) -> DataFrame:
-    """Hashes of the keys with more than `share` of the rows, and the number of parts to split each into.
+def hot_keys(
+    rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE
+) -> DataFrame | None:
+    """Hashes of the keys with more than `share` of the rows and the parts to split each into, or None.
 
     The heavy keys come from frequent-item sketches, merged group by group, so the keys themselves are not
     shuffled. There are at most 1 / share of them, which makes them safe to broadcast, and their parts add up
-    to about twice that at most. A sketch that errs costs a little balance and no row.
+    to about twice that at most. Rows without a key count as a key. A sketch may differ from run to run,
+    so the result is settled here: both sides of a join must see the same parts.
     """
-    known = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
     sketches = (
-        known.select(F.xxhash64(*keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_group"))
+        rows.select(F.xxhash64(*keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_group"))
         .groupBy("_group")
         .agg(F.expr(f"approx_top_k_accumulate(_key, {SKETCH_ITEMS})").alias("_sketch"), F.count("*").alias("_rows"))
     )
@@ -58,36 +60,28 @@ def hot_keys(rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: fl
     )
     top = merged.select("_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {int(1 / HOT_SHARE)})) AS (_key, _n)"))
     part = F.greatest(F.lit(floor), F.col("_rows") * F.lit(share))
-    return top.where(F.col("_n") > part).select("_key", F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
+    parts = F.ceil(F.col("_n") / part).cast("int").alias("_parts")
+    found = cut_lineage(top.where(F.col("_n") > part).select("_key", parts))
+    return None if found.isEmpty() else found
 
 
 def salted_join(
-    rows: DataFrame,
-    table: DataFrame,
-    keys: list[str],
-    how: str,
-    salt_by: list[str],
-    hot: DataFrame | None = None,
-    floor: int = HOT_FLOOR,
-    size: int | None = None,
+    rows: DataFrame, table: DataFrame, keys: list[str], how: str, salt_by: list[str], hot: DataFrame | None
 ) -> DataFrame:
     """Join that splits the hot keys of the left side, so that no reducer gets one whole.
 
-    `table` repeats only the rows of hot keys, once per part. Left rows without a key never match and are
-    spread too. `salt_by` names columns that tell the rows of one key apart; the part depends on nothing
-    else, so a retried task sends every row where it went before. Left rows counted as `size` need none
-    of it if they are few.
+    `table` repeats only the rows of hot keys, once per part. `salt_by` names columns that tell the rows of
+    one key apart; the part depends on nothing else, so a retried task sends every row where it went before.
+    Without hot keys it is the plain join.
     """
-    if size is not None and size <= floor:
+    if hot is None:
         return rows.join(table, keys, how)
-    marks = F.broadcast(hot_keys(rows, keys, floor) if hot is None else hot)
-    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    parts = F.when(unknown, F.lit(int(1 / HOT_SHARE))).otherwise(F.coalesce("_parts", F.lit(1)))
+    marks = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
     left = rows.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*salt_by), parts.cast("bigint")).cast("int")
     )
-    copies = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
     right = table.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
-        "_part", F.explode(copies)
+        "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
     return left.drop("_key", "_parts").join(right.drop("_key", "_parts"), [*keys, "_part"], how).drop("_part")

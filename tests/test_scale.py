@@ -40,7 +40,9 @@ def test_salted_join_gives_what_the_join_gives(spark, how, floor):
     rows = skewed(spark)
     table = spark.createDataFrame([(k, f"v{k}") for k in [*range(1, 300, 2), 1, 3]] + [(None, "n")], "k bigint, v string")
     plain = rows.join(table, "k", how)
-    salted = salted_join(rows, table, ["k"], how, ["id"], floor=floor).select(*plain.columns)
+    hot = hot_keys(rows, ["k"], floor)
+    assert (hot is None) == (floor > 1000)
+    salted = salted_join(rows, table, ["k"], how, ["id"], hot).select(*plain.columns)
     assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
@@ -55,12 +57,13 @@ def test_few_keys_reach_a_large_table_as_a_filter(spark, limit):
 
 def test_hot_keys_are_few_and_known(spark):
     rows = skewed(spark)
-    found = hot_keys(rows, ["k"], floor=100).collect()
-    assert [r["_key"] for r in found] == [spark.sql("SELECT xxhash64(1L)").first()[0]]
-    assert 8 <= found[0]["_parts"] <= 14
+    found = {r["_key"]: r["_parts"] for r in hot_keys(rows, ["k"], floor=100).collect()}
+    one, none = spark.sql("SELECT xxhash64(1L), xxhash64(CAST(NULL AS BIGINT))").first()
+    assert set(found) == {one, none}
+    assert 8 <= found[one] <= 14 and 2 <= found[none] <= 4
     assert 0 < hot_keys(rows, ["k"], floor=0).count() <= 1000
-    assert hot_keys(rows.where("k < 0"), ["k"]).isEmpty()
-    assert hot_keys(rows.where("k is null"), ["k"]).isEmpty()
+    assert hot_keys(rows.where("k < 0"), ["k"]) is None
+    assert hot_keys(rows, ["k"]) is None
 
 
 def test_a_hot_key_is_spread_over_the_reducers(spark):
@@ -73,7 +76,7 @@ def test_a_hot_key_is_spread_over_the_reducers(spark):
             sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
             return max(r["n"] for r in sizes)
 
-        spread = salted_join(rows, table, ["k"], "left", ["id"], floor=100)
+        spread = salted_join(rows, table, ["k"], "left", ["id"], hot_keys(rows, ["k"], floor=100))
         assert largest(rows.join(table, "k", "left")) > 1000
         assert largest(spread) < 700
 
@@ -111,6 +114,17 @@ def test_month_filter_reaches_the_files(spark, tmp_path):
     assert month.count() == 2
 
 
+@pytest.mark.parametrize("compute", [stats.monthly_stats, stats.monthly_stats_wide, stats.emotion_counts])
+def test_one_member_is_a_filter_on_the_scan(spark, tmp_path, compute):
+    path = str(tmp_path / "diaries")
+    rows = [(i, i % 3, "t", None, "x", 0.5, None, dt.date(2024, 5, 5), "ACTIVE", None, None) for i in range(9)]
+    spark.createDataFrame(rows, schemas.DIARIES).write.parquet(path)
+    one = compute(spark.read.parquet(path)).where("member_id = 2")
+    with settings(spark, spark__sql__maxMetadataStringLength=5000):
+        assert "EqualTo(member_id,2)" in executed(one)
+    assert one.count() == 1
+
+
 @pytest.mark.parametrize("name", [n for n in entry_point.queries() if not n.startswith("stream_")])
 def test_plans_stay_in_the_jvm_and_never_pair_everything(spark, small, name):
     plan = executed(entry_point.queries()[name](spark, small))
