@@ -1,6 +1,8 @@
 """Session settings and the shared folder for cutting lineage."""
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach; a private one only in local mode with none configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
@@ -47,10 +49,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes when the session's JVM ends."""
+    folder = f"{shared_folder(spark)}/moodspark-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so that lost executors cost no replay."""
+    """Write the rows to the shared folder and go on from there, so that lost executors cost no replay.
+
+    Parquet, so that later steps read only the columns they need.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(spark, "rows")
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
