@@ -157,7 +157,7 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     coded = pc.dictionary_encode(words.flatten())
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    known = np.fromiter((xxhash.xxh64_intdigest(w) or 1 if w else 0 for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    known = np.fromiter((xxhash.xxh64_intdigest(w) or 1 if w else 0 for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.r_[0, np.cumsum(lengths)].astype(np.int64)
     # An empty text has one empty word, which is dropped.

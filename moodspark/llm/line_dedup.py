@@ -20,7 +20,13 @@ CELL_LINES = 65_536
 SMALL = 48
 HEADS = 16
 # Matches that a line reports for each word of its prefix, before it is known whether one of them holds.
-REPORTS = 3
+REPORTS = 2
+# Lines of more words have parities of 128 classes of words instead of 64.
+LONG = 64
+# Lines' words that one task puts in order.
+TASK_WORDS = 500_000
+# Words whose list is sent to all tasks.
+MOST_WORDS = 500_000
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -71,15 +77,15 @@ def _sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int, cell_lines: int = CELL_LINES) -> DataFrame:
-    """doc_id, line, n, k1, k2, bits, prefix of every line with enough different words.
+    """doc_id, line, n, k1, k2, bits, bits2, prefix of every line with enough different words.
 
-    k1 and k2 are a hash of the set; `bits` has the parity of the number of words for each of 64 classes of words, so
-    it differs in no more bits than two sets differ in words. The prefix has a hash for each of its words, or several
+    k1 and k2 are a hash of the set; `bits`, and `bits2` for long lines, have the parity of the number of words for
+    each class of words, so they differ in no more bits than two sets differ in words. The prefix has a hash for each of its words, or several
     for one that very many lines have: a cell for each pair of parts that the line's part is in.
     """
     table = docs.sparkSession.sparkContext.broadcast(counts)
     kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
-                      ("bits", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+                      ("bits", pa.int64()), ("bits2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(rows):
         for batch in batches(rows, 8 << 20):
@@ -92,12 +98,13 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
             sums = [np.r_[np.uint64(0), np.cumsum(mix(words, s), dtype=np.uint64)] for s in (5, 6)]
             with np.errstate(over="ignore"):
                 k1, k2 = ((s[start[1:]] - s[start[:-1]])[keep] for s in sums)
-            flags = np.uint64(1) << (mix(words, 7) & np.uint64(63))
-            bits = np.bitwise_xor.reduceat(flags, start[:-1][keep])
-            # The next line kept may begin later than this one ends; what is between belongs to neither.
-            if len(keep) < len(n):
-                padded = np.r_[np.uint64(0), np.bitwise_xor.accumulate(flags)]
-                bits = padded[start[1:][keep]] ^ padded[start[:-1][keep]]
+            drawn = mix(words, 7)
+            flags = np.uint64(1) << (drawn & np.uint64(63))
+            high = (drawn & np.uint64(64)) > 0
+            halves = [np.where(high == h, flags, np.uint64(0)) for h in (False, True)]
+            low, top = (_parity(half, start)[keep] for half in halves)
+            long = n[keep] > LONG
+            bits, bits2 = np.where(long, low, low ^ top), np.where(long, top, np.uint64(0))
             p = prefix_length(n[keep], threshold)
             first = np.r_[0, np.cumsum(p)]
             at = np.arange(first[-1]) - np.repeat(first[:-1], p) + np.repeat(start[:-1][keep], p)
@@ -109,10 +116,16 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)),
                  pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bits.view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))], schema=kind,
+                 pa.array(bits2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))], schema=kind,
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, line int, n int, k1 long, k2 long, bits long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, prefix array<long>")
+
+
+def _parity(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The exclusive or of each line's flags."""
+    rolled = np.r_[np.uint64(0), np.bitwise_xor.accumulate(flags)]
+    return rolled[start[1:]] ^ rolled[start[:-1]]
 
 
 def _cells(prefix: np.ndarray, parts: np.ndarray, key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,18 +140,29 @@ def _cells(prefix: np.ndarray, parts: np.ndarray, key: np.ndarray, p: np.ndarray
     return cells, totals[ends] - totals[ends - p]
 
 
-def _could_match(n1, pos1, bits1, n2, pos2, bits2, threshold):
-    """Length, position and parity filters; none loses a pair, over all the words that the two prefixes share."""
-    total = n1 + n2
-    overlap = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-    return (
-        (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
-        & (1 + np.minimum(n1 - pos1, n2 - pos2) - 1 >= overlap)
-        & (np.bitwise_count(bits1 ^ bits2) <= total - 2 * overlap)
+def _long_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, threshold: float) -> np.ndarray:
+    """Length and position filters; neither loses a pair, over all the words that the two prefixes share.
+
+    The two arrays of places are of one shape, or a column and a row; so they are below.
+    """
+    n1, n2 = cols["n"][late], cols["n"][early]
+    left = np.minimum(n1 - cols["pos"][late], n2 - cols["pos"][early])
+    return (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9) & ((1 + threshold) * left >= threshold * (n1 + n2) - 1e-9)
+
+
+def _alike_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, threshold: float) -> np.ndarray:
+    """Parity filter: two sets differ in at least as many words as their parities in bits."""
+    n1, n2 = cols["n"][late], cols["n"][early]
+    low = cols["bits"][late] ^ cols["bits"][early]
+    top = cols["bits2"][late] ^ cols["bits2"][early]
+    # A long line's parities fold into those that a short one has.
+    apart = np.where(
+        (n1 > LONG) == (n2 > LONG), np.bitwise_count(low).astype(np.int64) + np.bitwise_count(top), np.bitwise_count(low ^ top)
     )
+    return (1 + threshold) * apart <= (1 - threshold) * (n1 + n2) + 1e-9
 
 
-def _small_groups(first: np.ndarray, n, pos, bits, threshold) -> tuple[np.ndarray, np.ndarray]:
+def _small_groups(cols, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a line and an earlier one; `first` is where each line's word begins."""
     here = np.arange(len(first))
     many = here - first
@@ -146,56 +170,58 @@ def _small_groups(first: np.ndarray, n, pos, bits, threshold) -> tuple[np.ndarra
     total = np.r_[0, np.cumsum(many)]
     low = 0
     while low < len(here):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + 4_000_000, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(total, total[low] + 400_000, "right")) - 1)
         i = np.repeat(here[low:high], many[low:high])
         j = np.arange(len(i)) - np.repeat(total[low:high] - total[low], many[low:high]) + first[i]
-        ok = _could_match(n[i], pos[i], bits[i], n[j], pos[j], bits[j], threshold)
-        late.append(i[ok])
-        early.append(j[ok])
+        for test in (_long_enough, _alike_enough):
+            ok = test(cols, i, j, threshold)
+            i, j = i[ok], j[ok]
+        late.append(i)
+        early.append(j)
         low = high
     return np.concatenate(late), np.concatenate(early)
 
 
-def _large_group(n, pos, bits, threshold, probe) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _large_group(cols, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one word of many lines: the first lines are tried first, all earlier ones only where these fail.
 
-    Also, for each line, whether earlier ones were left untried.
+    Also, for each line, whether earlier ones were left untried, which `every` forbids.
     """
     late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n, probe = cols["n"], cols["probe"]
     untried = np.zeros(len(n), bool)
 
     def test(i, j):
-        ok = _could_match(n[i][:, None], pos[i][:, None], bits[i][:, None], n[j], pos[j], bits[j], threshold) & (j < i[:, None])
+        i, j = i[:, None], j[None, :]
+        ok = _long_enough(cols, i, j, threshold) & _alike_enough(cols, i, j, threshold) & (j < i)
         a, b = np.nonzero(ok)
-        late.append(i[a])
-        early.append(j[b])
+        late.append(i[a, 0])
+        early.append(j[0, b])
         return ok.any(1)
 
-    for low in range(0, len(n), 1024):
-        i = np.arange(low, min(low + 1024, len(n)))
-        if probe is not None:
-            i = i[probe[i]]
-        else:
+    for low in range(0, len(n), 256):
+        i = np.arange(low, min(low + 256, len(n)))
+        i = i[probe[i]]
+        if not every:
             untried[i] = test(i, np.arange(min(HEADS, len(n))))
             i = i[~untried[i]]
-        for a in range(0, low + 1024 if len(i) else 0, 8192):
-            test(i, np.arange(a, min(a + 8192, low + 1024, len(n))))
+        for a in range(0, low + 256 if len(i) else 0, 4096):
+            test(i, np.arange(a, min(a + 4096, low + 256, len(n))))
     late, early = np.concatenate(late), np.concatenate(early)
     order = np.lexsort((early, late))
     return late[order], early[order], untried
 
 
 def _candidates(threshold: float, reports: int | None):
-    """A pass over lines sorted by word, document and line: each line with earlier ones that it may match."""
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()),
-                      ("n2", pa.int32()), ("more", pa.bool_())])
+    """A pass over all lines of some words: each line with earlier ones that it may match.
+
+    A task holds its rows, whose number is set by `_pairs`; the lines of a very common word are in cells.
+    """
+    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
 
     def found(cols, late, early, untried=None):
-        if "probe" in cols:
-            own = cols["probe"][late]
-            late, early = late[own], early[own]
-        pair = np.unique(late * len(cols["n"]) + early)  # a line may have a word's cell once only, but stay safe
-        late, early = pair // len(cols["n"]), pair % len(cols["n"])
+        own = cols["probe"][late]
+        late, early = late[own], early[own]
         more = np.zeros(len(late), bool)
         if reports is not None and len(late):
             heads = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
@@ -207,7 +233,7 @@ def _candidates(threshold: float, reports: int | None):
             late, early, more = late[keep], early[keep], more[keep]
         if len(late):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[c][k]) for k in (late, early) for c in ("doc_id", "line", "n")] + [pa.array(more)], schema=kind
+                [pa.array(cols[c][k]) for k in (late, early) for c in ("doc_id", "line")] + [pa.array(more)], schema=kind
             )
 
     def groups(cols):
@@ -220,46 +246,62 @@ def _candidates(threshold: float, reports: int | None):
             w = part["word"]
             heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             first = np.repeat(heads, np.diff(np.r_[heads, len(w)]))
-            yield from found(part, *_small_groups(first, part["n"], part["pos"], part["bits"], threshold))
+            yield from found(part, *_small_groups(part, first, threshold))
         for k in np.flatnonzero(sizes > SMALL):
             part = {c: v[edges[k]:edges[k + 1]] for c, v in cols.items()}
-            yield from found(part, *_large_group(part["n"], part["pos"], part["bits"], threshold, part.get("probe")))
+            yield from found(part, *_large_group(part, threshold, reports is None))
 
     def run(rows):
-        held: dict[str, np.ndarray] = {}
-        parts: list[dict[str, np.ndarray]] = []
-
-        def flush():
-            return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-
-        waiting = 0
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
-            cols["bits"] = cols["bits"].view(np.uint64)
-            parts.append(cols)
-            waiting += batch.num_rows
-            # The last word may go on in the next batch.
-            if waiting >= 200_000 and parts[0]["word"][0] != cols["word"][-1]:
-                held = flush()
-                cut = np.searchsorted(held["word"], held["word"][-1])
-                yield from groups({c: v[:cut] for c, v in held.items()})
-                parts = [{c: v[cut:] for c, v in held.items()}]
-                waiting = len(parts[0]["word"])
+        parts = [np.frombuffer(blob.as_buffer(), _ENTRY) for batch in rows for blob in batch["entries"]]
         if parts:
-            yield from groups(flush())
+            every = np.concatenate(parts)
+            del parts
+            cols = {c: np.ascontiguousarray(every[c]) for c in _ENTRY.names}
+            del every
+            order = np.lexsort((cols["line"], cols["doc_id"], cols["word"]))
+            yield from groups({c: v[order] for c, v in cols.items()})
 
     return run
 
 
-_PAIR = "doc_id long, line int, n int, doc_id2 long, line2 int, n2 int, more boolean"
+_PAIR = "doc_id long, line int, doc_id2 long, line2 int, more boolean"
+# A word of a line's prefix: the line, its number of words, the word's place among them, parities, whether it is asked for.
+_ENTRY = np.dtype([("word", "u8"), ("doc_id", "i8"), ("bits", "u8"), ("bits2", "u8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("probe", "?")])
 
 
-def _pairs(entries: DataFrame, threshold: float, reports: int | None) -> DataFrame:
-    dealt = entries.repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    found = dealt.mapInArrow(_candidates(threshold, reports), _PAIR)
-    return cut_lineage(found.groupBy("doc_id", "line", "n", "doc_id2", "line2", "n2").agg(F.max("more").alias("more")))
+def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, words: np.ndarray | None = None) -> DataFrame:
+    """Lines with earlier ones that they may match, from lines with `probe`; only by the given words, if there are any.
+
+    The words of all prefixes are dealt to tasks by hash, packed by the task that they go to.
+    """
+    parts = max(1, -(-rows // TASK_WORDS))
+    blocks = 4 * parts
+
+    def spread(rows):
+        for batch in rows:
+            prefix = batch["prefix"]
+            n = pc.list_value_length(prefix).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(n)), n)
+            out = np.empty(len(owner), _ENTRY)
+            out["word"] = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            out["pos"] = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            for c in ("doc_id", "line", "n", "bits", "bits2", "probe"):
+                values = batch[c].to_numpy(zero_copy_only=False)
+                out[c] = (values.view(np.uint64) if c.startswith("bits") else values)[owner]
+            if words is not None:
+                out = out[np.isin(out["word"], words)]
+            block = (mix(out["word"], 11) % np.uint64(blocks)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            out, block = out[order], block[order]
+            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, int)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[edges[:-1]]), pa.array([out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
+                ["block", "entries"],
+            )
+
+    packed = lines.select("doc_id", "line", "n", "bits", "bits2", "prefix", "probe").mapInArrow(spread, "block int, entries binary")
+    found = packed.repartition(parts, "block").mapInArrow(_candidates(threshold, reports), _PAIR)
+    return cut_lineage(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.max("more").alias("more")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -286,7 +328,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             )
 
     texts = _texts(docs).join(measured(wanted, F.size("lines") * 4 + 24), "doc_id")
-    words = cut_lineage(texts.mapInArrow(run, "doc_id long, line int, words array<long>").dropDuplicates(["doc_id", "line"]))
+    # Rows that share an id may give a line twice; then either may match.
+    words = cut_lineage(texts.mapInArrow(run, "doc_id long, line int, words array<long>"))
     other = words.select(F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["doc_id", "line"]).join(other, ["doc_id2", "line2"])
     common = F.size(F.array_intersect("words", "words2"))
@@ -302,24 +345,29 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = L
     """
     counts = word_counts(docs)
     lines = cut_lineage(line_sets(docs, counts, threshold, least, cell_lines))
-    reps = cut_lineage(lines.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "line", "n", "bits", "prefix")).alias("first"), F.count("*").alias("rows")
-    ).select("k1", "k2", "first.*", "rows"))
-    often = reps.where("rows > 1").select(
-        F.concat_ws(":", "k1", "k2").alias("key"), F.col("doc_id").alias("doc_id0"), F.col("line").alias("line0"), "rows"
-    )
-    copies = join_unique(lines.select("doc_id", "line", F.concat_ws(":", "k1", "k2").alias("key")), often, "key", "rows", "doc_id", "inner")
-    copies = copies.where("doc_id <> doc_id0 OR line <> line0").select("doc_id", "line")
-
-    entries = reps.select("doc_id", "line", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    pairs = _pairs(entries, threshold, REPORTS)
+    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("rows"))
+    often = cut_lineage(sets.where("rows > 1").select(
+        F.concat_ws(":", "k1", "k2").alias("key"), F.col("first.doc_id").alias("doc_id0"), F.col("first.line").alias("line0"), "rows"
+    ))
+    named = lines.select("doc_id", "line", F.concat_ws(":", "k1", "k2").alias("key"))
+    few = measured(often, 80)
+    copies = join_unique(named, often, "key", "rows", "doc_id", "inner") if few is often else named.join(few, "key")
+    copies = cut_lineage(copies.where("doc_id <> doc_id0 OR line <> line0").select("doc_id", "line").distinct())
+
+    # One line for each set goes on.
+    reps = lines.join(measured(copies, 16), ["doc_id", "line"], "left_anti")
+    rows = lines.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    pairs = _pairs(reps.withColumn("probe", F.lit(True)), rows, threshold, REPORTS)
     matched = cut_lineage(_verified(docs, pairs, threshold))
     open_ = cut_lineage(pairs.where("more").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"))
     if not open_.isEmpty():
         asked = measured(open_.withColumn("probe", F.lit(True)), 16)
-        words = cut_lineage(entries.join(asked, ["doc_id", "line"], "left_semi").select("word").distinct())
-        marked = entries.join(measured(words, 8), "word", "left_semi").join(asked, ["doc_id", "line"], "left")
-        again = _pairs(marked.withColumn("probe", F.coalesce("probe", F.lit(False))), threshold, None)
+        marked = reps.join(asked, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
+        sought = marked.where("probe").select(F.explode("prefix").alias("word")).distinct()
+        # Other words' lines are left out, if a list of the words is small enough to go to all tasks.
+        words = [r["word"] for r in sought.limit(MOST_WORDS + 1).collect()]
+        few = np.array(words, np.int64).view(np.uint64) if len(words) <= MOST_WORDS else None
+        again = _pairs(marked, rows, threshold, None, few)
         matched = matched.unionByName(_verified(docs, again, threshold))
     return copies.unionByName(matched).distinct()
 
