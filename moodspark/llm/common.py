@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table of up to this many bytes, as measured, is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 64 * 1024 * 1024
+# What a row costs in a broadcast table besides its values.
+ROW_BYTES = 64
 # A key with more rows than this is split into parts of this size.
 HOT_ROWS = 200_000
 
@@ -26,7 +28,8 @@ def whole_text(name: str = "text") -> Column:
 
 def measured(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table with a broadcast hint if its measured size allows that, else as it is."""
-    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("bytes")).first()["bytes"]
+    values = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    size = df.agg(F.sum(values + F.lit(ROW_BYTES)).alias("bytes")).first()["bytes"]
     return F.broadcast(df) if (size or 0) <= limit else df
 
 
@@ -66,29 +69,30 @@ def partition_sums(
     """
     schema = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
 
-    def row(total):
-        blob = total.astype(kind).tobytes()
-        return pa.RecordBatch.from_pydict({"slot": [TaskContext.get().partitionId()], "sums": [blob]}, schema)
-
-    def local(rows):
-        total = np.zeros(width)
-        for batch in rows:
-            if batch.num_rows:
-                total += add(batch)
-        yield row(total)
-
-    def merge(rows):
-        total = np.zeros(width)
-        for batch in rows:
-            for blob in batch["sums"]:
-                total += np.frombuffer(blob.as_py(), kind)
-        yield row(total)
+    def add_up(tasks, blobs):
+        def run(rows):
+            total, seen = np.zeros(width), False
+            for batch in rows:
+                if blobs:
+                    for blob in batch["sums"]:
+                        total += np.frombuffer(blob.as_py(), kind)
+                        seen = True
+                elif batch.num_rows:
+                    total += add(batch)
+                    seen = True
+            if seen:
+                slot = TaskContext.get().partitionId() % tasks
+                yield pa.RecordBatch.from_pydict({"slot": [slot], "sums": [total.astype(kind).tobytes()]}, schema)
+
+        return run
 
     shape = "slot int, sums binary"
-    sums, tasks = df.mapInArrow(local, shape), df.rdd.getNumPartitions()
-    while tasks > 8:
-        tasks = max(8, -(-tasks // fan))
-        sums = sums.repartition(tasks, "slot").mapInArrow(merge, shape)
+    tasks = df.rdd.getNumPartitions()
+    into = max(4, -(-tasks // fan))
+    sums = df.mapInArrow(add_up(into, False), shape)
+    while tasks > 4:
+        tasks, into = into, max(4, -(-into // fan))
+        sums = sums.repartition(tasks, "slot").mapInArrow(add_up(into, True), shape)
     total = np.zeros(width)
     for found in sums.collect():
         total += np.frombuffer(found["sums"], kind)
@@ -154,13 +158,13 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import xxhash
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
+    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     coded = pc.dictionary_encode(words.flatten())
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     known = np.fromiter((xxhash.xxh64_intdigest(w) or 1 if w else 0 for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    # An empty text has one empty word, which is dropped.
+    # Blanks at either end, and an empty text, give empty words, which are dropped.
     empty = known[codes] == 0 if len(known) else np.zeros(0, bool)
     if empty.any():
         start = start - np.r_[0, np.cumsum(empty)][start]

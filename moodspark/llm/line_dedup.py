@@ -18,9 +18,9 @@ COUNTERS = 1 << 20
 CELL_LINES = 65_536
 # Up to this many lines of a word all pairs are tested at once.
 SMALL = 48
-HEADS = 16
-# Matches that a line reports for each word of its prefix, before it is known whether one of them holds.
-REPORTS = 2
+HEADS = 8
+# Of more possible matches than this, for each word of its prefix, a line reports the likeliest alone at first.
+REPORTS = 6
 # Lines of more words have parities of 128 classes of words instead of 64.
 LONG = 64
 # Lines' words that one task puts in order.
@@ -150,20 +150,22 @@ def _long_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarra
     return (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9) & ((1 + threshold) * left >= threshold * (n1 + n2) - 1e-9)
 
 
-def _alike_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, threshold: float) -> np.ndarray:
-    """Parity filter: two sets differ in at least as many words as their parities in bits."""
-    n1, n2 = cols["n"][late], cols["n"][early]
+def _apart(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray) -> np.ndarray:
+    """In how many bits parities differ; two sets differ in at least as many words."""
     low = cols["bits"][late] ^ cols["bits"][early]
     top = cols["bits2"][late] ^ cols["bits2"][early]
     # A long line's parities fold into those that a short one has.
-    apart = np.where(
-        (n1 > LONG) == (n2 > LONG), np.bitwise_count(low).astype(np.int64) + np.bitwise_count(top), np.bitwise_count(low ^ top)
-    )
-    return (1 + threshold) * apart <= (1 - threshold) * (n1 + n2) + 1e-9
+    same = (cols["n"][late] > LONG) == (cols["n"][early] > LONG)
+    return np.where(same, np.bitwise_count(low).astype(np.int32) + np.bitwise_count(top), np.bitwise_count(low ^ top))
+
+
+def _alike_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, threshold: float) -> np.ndarray:
+    """Parity filter."""
+    return (1 + threshold) * _apart(cols, late, early) <= (1 - threshold) * (cols["n"][late] + cols["n"][early]) + 1e-9
 
 
 def _small_groups(cols, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a line and an earlier one; `first` is where each line's word begins."""
+    """Pairs of a line and an earlier one; `first` is where each line's word begins. Lines of a word are in no order."""
     here = np.arange(len(first))
     many = here - first
     late, early = [], []
@@ -176,39 +178,47 @@ def _small_groups(cols, first: np.ndarray, threshold: float) -> tuple[np.ndarray
         for test in (_long_enough, _alike_enough):
             ok = test(cols, i, j, threshold)
             i, j = i[ok], j[ok]
-        late.append(i)
-        early.append(j)
+        doc, line = cols["doc_id"], cols["line"]
+        swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
+        late.append(np.where(swap, j, i))
+        early.append(np.where(swap, i, j))
         low = high
     return np.concatenate(late), np.concatenate(early)
 
 
-def _large_group(cols, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for one word of many lines: the first lines are tried first, all earlier ones only where these fail.
+def _large_groups(cols, first: np.ndarray, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words of many lines, which are in order of document and line.
 
-    Also, for each line, whether earlier ones were left untried, which `every` forbids.
+    Each line is tried with the first ones of its word, and only if these fail with all earlier ones. Also says for
+    each line whether earlier ones were left untried; with `every` all are tried.
     """
+    here = np.arange(len(first))
     late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    n, probe = cols["n"], cols["probe"]
-    untried = np.zeros(len(n), bool)
+    untried = np.zeros(len(first), bool)
 
     def test(i, j):
-        i, j = i[:, None], j[None, :]
-        ok = _long_enough(cols, i, j, threshold) & _alike_enough(cols, i, j, threshold) & (j < i)
-        a, b = np.nonzero(ok)
-        late.append(i[a, 0])
-        early.append(j[0, b])
-        return ok.any(1)
-
-    for low in range(0, len(n), 256):
-        i = np.arange(low, min(low + 256, len(n)))
-        i = i[probe[i]]
-        if not every:
-            untried[i] = test(i, np.arange(min(HEADS, len(n))))
-            i = i[~untried[i]]
-        for a in range(0, low + 256 if len(i) else 0, 4096):
-            test(i, np.arange(a, min(a + 4096, low + 256, len(n))))
+        for filter_ in (_long_enough, _alike_enough):
+            ok = filter_(cols, i, j, threshold)
+            i, j = i[ok], j[ok]
+        late.append(i)
+        early.append(j)
+        return i
+
+    heads = 0 if every else HEADS
+    for h in range(heads):
+        i = here[cols["probe"] & (here - first > h)]
+        untried[test(i, first[i] + h)] = True
+    rest = np.flatnonzero(cols["probe"] & ~untried & (here - first > heads))
+    many = rest - first[rest] - heads
+    total = np.r_[0, np.cumsum(many)]
+    low = 0
+    while low < len(rest):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + 400_000, "right")) - 1)
+        i = np.repeat(rest[low:high], many[low:high])
+        test(i, np.arange(len(i)) - np.repeat(total[low:high] - total[low], many[low:high]) + first[i] + heads)
+        low = high
     late, early = np.concatenate(late), np.concatenate(early)
-    order = np.lexsort((early, late))
+    order = np.argsort(late, kind="stable")
     return late[order], early[order], untried
 
 
@@ -217,24 +227,30 @@ def _candidates(threshold: float, reports: int | None):
 
     A task holds its rows, whose number is set by `_pairs`; the lines of a very common word are in cells.
     """
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("more", pa.bool_())])
+    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("doc_id2", pa.int64()), ("line2", pa.int32()), ("apart", pa.int32()),
+                      ("more", pa.bool_())])
 
     def found(cols, late, early, untried=None):
         own = cols["probe"][late]
         late, early = late[own], early[own]
+        if not len(late):
+            return
+        apart = _apart(cols, late, early).astype(np.int32)
+        order = np.lexsort((early, apart, late))
+        late, early, apart = late[order], early[order], apart[order]
         more = np.zeros(len(late), bool)
-        if reports is not None and len(late):
+        if reports is not None:
             heads = np.flatnonzero(np.r_[True, late[1:] != late[:-1]])
             sizes = np.diff(np.r_[heads, len(late)])
             more = np.repeat(sizes > reports, sizes)
+            keep = ~more
+            keep[heads] = True
             if untried is not None:
                 more |= untried[late]
-            keep = np.arange(len(late)) - np.repeat(heads, sizes) < reports
-            late, early, more = late[keep], early[keep], more[keep]
-        if len(late):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[c][k]) for k in (late, early) for c in ("doc_id", "line")] + [pa.array(more)], schema=kind
-            )
+            late, early, apart, more = late[keep], early[keep], apart[keep], more[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[c][k]) for k in (late, early) for c in ("doc_id", "line")] + [pa.array(apart), pa.array(more)], schema=kind
+        )
 
     def groups(cols):
         word = cols["word"]
@@ -247,9 +263,15 @@ def _candidates(threshold: float, reports: int | None):
             heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
             first = np.repeat(heads, np.diff(np.r_[heads, len(w)]))
             yield from found(part, *_small_groups(part, first, threshold))
-        for k in np.flatnonzero(sizes > SMALL):
-            part = {c: v[edges[k]:edges[k + 1]] for c, v in cols.items()}
-            yield from found(part, *_large_group(part, threshold, reports is None))
+        large = np.repeat(sizes > SMALL, sizes)
+        if large.any():
+            order = np.flatnonzero(large)
+            order = order[np.lexsort((cols["line"][order], cols["doc_id"][order], word[order]))]
+            part = {c: v[order] for c, v in cols.items()}
+            w = part["word"]
+            heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            first = np.repeat(heads, np.diff(np.r_[heads, len(w)]))
+            yield from found(part, *_large_groups(part, first, threshold, reports is None))
 
     def run(rows):
         parts = [np.frombuffer(blob.as_buffer(), _ENTRY) for batch in rows for blob in batch["entries"]]
@@ -258,13 +280,13 @@ def _candidates(threshold: float, reports: int | None):
             del parts
             cols = {c: np.ascontiguousarray(every[c]) for c in _ENTRY.names}
             del every
-            order = np.lexsort((cols["line"], cols["doc_id"], cols["word"]))
+            order = np.argsort(cols["word"])
             yield from groups({c: v[order] for c, v in cols.items()})
 
     return run
 
 
-_PAIR = "doc_id long, line int, doc_id2 long, line2 int, more boolean"
+_PAIR = "doc_id long, line int, doc_id2 long, line2 int, apart int, more boolean"
 # A word of a line's prefix: the line, its number of words, the word's place among them, parities, whether it is asked for.
 _ENTRY = np.dtype([("word", "u8"), ("doc_id", "i8"), ("bits", "u8"), ("bits2", "u8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("probe", "?")])
 
@@ -301,11 +323,14 @@ def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, w
 
     packed = lines.select("doc_id", "line", "n", "bits", "bits2", "prefix", "probe").mapInArrow(spread, "block int, entries binary")
     found = packed.repartition(parts, "block").mapInArrow(_candidates(threshold, reports), _PAIR)
-    return cut_lineage(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.max("more").alias("more")))
+    return cut_lineage(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, line of the pairs whose Jaccard similarity, over all words of both lines, reaches the threshold."""
+    """doc_id, line of the pairs whose Jaccard similarity, over all words of both lines, reaches the threshold.
+
+    Of each line the likeliest pair is tried first, the others only if it fails.
+    """
     ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line")))
     wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
@@ -330,6 +355,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     texts = _texts(docs).join(measured(wanted, F.size("lines") * 4 + 24), "doc_id")
     # Rows that share an id may give a line twice; then either may match.
     words = cut_lineage(texts.mapInArrow(run, "doc_id long, line int, words array<long>"))
+    best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc_id2", "line2")).alias("best"))
+    matched = cut_lineage(_similar(best.select("doc_id", "line", "best.doc_id2", "best.line2"), words, threshold))
+    rest = pairs.select("doc_id", "line", "doc_id2", "line2").join(measured(matched, 16), ["doc_id", "line"], "left_anti")
+    return matched.unionByName(_similar(rest, words, threshold))
+
+
+def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     other = words.select(F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["doc_id", "line"]).join(other, ["doc_id2", "line2"])
     common = F.size(F.array_intersect("words", "words2"))
