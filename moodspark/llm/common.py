@@ -158,13 +158,14 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import xxhash
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    words = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    # Trimmed first, as Arrow's split sometimes keeps a blank at the very end in the last word.
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     coded = pc.dictionary_encode(words.flatten())
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
     known = np.fromiter((xxhash.xxh64_intdigest(w) or 1 if w else 0 for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    # Blanks at either end, and an empty text, give empty words, which are dropped.
+    # An empty text has one empty word, which is dropped.
     empty = known[codes] == 0 if len(known) else np.zeros(0, bool)
     if empty.any():
         start = start - np.r_[0, np.cumsum(empty)][start]
