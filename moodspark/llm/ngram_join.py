@@ -23,6 +23,8 @@ RANGES = 128
 # A larger bucket, or class, is dealt to several tasks.
 BUCKET_ROWS = 50_000
 CELL_ROWS = 1_024
+# Hashes of all sets in a part of a class.
+CELL_HASHES = 500_000
 
 
 def runs(threshold: float, recall: float) -> int:
@@ -116,7 +118,7 @@ def _deeper(docs: DataFrame, frontier: DataFrame, level: int, threshold: float,
             # A set for each of its paths, one after the other.
             which = np.repeat(np.arange(len(keys)), [len(p) if ok else 0 for p, ok in zip(paths, right)])
             parent = np.array([p for ps, ok in zip(paths, right) if ok for p in ps], np.int64).view(np.uint64)
-            step = max(1, 2_000_000 // max(1, int(np.diff(start).max(initial=1))))
+            step = max(1, 500_000 // max(1, int(np.diff(start).max(initial=1))))
             for a in range(0, len(which), step):
                 w = which[a:a + step]
                 n = np.diff(start)[w]
@@ -229,10 +231,12 @@ def _pairs(sets: list[np.ndarray], sizes: np.ndarray, rows: slice, threshold: fl
 def links(docs: DataFrame, members: DataFrame, threshold: float, width: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """key, n_links, linked: how many sets of its candidate class each is linked to, and some that connect them.
 
-    Every set of a class meets every other one, exactly; `members` has doc_id, key, root. A class of more than
-    `cell_rows` sets is cut into parts, each pair of which is a cell of its own; pairs are counted, not listed.
+    Every set of a class meets every other one, exactly; `members` has doc_id, key, n, root. A class of more than
+    `cell_rows` sets, or CELL_HASHES hashes, is cut into parts, each pair of which is a cell of its own; pairs are
+    counted, not listed.
     """
-    sized = members.join(members.groupBy("root").agg(F.count("*").alias("size")), "root")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(cell_rows)), F.ceil(F.sum("n") / F.lit(CELL_HASHES)))
+    sized = members.drop("n").join(members.groupBy("root").agg(parts.alias("parts")), "root")
     wanted = cut_lineage(sized)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
@@ -242,13 +246,12 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, width: int, cel
             keys = _keys(values, start)
             right = np.array([a == b for a, b in zip(keys, batch["key"].to_pylist())], bool)
             blobs = pa.array([values[start[k]:start[k + 1]].tobytes() if right[k] else b"" for k in range(len(keys))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["key"], batch["root"], batch["size"], blobs], ["key", "root", "size", "hashes"]).filter(pa.array(right))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["root"], batch["parts"], blobs], ["key", "root", "parts", "hashes"]).filter(pa.array(right))
 
-    found = texts.join(measured(wanted, 80), "doc_id").mapInArrow(sets, "key binary, root binary, size long, hashes binary")
+    found = texts.join(measured(wanted, 80), "doc_id").mapInArrow(sets, "key binary, root binary, parts long, hashes binary")
     # A document whose id is repeated may give a set twice, which a cell brings together.
-    parts = F.ceil(F.col("size") / F.lit(cell_rows))
-    own = F.pmod(F.xxhash64("key"), parts)
-    dealt = found.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    own = F.pmod(F.xxhash64("key"), F.col("parts"))
+    dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     cells = dealt.select(
         F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "root", "key", "own",
         F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "hashes",
@@ -315,7 +318,7 @@ def near_duplicates(
     first = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     reps = cut_lineage(rows.join(first, ["key", "doc_id"]).dropDuplicates(["key"]))
     paths = cut_lineage(buckets(docs, reps, threshold, width, leaf, levels))
-    members = cut_lineage(candidate_classes(reps, paths, bucket_rows).join(reps.select("key", "doc_id"), "key"))
+    members = cut_lineage(candidate_classes(reps, paths, bucket_rows).join(reps.select("key", "doc_id", "n"), "key"))
     found = cut_lineage(links(docs, members, threshold, width, cell_rows))
     roots = components(found.select(F.col("key").alias("a"), F.col("linked").alias("b")))
     counts = found.groupBy("key").agg(F.sum("n_links").alias("n_links"))
