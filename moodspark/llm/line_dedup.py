@@ -306,7 +306,9 @@ def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, w
             owner = np.repeat(np.arange(len(n)), n)
             out = np.empty(len(owner), _ENTRY)
             out["word"] = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            out["pos"] = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            # With cells in a prefix its places are unknown, and 0 keeps the filter by position from dropping anything.
+            plain = n == prefix_length(batch["n"].to_numpy(zero_copy_only=False).astype(np.int64), threshold)
+            out["pos"] = np.where(plain[owner], np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), 0)
             for c in ("doc_id", "line", "n", "bits", "bits2", "probe"):
                 values = batch[c].to_numpy(zero_copy_only=False)
                 out[c] = (values.view(np.uint64) if c.startswith("bits") else values)[owner]

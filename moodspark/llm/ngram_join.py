@@ -158,7 +158,7 @@ def buckets(docs: DataFrame, reps: DataFrame, threshold: float, width: int, leaf
 
 
 def _linked(rows, join_at: float, connect_at: float, leaders_too: bool):
-    """Edges from each set of a bucket to the leaders that it may be in one class with.
+    """Edges that connect each set of a bucket with the leaders that it may be in one class with, one or two a set.
 
     A set without a leader as alike as `join_at` becomes one. By the triangle inequality of the Jaccard distance, two
     sets at the threshold have leaders in common, or connected, at `connect_at`.
@@ -167,17 +167,32 @@ def _linked(rows, join_at: float, connect_at: float, leaders_too: bool):
     for group in sorted_groups(rows, "bucket"):
         keys, sketches = group["key"].to_pylist(), group["sketch"].to_pylist()
         path = group["path"][0].as_py()
-        leaders, matrix = [], np.zeros((0, RANGES), np.uint16)
+        leaders, matrix, above = [], np.zeros((0, RANGES), np.uint16), []
         out = []
+
+        def top(k):
+            while above[k] != k:
+                above[k] = above[above[k]]
+                k = above[k]
+            return k
+
         for key, sketch in zip(keys, sketches):
             own = np.frombuffer(sketch, np.uint16)
             likeness = _alike(own, matrix) if leaders else np.zeros(0)
-            out += [(key, leaders[k], path, None, None) for k in np.flatnonzero(likeness >= connect_at)]
+            near = np.flatnonzero(likeness >= connect_at).tolist()
             if not (likeness >= join_at).any():
+                near.append(len(leaders))
+                above.append(len(leaders))
                 leaders.append(key)
                 matrix = np.vstack([matrix, own])
                 if leaders_too:
                     out.append((None, None, path, key, sketch))
+            # The leaders that a set is near to come together; the set itself needs one edge.
+            for k in near[1:]:
+                above[top(k)] = top(near[0])
+            if key != leaders[near[0]]:
+                out.append((key, leaders[near[0]], path, None, None))
+        out += [(key, leaders[top(k)], path, None, None) for k, key in enumerate(leaders) if top(k) != k]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
