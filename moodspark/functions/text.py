@@ -137,8 +137,11 @@ def _decode_numeric(c: Column, mark: str, digits: str, base: int) -> Column:
     found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"&#{mark}({digits});"), F.lit(1)))
 
     def step(text, number):
-        hexed = F.lpad(F.conv(number, base, 16), 8, "0")
-        code = F.conv(number, base, 10).cast("bigint")
+        # Any number of digits; one beyond the last character is as good as another.
+        plain = F.regexp_replace(number, "^0+(?=.)", "")
+        plain = F.when(F.length(plain) <= 7, plain).otherwise(F.lit("9999999"))
+        hexed = F.lpad(F.conv(plain, base, 16), 8, "0")
+        code = F.conv(plain, base, 10).cast("bigint")
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = (
             F.when(code == 38, F.lit("&amp;"))
@@ -159,8 +162,8 @@ def decode_entities(text: Column) -> Column:
         return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
     def decoded(t):
-        numeric = _decode_numeric(t, "", "[0-9]{1,7}", 10)
-        return let(numeric, lambda n: named(_decode_numeric(n, "x", "[0-9A-Fa-f]{1,6}", 16)))
+        numeric = _decode_numeric(t, "", "[0-9]++", 10)
+        return let(numeric, lambda n: named(_decode_numeric(n, "x", "[0-9A-Fa-f]++", 16)))
 
     return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 

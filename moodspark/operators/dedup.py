@@ -112,6 +112,7 @@ def harvest(
 ) -> DataFrame:
     """New catalogue rows from the candidates of all sources, saved source after source.
 
+    Sources that the order does not name come last, as one step that compares addresses only.
     The candidates are read several times, so cut their lineage first, as reading pages is costly. Of the
     catalogue a small harvest needs only the rows it can meet. Neighbouring sources that compare addresses
     only are one step, as their order is part of `ord`.
@@ -122,15 +123,19 @@ def harvest(
             steps[-1].append(source)
         else:
             steps.append([source])
+    unnamed = F.col("source").isNull() | ~F.col("source").isin(source_order)
+    parts = [(F.col("source").isin(sources), sources[0] in TITLE_CHECKED) for sources in steps]
+    if not candidates.where(unnamed).isEmpty():
+        parts.append((unnamed, False))
     existing = _near(catalogue.select("emotion", "title", "content_url"), candidates, limit)
     saved = []
-    for sources in steps:
-        part = candidates.where(F.col("source").isin(sources))
-        if sources[0] in TITLE_CHECKED:
+    for chosen, titles in parts:
+        part = candidates.where(chosen)
+        if titles:
             found = new_by_url_and_title(part, existing, floor)
         else:
             found = new_by_url(part, existing)
-        if len(saved) < len(steps) - 1:
+        if len(saved) < len(parts) - 1:
             found = cut_lineage(found)
         saved.append(found)
         existing = existing.unionByName(found.select("emotion", "title", "content_url"))

@@ -16,7 +16,7 @@ from moodspark.functions.text import contains_any
 Classifier = Callable[[DataFrame], DataFrame]
 
 # White space that a model's answer and its fields are stripped of.
-_SPACES = "".join(chr(c) for c in [
+SPACES = "".join(chr(c) for c in [
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
     0x205F, 0x3000,
 ])
@@ -37,7 +37,7 @@ def _constant(comment: str | None) -> Column:
 
 
 def _strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def keyword_sentiment(
@@ -47,13 +47,14 @@ def keyword_sentiment(
     default: str = vocab.NEUTRAL,
     score: Column | None = None,
 ) -> DataFrame:
-    """Mood by the first rule with a word in the text. Give `score` for repeatable scores."""
+    """Mood by the first rule with a word in the text. Without `score` it depends on the text alone, so a repeated
+    task gives the same."""
     mood = reduce(
         lambda otherwise, rule: F.when(contains_any(text, rule[1]), F.lit(rule[0])).otherwise(otherwise),
         reversed(rules), F.lit(default),
     )
     if score is None:
-        score = numbers.half_up(F.rand() * F.lit(0.2) + F.lit(0.7), 2)
+        score = numbers.seeded_score(0, F.coalesce(F.col(text), F.lit("")))
     return df.withColumn("sentiment", _sentiment(mood, score, F.lit(None).cast("string")))
 
 

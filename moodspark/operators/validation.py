@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from moodspark import vocab
 from moodspark.functions.text import is_blank
+from moodspark.operators.sentiment import SPACES
 
-# Local part of dot-separated words, an at sign, and a domain of labels or an address in brackets.
+# Before the last at sign dot-separated words or quoted texts, after it labels or an address in brackets. Repeats are
+# possessive, so a long address costs no stack.
 _WORD = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\u0080-\uFFFF-]+"
 _LABEL = r"[A-Za-z0-9\u0080-\uFFFF](?:[A-Za-z0-9\u0080-\uFFFF-]{0,61}[A-Za-z0-9\u0080-\uFFFF])?"
-EMAIL = rf"^(?=[^@]{{1,64}}@){_WORD}(?:\.{_WORD})*@(?:{_LABEL}(?:\.{_LABEL})*|\[[0-9.]+\])$"
+_QUOTED = r"\"(?:[A-Za-z0-9!#$%&'*.(),<>\[\]:; @+/=?^_`{|}~\u0080-\uFFFF-]|\\\\|\\\")++\""
+_PART = rf"(?:{_WORD}|{_QUOTED})"
+LOCAL = rf"^{_PART}(?:\.{_PART})*+$"
+DOMAIN = rf"^(?:{_LABEL}(?:\.{_LABEL})*+|\[[0-9.]+\]|\[IPv6:[0-9A-Fa-f:.]+\])$"
+LOCAL_LIMIT, DOMAIN_LIMIT = 64, 255
 
 # Fixed value: the password rule.
 PASSWORD = r"^(?=.*[A-Za-z])(?=.*\d)(?=.*[@$!%*#?&])[A-Za-z\d@$!%*#?&]{8,}$"
@@ -36,7 +42,13 @@ def matches(column: str, pattern: str, message: str) -> Rule:
 
 
 def email_format(column: str, message: str) -> Rule:
-    return Rule((F.col(column) != "") & ~F.col(column).rlike(EMAIL), message)
+    c = F.col(column)
+    domain = F.substring_index(c, "@", -1)
+    local = F.substr(c, F.lit(1), F.greatest(F.length(c) - F.length(domain) - 1, F.lit(0)))
+    # Lengths are looked at before the patterns.
+    fits = c.contains("@") & (F.length(local) <= LOCAL_LIMIT) & (F.length(domain) <= DOMAIN_LIMIT)
+    valid = F.when(fits, local.rlike(LOCAL) & domain.rlike(DOMAIN)).otherwise(F.lit(False))
+    return Rule((c != "") & ~valid, message)
 
 
 def diary_rules() -> list[Rule]:
@@ -71,7 +83,8 @@ def login_rules() -> list[Rule]:
 
 def text_rules() -> list[Rule]:
     """What a classifier is asked about must not be blank."""
-    return [required("text", vocab.TEXT_REQUIRED)]
+    blank = F.col("text").isNull() | (F.btrim("text", F.lit(SPACES)) == "")
+    return [Rule(blank, vocab.TEXT_REQUIRED)]
 
 
 def with_errors(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -1,6 +1,5 @@
 """Named queries over the driver's tables, one or more per operator."""
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from moodspark.functions import dates, numbers, text
 from moodspark.operators import (
     calendar, candidates, catalogue, changes, dedup, diaries, members, sentiment, stats, validation,
 )
-from moodspark.plans.session import cut_lineage, shared_folder
+from moodspark.plans.session import cut_lineage, scratch_folder
 from moodspark.sources import csv_catalogue, frontier, pages, video_search
 from moodspark.sources.fixtures import shape, table, view
 from moodspark.streaming import catalogue_arrivals, diary_arrivals
@@ -389,7 +388,7 @@ def _all_sources(spark, sf) -> DataFrame:
     links = _links(spark, sf)
     return candidates.all_candidates([
         _songs(spark, sf),
-        candidates.clean_candidates(links.where("length(title) <= 5"), "BOOK"),
+        candidates.clean_candidates(links, "BOOK"),
         candidates.clean_candidates(links, "ACTIVITY"),
     ])
 
@@ -534,14 +533,10 @@ def number_scalars(spark, sf):
 
 # Arrivals
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/moodspark-{name}-{uuid.uuid4().hex}"
-
-
 @query
 def stream_diaries(spark, sf):
     """Events arrive as several files; statistics after all of them."""
-    here = _scratch(spark, "diaries")
+    here = scratch_folder(spark, "diaries")
     events = table(spark, sf, "events")
     events.repartition(4, "event_id").write.parquet(f"{here}/in")
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{here}/in")
@@ -554,7 +549,7 @@ def stream_diaries(spark, sf):
 @query
 def stream_catalogue(spark, sf):
     """Pages arrive at a catalogue that an earlier harvest filled; its new rows."""
-    here = _scratch(spark, "catalogue")
+    here = scratch_folder(spark, "catalogue")
     known = dedup.new_by_url(_earlier_harvest(spark, sf), view(spark, sf, "catalogue"))
     catalogue_arrivals.start_catalogue(candidates.to_catalogue(known), f"{here}/out")
     raw = table(spark, sf, "pages")

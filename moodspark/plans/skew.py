@@ -10,6 +10,8 @@ from moodspark.plans.session import cut_lineage
 HOT_SHARE = 0.001
 # Below this many rows one task copes with the key anyway.
 HOT_FLOOR = 100_000
+# Rows of a hot key that one reducer gets at most, whatever the size of the input.
+PART_ROWS = 2_000_000
 # Keys a sketch tells apart: its error stays well below HOT_SHARE. Sketches of the tasks are merged in groups.
 SKETCH_ITEMS = 8_000
 SKETCHES = 500
@@ -39,18 +41,35 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+# Types that a join compares as one type, and this is it.
+_COMPARED_AS = {
+    **dict.fromkeys(["tinyint", "smallint", "int", "bigint"], "bigint"),
+    **dict.fromkeys(["float", "double"], "double"), **dict.fromkeys(["date", "timestamp"], "timestamp"),
+}
+
+
+def _compared(df: DataFrame, keys: list[str]) -> list[str]:
+    kinds = dict(df.dtypes)
+    return [_COMPARED_AS.get(kinds[k], kinds[k]) for k in keys]
+
+
+def _key_hash(df: DataFrame, keys: list[str]) -> Column:
+    """The same for keys that a join takes as equal, though one side has them as INT and the other as BIGINT."""
+    return F.xxhash64(*[F.col(k).cast(kind) for k, kind in zip(keys, _compared(df, keys))])
+
+
 def hot_keys(
     rows: DataFrame, keys: list[str], floor: int = HOT_FLOOR, share: float = HOT_SHARE
 ) -> DataFrame | None:
     """Hashes of the keys with more than `share` of the rows and the parts to split each into, or None.
 
     The heavy keys come from frequent-item sketches, merged group by group, so the keys themselves are not
-    shuffled. There are at most 1 / share of them, which makes them safe to broadcast, and their parts add up
-    to about twice that at most. Rows without a key count as a key. A sketch may differ from run to run,
+    shuffled. There are at most 1 / share of them, which makes them safe to broadcast; each is split into parts
+    of at most PART_ROWS rows. Rows without a key count as a key. A sketch may differ from run to run,
     so the result is settled here: both sides of a join must see the same parts.
     """
     sketches = (
-        rows.select(F.xxhash64(*keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_group"))
+        rows.select(_key_hash(rows, keys).alias("_key"), F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("_group"))
         .groupBy("_group")
         .agg(F.expr(f"approx_top_k_accumulate(_key, {SKETCH_ITEMS})").alias("_sketch"), F.count("*").alias("_rows"))
     )
@@ -58,8 +77,8 @@ def hot_keys(
     merged = sketches.groupBy(F.lit("all")).agg(
         F.expr("approx_top_k_combine(_sketch)").alias("_sketch"), F.sum("_rows").alias("_rows")
     )
-    top = merged.select("_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {int(1 / HOT_SHARE)})) AS (_key, _n)"))
-    part = F.greatest(F.lit(floor), F.col("_rows") * F.lit(share))
+    top = merged.select("_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {min(SKETCH_ITEMS, round(1 / share))})) AS (_key, _n)"))
+    part = F.greatest(F.lit(floor), F.least(F.col("_rows") * F.lit(share), F.lit(PART_ROWS)))
     parts = F.ceil(F.col("_n") / part).cast("int").alias("_parts")
     found = cut_lineage(top.where(F.col("_n") > part).select("_key", parts))
     return None if found.isEmpty() else found
@@ -72,16 +91,17 @@ def salted_join(
 
     `table` repeats only the rows of hot keys, once per part. `salt_by` names columns that tell the rows of
     one key apart; the part depends on nothing else, so a retried task sends every row where it went before.
-    Without hot keys it is the plain join.
+    Without hot keys it is the plain join, and so it is where the sides' keys have types, such as a number and a
+    text, that Spark makes equal in ways of its own.
     """
-    if hot is None:
+    if hot is None or _compared(rows, keys) != _compared(table, keys):
         return rows.join(table, keys, how)
     marks = F.broadcast(hot)
     parts = F.coalesce("_parts", F.lit(1))
-    left = rows.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
+    left = rows.withColumn("_key", _key_hash(rows, keys)).join(marks, "_key", "left").withColumn(
         "_part", F.pmod(F.xxhash64(*salt_by), parts.cast("bigint")).cast("int")
     )
-    right = table.withColumn("_key", F.xxhash64(*keys)).join(marks, "_key", "left").withColumn(
+    right = table.withColumn("_key", _key_hash(table, keys)).join(marks, "_key", "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), parts - 1))
     )
     return left.drop("_key", "_parts").join(right.drop("_key", "_parts"), [*keys, "_part"], how).drop("_part")

@@ -37,6 +37,12 @@ def store_batch(pages: DataFrame, batch_id: int, folder: str, profile: PageProfi
 def start_catalogue_arrivals(
     pages: DataFrame, folder: str, checkpoint: str, profile: PageProfile
 ) -> StreamingQuery:
+    """Process what has arrived and stop. Batches of an earlier stream must go on from its own progress folder."""
+    spark = pages.sparkSession
+    progress = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    known = progress.getFileSystem(spark._jsc.hadoopConfiguration()).exists(progress)
+    if not known and not stored_catalogue(spark, folder).where("batch_id >= 0").isEmpty():
+        raise ValueError("the catalogue has batches of another stream; go on from its progress folder")
     return (
         pages.writeStream
         .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, folder, profile))

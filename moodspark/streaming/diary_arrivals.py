@@ -1,5 +1,7 @@
 """Diaries as they arrive: enriched, stored, and added to the monthly statistics."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,30 +11,33 @@ from moodspark.operators.stats import mood_parts, stats_from_parts
 from moodspark.operators.validation import diary_rules, validate
 
 
-def store_batch(requests: DataFrame, batch_id: int, folder: str, classifier: Classifier) -> None:
+def store_batch(requests: DataFrame, batch_id: int, folder: str, classifier: Classifier, run: str = "first") -> None:
     """Write one batch into folders of its own, so that a repeated batch replaces itself.
 
+    `run` tells streams with different progress folders apart, whose batches are all numbered from 0.
+
     Rejected requests, diaries, and the batch's part of the statistics, which is made from the diaries
     as written: a classifier runs once per diary.
     """
     spark = requests.sparkSession
     valid, rejected = validate(requests, diary_rules())
-    rejected.write.mode("overwrite").parquet(f"{folder}/rejects/batch_id={batch_id}")
+    rejected.write.mode("overwrite").parquet(f"{folder}/rejects/run={run}/batch_id={batch_id}")
     diaries = enrich_diaries(valid, classifier).withColumn("month", dates.month_start("date"))
-    here = f"{folder}/diaries/batch_id={batch_id}"
+    here = f"{folder}/diaries/run={run}/batch_id={batch_id}"
     # One folder per month at most is rewritten, so only those this batch touches.
     diaries.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(here)
     written = spark.read.schema(diaries.schema).parquet(here)
-    mood_parts(written).write.mode("overwrite").parquet(f"{folder}/mood_parts/batch_id={batch_id}")
+    mood_parts(written).write.mode("overwrite").parquet(f"{folder}/mood_parts/run={run}/batch_id={batch_id}")
 
 
 def start_diary_arrivals(
     requests: DataFrame, folder: str, checkpoint: str, classifier: Classifier
 ) -> StreamingQuery:
     """Process what has arrived and stop. Statistics grow by sums, so no state is kept per member or month."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     return (
         requests.writeStream
-        .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, folder, classifier))
+        .foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, folder, classifier, run))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
