@@ -52,12 +52,14 @@ def join_unique(
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def batches(rows: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that none holds much more than `most` bytes unless a single row does."""
     for batch in rows:
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    # Workers live on for other tasks; what this one no longer needs goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def partition_sums(

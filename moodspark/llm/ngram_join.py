@@ -81,7 +81,7 @@ def document_sets(docs: DataFrame, threshold: float, repeats: int, width: int =
     kind = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64()))])
 
     def run(rows):
-        for batch in batches(rows, 8 << 20):
+        for batch in batches(rows, 2 << 20):
             values, start = shingle_sets(batch["text"], width)
             rows_here = batch.num_rows
             owners, paths = [], []
@@ -110,7 +110,7 @@ def _deeper(docs: DataFrame, frontier: DataFrame, level: int, threshold: float,
     wanted = cut_lineage(wanted)
 
     def run(rows):
-        for batch in batches(rows, 8 << 20):
+        for batch in batches(rows, 2 << 20):
             values, start = shingle_sets(batch["text"], width)
             keys = batch["key"].to_pylist()
             right = [a == b for a, b in zip(_keys(values, start), keys)]
@@ -256,7 +256,7 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, width: int, cel
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def sets(rows):
-        for batch in batches(rows, 8 << 20):
+        for batch in batches(rows, 2 << 20):
             values, start = shingle_sets(batch["text"], width)
             keys = _keys(values, start)
             right = np.array([a == b for a, b in zip(keys, batch["key"].to_pylist())], bool)
