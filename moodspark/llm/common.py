@@ -1,5 +1,6 @@
 """What the corpus operators share: reading, measured broadcasts, partition sums, calibration, word columns."""
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,14 +53,21 @@ def join_unique(
     return left.join(right, [key, "_part"], how).drop("_part")
 
 
+def _give_back() -> None:
+    """Return free memory to the machine: Python workers live on for other tasks, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim:
+        trim(0)
+
+
 def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that none holds much more than `most` bytes unless a single row does."""
     for batch in rows:
         step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
-    # Workers live on for other tasks; what this one no longer needs goes back.
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def partition_sums(
