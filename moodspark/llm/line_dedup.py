@@ -25,6 +25,8 @@ REPORTS = 6
 LONG = 64
 # Lines' words that one task puts in order.
 TASK_WORDS = 300_000
+# Bytes of text that a task looks at together; fewer take less memory and more time.
+BATCH_BYTES = 8 << 20
 # Words whose list is sent to all tasks.
 MOST_WORDS = 500_000
 
@@ -46,7 +48,7 @@ def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 
     def count(batch):
         total = np.zeros(counters)
-        for part in batches([batch], 4 << 20):
+        for part in batches([batch], BATCH_BYTES):
             codes, _, known = word_codes(part["text"])
             total += np.bincount((known % np.uint64(counters)).astype(np.int64), np.bincount(codes, minlength=len(known)), counters)
         return total
@@ -88,7 +90,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
                       ("bits", pa.int64()), ("bits2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
     def run(rows):
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, BATCH_BYTES):
             lines, owner, number = _lines(batch["text"])
             words, often, start = _sets(lines, table.value)
             n = np.diff(start)
@@ -337,7 +339,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
 
     def run(rows):
-        for batch in batches(rows, 4 << 20):
+        for batch in batches(rows, BATCH_BYTES):
             lines, owner, number = _lines(batch["text"])
             asked = batch["lines"].combine_chunks() if isinstance(batch["lines"], pa.ChunkedArray) else batch["lines"]
             base = int(number.max(initial=0)) + 1
