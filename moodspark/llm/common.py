@@ -158,26 +158,56 @@ def letter_words(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\pL\pM\pN]+", " ")
 
 
+# Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_BYTES = mix(np.arange(256), 21)
+_PLACES = mix(np.arange(LONG_WORD), 22) | np.uint64(1)
+
+
+def string_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings without nulls; 0 for the empty string alone.
+
+    Each byte's number is multiplied by an odd one for its place, and these are added up for all strings at once.
+    """
+    import xxhash
+
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, int)
+    lengths = np.diff(ends)
+    long = lengths > LONG_WORD
+    if long.any():
+        hashes = np.empty(len(words), np.uint64)
+        hashes[~long] = string_hashes(words.filter(pa.array(~long)))
+        hashes[long] = [xxhash.xxh64_intdigest(w.as_buffer()) or 1 for w in words.filter(pa.array(long))]
+        return hashes
+    if not lengths.any():
+        return np.zeros(len(words), np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    values = _BYTES[data] * _PLACES[np.arange(len(data)) - np.repeat(ends[:-1], lengths)]
+    total = np.r_[np.uint64(0), np.cumsum(values, dtype=np.uint64)]
+    hashes = mix((total[ends[1:]] - total[ends[:-1]]) + lengths.astype(np.uint64), 23)
+    return np.where(lengths > 0, np.maximum(hashes, np.uint64(1)), np.uint64(0))
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A code for every lower-case word of the texts, one after the other, each text's first place, and 64-bit
     hashes by code.
 
-    Words are runs without white space. The strings are split and told apart by Arrow; Python sees each
-    different word of the batch once.
+    Words are runs without white space. The strings are split and told apart by Arrow, and each different word of
+    the batch is hashed once.
     """
-    import xxhash
-
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     # Trimmed first, as Arrow's split sometimes keeps a blank at the very end in the last word.
     words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     coded = pc.dictionary_encode(words.flatten())
     lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    known = np.fromiter((xxhash.xxh64_intdigest(w) or 1 if w else 0 for w in coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+    known = string_hashes(coded.dictionary)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     start = np.r_[0, np.cumsum(lengths)].astype(np.int64)
     # An empty text has one empty word, which is dropped.
-    empty = known[codes] == 0 if len(known) else np.zeros(0, bool)
-    if empty.any():
+    if (known == 0).any():
+        empty = known[codes] == 0
         start = start - np.r_[0, np.cumsum(empty)][start]
         codes = codes[~empty]
     return codes, start, known

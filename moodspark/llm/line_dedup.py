@@ -61,12 +61,20 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def _rarest_first(known: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The order by count, then by hash: one sort of numbers made of both, unless words share such a number."""
+    keys = often.view(np.uint32).astype(np.uint64) << np.uint64(32) | known >> np.uint64(32)
+    order = np.argsort(keys)
+    keys = keys[order]
+    return np.lexsort((known, often)) if (keys[1:] == keys[:-1]).any() else order
+
+
 def _sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different words of each line, rarest first, how often each occurs, and each line's first place."""
     codes, start, known = word_codes(lines)
     n = len(start) - 1
     often = counts[(known % np.uint64(len(counts))).astype(np.int64)]
-    by_rank = np.lexsort((known, often))
+    by_rank = _rarest_first(known, often)
     rank = np.empty(len(known), np.int64)
     rank[by_rank] = np.arange(len(known))
     size = max(1, len(known))

@@ -4,9 +4,10 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from moodspark.llm import pii, quality, toxicity
+from moodspark.llm import common, line_dedup, pii, quality, toxicity
 from moodspark.llm.common import isotonic
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, _range int"
@@ -126,3 +127,20 @@ def test_labelers_add_secrets_and_keep_base_spans(spark):
     found = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(found[k]["n_email"] == 1 and "email:5:" in found[k]["spans"] and "secret:" in found[k]["spans"] for k in range(60))
     assert all(found[100 + k]["spans"] == "" for k in range(20))
+
+
+def test_string_hashes():
+    words = pa.array(["", "a", "b", "ab", "ba", "가", "x" * 300, "x" * 299, "a", "x" * 300, "\0", "\0\0"], pa.large_string())
+    hashes = common.string_hashes(words)
+    assert [int(h) == 0 for h in hashes] == [w == "" for w in words.to_pylist()]
+    assert len(set(hashes.tolist())) == 10 and hashes[1] == hashes[8] and hashes[6] == hashes[9]
+    assert (common.string_hashes(words[2:7]) == hashes[2:7]).all() and not len(common.string_hashes(words[:0]))
+    many = pa.array([f"w{k}" for k in range(200_000)], pa.large_string())
+    assert len(np.unique(common.string_hashes(many))) == 200_000
+
+
+def test_word_order_is_that_of_counts_then_hashes():
+    known = np.array([1 << 33, (1 << 33) + 5, 7, 9 << 40, 3], np.uint64)
+    for often in ([2, 2, 1, 1, 5], [0, 3, 9, 8, 1]):
+        often = np.array(often, np.float32)
+        assert line_dedup._rarest_first(known, often).tolist() == np.lexsort((known, often)).tolist()
