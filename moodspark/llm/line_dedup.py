@@ -26,7 +26,7 @@ LONG = 64
 # Lines' words that one task puts in order.
 TASK_WORDS = 300_000
 # Bytes of text that a task looks at together; fewer take less memory and more time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 # Words whose list is sent to all tasks.
 MOST_WORDS = 500_000
 
