@@ -32,7 +32,9 @@ class PageProfile:
     """Where the items of a kind of result page are.
 
     `block` finds an item, the others look inside it, each with a group for what it wants: `link` and `image`
-    the opening tag, `title`, `author` and `description` the markup of the text.
+    the opening tag, `title`, `author` and `description` the markup of the text. With `scope`, list items count
+    only in a `div` of that class. With `parts` a block has an item for each link that these patterns find, one
+    after the other, and `link` and `title` look at that link alone.
     """
 
     source: str
@@ -44,11 +46,8 @@ class PageProfile:
     image: str | None = None
     author_group: int = 1
     description_group: int = 1
-
-
-def _titled_link(css_class: str) -> str:
-    """Up to the title link of a block: the first link of a title box, else a link with the class."""
-    return rf"(?:^<div\b(?:[^<]++|<(?!a\b))*+|(?={tag('a', css_class)}))"
+    scope: str | None = None
+    parts: tuple[str, str] | None = None
 
 
 # An element's own class may be one of several; a title span must not be the category label.
@@ -65,13 +64,18 @@ BOOK_PAGE = PageProfile(
     author_group=2,
     description_group=2,
 )
+_INFO = rf"{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>"
+_LINK_END = r"(?:(?!</a>).)*+</a>"
 MOVIE_PAGE = PageProfile(
     source="MOVIE",
-    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>",
-    link=rf"{_titled_link('link_txt')}(<a\b[^>]*>)",
-    title=rf"{_titled_link('link_txt')}<a\b[^>]*>(.*?)</a>",
+    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{_INFO}",
+    # Links of the class, and every link of a title box.
+    parts=(rf"{_INFO}|{tag('a', 'link_txt')}{_LINK_END}", rf"<a\b[^>]*>{_LINK_END}"),
+    link=r"^(<a\b[^>]*>)",
+    title=r"^<a\b[^>]*>(.*)</a>$",
     description=inside(tag("p", "desc"), "p"),
     image=f"({tag('img')})",
+    scope="coll_cont",
 )
 _BOX = tag("div", "wrap_cont")
 ACTIVITY_PAGE = PageProfile(
@@ -82,6 +86,7 @@ ACTIVITY_PAGE = PageProfile(
     description=rf"{tag('(p|div)', 'desc')}(.*?)</\1>",
     image=f"({tag('img')})",
     description_group=2,
+    scope="coll_cont",
 )
 # Any page: every plain link is an item.
 LINK_PAGE = PageProfile(
@@ -108,9 +113,47 @@ def _attribute(opening: Column, name: str) -> Column:
     return java_trim(decode_entities(_first(opening, rf"\s{name}\s*=\s*{value}", 1)))
 
 
-def _item(block: Column, url: Column, profile: PageProfile) -> Column:
-    def text(pattern: str | None, group: int) -> Column:
-        return F.lit(None).cast("string") if pattern is None else page_text(_first(block, pattern, group))
+# A tag that opens or closes a `div`, or the page's beginning, and all up to the next such tag.
+_SEGMENT = r"(?is)(?:</?div\b[^>]*>|^)(?:[^<]++|<(?!/?div\b))*+"
+
+
+def _without_items(markup: Column) -> Column:
+    return F.regexp_replace(markup, r"(?i)<li\b", "<_li")
+
+
+def _scoped(markup: Column, css_class: str) -> Column:
+    """The markup with list items outside of any `div` of the class made unknown elements."""
+    opening = _FLAGS + tag("div", css_class)
+
+    def step(state: Column, segment: Column) -> Column:
+        opens = segment.rlike(r"(?i)^<div\b")
+        change = F.when(opens, 1).when(segment.rlike(r"(?i)^</div\b"), -1).otherwise(0)
+        depth = F.greatest(state["depth"] + change, F.lit(0))
+        begins = opens & (state["since"] == 0) & segment.rlike(opening)
+        since = F.when(begins, depth).when(depth < state["since"], 0).otherwise(state["since"])
+        return F.struct(depth.alias("depth"), since.alias("since"), F.concat(state["within"], F.array(since > 0)).alias("within"))
+
+    def marked(m: Column) -> Column:
+        segments = F.regexp_extract_all(m, F.lit(_SEGMENT), F.lit(0))
+        start = F.expr("struct(0 AS depth, 0 AS since, cast(array() AS array<boolean>) AS within)")
+        within = F.aggregate(segments, start, step, lambda state: state["within"])
+        return F.array_join(F.zip_with(segments, within, lambda s, w: F.when(w, s).otherwise(_without_items(s))), "")
+
+    return let(markup, lambda m: F.when(m.rlike(opening), marked(m)).otherwise(_without_items(m)))
+
+
+def _parts(block: Column, patterns: tuple[str, str]) -> Column:
+    """The links of a block: those found by themselves, and those in the boxes found."""
+    outer, inner = (F.lit(_FLAGS + p) for p in patterns)
+    return F.flatten(F.transform(
+        F.regexp_extract_all(block, outer, F.lit(0)),
+        lambda part: F.when(part.rlike(r"(?i)^<a\b"), F.array(part)).otherwise(F.regexp_extract_all(part, inner, F.lit(0))),
+    ))
+
+
+def _item(block: Column, part: Column, url: Column, profile: PageProfile) -> Column:
+    def text(pattern: str | None, group: int, markup: Column = block) -> Column:
+        return F.lit(None).cast("string") if pattern is None else page_text(_first(markup, pattern, group))
 
     def picture(img: Column) -> Column:
         lazy = F.nullif(_attribute(img, "data-src"), F.lit(""))
@@ -118,11 +161,11 @@ def _item(block: Column, url: Column, profile: PageProfile) -> Column:
 
     image = F.lit(None).cast("string") if profile.image is None else let(_first(block, profile.image, 1), picture)
     return F.struct(
-        text(profile.title, 1).alias("title"),
+        text(profile.title, 1, part).alias("title"),
         text(profile.author, profile.author_group).alias("author"),
         text(profile.description, profile.description_group).alias("description"),
         image.alias("image_url"),
-        absolute_url(url, _attribute(_first(block, profile.link, 1), "href")).alias("content_url"),
+        absolute_url(url, _attribute(_first(part, profile.link, 1), "href")).alias("content_url"),
     )
 
 
@@ -135,8 +178,16 @@ def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
     """
     kept = [c for c in pages.columns if c not in ("html", "url")]
     markup = F.regexp_replace("html", _NOT_MARKUP, "")
+    if profile.scope:
+        markup = _scoped(markup, profile.scope)
     blocks = F.regexp_extract_all(markup, F.lit(_FLAGS + profile.block), F.lit(0))
-    items = F.transform(blocks, lambda block: _item(block, F.col("url"), profile))
+    url = F.col("url")
+    if profile.parts:
+        items = F.flatten(F.transform(
+            blocks, lambda block: F.transform(_parts(block, profile.parts), lambda part: _item(block, part, url, profile))
+        ))
+    else:
+        items = F.transform(blocks, lambda block: _item(block, block, url, profile))
     return pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item")).select(
         *kept, "page_url", "pos", F.lit(profile.source).alias("source"), "item.*"
     )

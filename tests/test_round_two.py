@@ -7,6 +7,7 @@ from moodspark.functions.text import page_text
 from moodspark.operators import dedup, validation
 from moodspark.operators.sentiment import parse_model_answer
 from moodspark.plans.skew import hot_keys, salted_join
+from moodspark.sources import pages
 
 
 @pytest.mark.parametrize("left, right", [
@@ -67,3 +68,22 @@ def test_the_last_of_two_equal_keys_counts(spark):
     answer = '{"emotion": "x", "emotion": "\uae30\uc068", "score": 0.1, "score": 0.7}'
     found = parse_model_answer(spark.createDataFrame([(answer,)], "answer string")).first()["sentiment"]
     assert (found["emotion"], found["score"]) == ("\uae30\uc068", 0.7)
+
+
+def test_list_items_count_in_their_scope_and_every_link_is_an_item(spark):
+    html = """<div><ul><li><a class="link_txt" href="/menu">menu</a></li></ul></div>
+    <div class="coll_cont x"><div><ul><li><a class="link_txt" href="/1">one</a><a class="link_txt" href="/2">two</a></li></ul></div>
+    <ul><li><div class="info_tit"><a href="/3">three</a> <a class="link_txt" href="/4">four</a></div><a href="/no">no</a></li></ul></div>
+    <div><li><a class="link_txt" href="/after">after</a></li></div>
+    <div class="info_tit"><a href="/5">five</a><a href="/6">six</a></div>"""
+    rows = spark.createDataFrame(
+        [(1, "https://h.example/", html), (2, "https://h.example/", "<li><a class=link_txt href=/x>x</a></li>"), (3, "https://h.example/", ""),
+         (4, "https://h.example/", None)],
+        "page_id bigint, url string, html string",
+    )
+    found = pages.extract_candidates(rows, pages.MOVIE_PAGE).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["title"], r["content_url"]) for r in found] == [
+        (1, t, f"https://h.example/{k}") for k, t in enumerate(["one", "two", "three", "four", "five", "six"], 1)
+    ]
+    found = pages.extract_candidates(rows, pages.ACTIVITY_PAGE).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["title"]) for r in found] == [(1, "one"), (1, "four")]
