@@ -507,3 +507,14 @@ ORACLES: dict[str, str] = {
         "SELECT emotion, category, title, content_url FROM first_title",
     ),
 }
+
+# What is stored is what was given.
+ORACLES["loaded_tables"] = sql(
+    "SELECT 'diaries' AS table_name, id FROM diaries UNION ALL SELECT 'members', id FROM members "
+    "UNION ALL SELECT 'recommendations', id FROM catalogue", "diaries", "members", "catalogue"
+)
+ORACLES["appended_diaries"] = sql(
+    "SELECT id, member_id, date, CAST(date_trunc('month', date) AS DATE) AS month FROM diaries", "diaries"
+)
+ORACLES["seeded_catalogue"] = ORACLES["csv_catalogue_rows"]
+ORACLES["overwritten_category"] = ORACLES["replace_category"]

@@ -5,13 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodspark import vocab
+from moodspark import schemas, vocab
 from moodspark.functions import dates, numbers, text
 from moodspark.operators import (
     calendar, candidates, catalogue, changes, dedup, diaries, members, sentiment, stats, validation,
 )
 from moodspark.plans.session import cut_lineage, scratch_folder
-from moodspark.sources import csv_catalogue, frontier, pages, video_search
+from moodspark.sources import csv_catalogue, frontier, pages, sinks, tables, video_search
 from moodspark.sources.fixtures import shape, table, view
 from moodspark.streaming import catalogue_arrivals, diary_arrivals
 
@@ -153,8 +153,8 @@ def score_gauge(spark, sf):
 
 @query
 def table_counts(spark, sf):
-    tables = {name: view(spark, sf, name) for name in ("diaries", "members", "catalogue")}
-    named = [df.select(F.lit(name).alias("table_name")) for name, df in tables.items()]
+    views = {name: view(spark, sf, name) for name in ("diaries", "members", "catalogue")}
+    named = [df.select(F.lit(name).alias("table_name")) for name, df in views.items()]
     return stats.row_count(candidates.all_candidates(named), "table_name")
 
 
@@ -198,11 +198,7 @@ def emotion_coverage(spark, sf):
 
 @query
 def replace_category(spark, sf):
-    rows = view(spark, sf, "catalogue")
-    songs = _songs(spark, sf).select(
-        F.col("ord.page_id").alias("id"), "emotion", "category", "title", "description", "image_url", "content_url"
-    )
-    return catalogue.replace_category(rows, "MUSIC", songs)
+    return catalogue.replace_category(view(spark, sf, "catalogue"), "MUSIC", _song_rows(spark, sf))
 
 
 @query
@@ -310,6 +306,12 @@ def _songs(spark, sf, profile="MUSIC") -> DataFrame:
     return candidates.clean_candidates(_video_items(spark, sf), profile)
 
 
+def _song_rows(spark, sf) -> DataFrame:
+    return _songs(spark, sf).select(
+        F.col("ord.page_id").alias("id"), "emotion", "category", "title", "description", "image_url", "content_url"
+    )
+
+
 def _earlier_harvest(spark, sf) -> DataFrame:
     """What a first harvest, of the pages without encryption, left in the catalogue."""
     plain = view(spark, sf, "result_pages").where(F.col("url").startswith("http://"))
@@ -531,6 +533,49 @@ def number_scalars(spark, sf):
     )
 
 
+# Tables on disk
+
+@query
+def loaded_tables(spark, sf):
+    """All ids of the three tables, written in their layouts and loaded again."""
+    here = scratch_folder(spark, "tables")
+    sinks.append_diaries(view(spark, sf, "diaries"), f"{here}/diaries")
+    view(spark, sf, "members").write.parquet(f"{here}/members")
+    sinks.append_catalogue(view(spark, sf, "catalogue"), f"{here}/recommendations")
+    named = [df.select(F.lit(name).alias("table_name"), "id") for name, df in tables.load_tables(spark, here).items()]
+    return candidates.all_candidates(named)
+
+
+@query
+def appended_diaries(spark, sf):
+    """Diaries that arrived in two parts, with the month whose folder they are in."""
+    path = f"{scratch_folder(spark, 'diaries')}/diaries"
+    rows = view(spark, sf, "diaries")
+    for part in (0, 1):
+        sinks.append_diaries(rows.where(F.col("id") % 2 == part), path)
+    return spark.read.parquet(path).select("id", "member_id", "date", F.col("month").cast("date").alias("month"))
+
+
+@query
+def seeded_catalogue(spark, sf):
+    """Seed rows go into an empty catalogue and not into one that has rows."""
+    path = f"{scratch_folder(spark, 'seed')}/catalogue"
+    seed = csv_catalogue_rows(spark, sf)
+    sinks.seed_if_empty(spark.createDataFrame([], schemas.RECOMMENDATIONS), seed, path)
+    sinks.seed_if_empty(spark.read.parquet(path), seed, path)
+    return spark.read.parquet(path).select(seed.columns)
+
+
+@query
+def overwritten_category(spark, sf):
+    """The stored catalogue after the folder of its songs has been replaced."""
+    path = f"{scratch_folder(spark, 'category')}/catalogue"
+    rows = view(spark, sf, "catalogue")
+    sinks.append_catalogue(rows, path)
+    sinks.overwrite_category(_song_rows(spark, sf), "MUSIC", path)
+    return spark.read.parquet(path).select(rows.columns)
+
+
 # Arrivals
 
 @query

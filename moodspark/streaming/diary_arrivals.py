@@ -9,6 +9,7 @@ from moodspark.functions import dates
 from moodspark.operators.sentiment import Classifier, enrich_diaries
 from moodspark.operators.stats import mood_parts, stats_from_parts
 from moodspark.operators.validation import diary_rules, validate
+from moodspark.sources.sinks import by_folder
 
 
 def store_batch(requests: DataFrame, batch_id: int, folder: str, classifier: Classifier, run: str = "first") -> None:
@@ -25,7 +26,8 @@ def store_batch(requests: DataFrame, batch_id: int, folder: str, classifier: Cla
     diaries = enrich_diaries(valid, classifier).withColumn("month", dates.month_start("date"))
     here = f"{folder}/diaries/run={run}/batch_id={batch_id}"
     # One folder per month at most is rewritten, so only those this batch touches.
-    diaries.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(here)
+    placed = by_folder(diaries, "month", "member_id")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("month").parquet(here)
     written = spark.read.schema(diaries.schema).parquet(here)
     mood_parts(written).write.mode("overwrite").parquet(f"{folder}/mood_parts/run={run}/batch_id={batch_id}")
 
