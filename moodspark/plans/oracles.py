@@ -3,7 +3,7 @@
 from moodspark import vocab
 from moodspark.operators import validation
 from moodspark.plans.queries import DOCUMENT_RULES, EVENT_RULES, JOIN_REQUEST, SEED, csv_line
-from moodspark.sources.fixtures import sql
+from moodspark.sources.fixtures import LONG_TEXT, sql
 
 # Blanks and control characters, as Java's trim takes them.
 _BLANKS = "(" + " || ".join(f"chr({c})" for c in range(1, 33)) + ")"
@@ -518,3 +518,39 @@ ORACLES["appended_diaries"] = sql(
 )
 ORACLES["seeded_catalogue"] = ORACLES["csv_catalogue_rows"]
 ORACLES["overwritten_category"] = ORACLES["replace_category"]
+
+
+def _shop(category: str, limit: int, *items: str) -> str:
+    """Clean rows from the parts themselves; an item is its place, title, what precedes the text, text, image, address."""
+    about = "CASE WHEN length(about) > {0} THEN substr(about, 1, {0}) || '...' ELSE about END".format(limit)
+    found = " UNION ALL ".join(f"SELECT p_partkey AS page_id, {item} FROM part" for item in items)
+    return (
+        f"SELECT page_id, pos, '기쁨' AS emotion, '{category}' AS category, title, "
+        f"title || ' | ' || before || {about} AS description, image_url, content_url FROM ({found})"
+    )
+
+
+def _shop_item(pos: int, title: str, before: str, about: str, image: str, url: str) -> str:
+    return (
+        f"{pos} AS pos, {title} AS title, {before} AS before, {about} AS about, {image} AS image_url, {url} AS content_url"
+    )
+
+
+_SHOP = "'https://shop.example.com/"
+_KEY = " || CAST(p_partkey AS VARCHAR)"
+ORACLES["book_pages"] = _shop(
+    "BOOK", vocab.BOOK_SNIPPET,
+    _shop_item(0, "p_name", f"'{vocab.AUTHOR_PREFIX}' || p_brand || ' | '", LONG_TEXT, f"{_SHOP}b/'{_KEY} || '.png'", f"{_SHOP}book/'{_KEY}"),
+    _shop_item(1, "p_type || ' & more'", f"'{vocab.AUTHOR_PREFIX}{vocab.NO_AUTHOR} | '", f"'{vocab.NO_DESCRIPTION}'", "''", f"{_SHOP}more?p='{_KEY}"),
+)
+ORACLES["movie_pages"] = _shop(
+    "MOVIE", vocab.MOVIE_SNIPPET,
+    _shop_item(0, "p_name", "''", LONG_TEXT, f"{_SHOP}i/'{_KEY} || '.png'", f"{_SHOP}m/'{_KEY}"),
+    _shop_item(1, "p_brand || ' & more'", "''", LONG_TEXT, f"{_SHOP}i/'{_KEY} || '.png'", f"{_SHOP}n/'{_KEY}"),
+    _shop_item(2, "p_brand", "''", f"'{vocab.NO_SYNOPSIS}'", "''", f"'https://o.example/'{_KEY}"),
+)
+ORACLES["activity_pages"] = _shop(
+    "ACTIVITY", vocab.ACTIVITY_SNIPPET,
+    _shop_item(0, "p_name", "''", LONG_TEXT, "''", f"{_SHOP}a/'{_KEY}"),
+    _shop_item(2, "p_brand || ' box'", "''", f"'{vocab.NO_DESCRIPTION}'", f"{_SHOP}w.png'", f"{_SHOP}w/'{_KEY}"),
+) + f" WHERE length(title) > {vocab.SHORT_TITLE}"

@@ -340,6 +340,28 @@ def clean_books(spark, sf):
     return _clean_columns(candidates.clean_candidates(_links(spark, sf), "BOOK"))
 
 
+def _shop_items(spark, sf, html: str, profile: pages.PageProfile) -> DataFrame:
+    found = pages.extract_candidates(
+        view(spark, sf, "shop_pages").select("page_id", "url", "emotion", "phrase_index", F.col(html).alias("html")), profile
+    )
+    return _clean_columns(candidates.clean_candidates(found, profile.source))
+
+
+@query
+def book_pages(spark, sf):
+    return _shop_items(spark, sf, "book_html", pages.BOOK_PAGE)
+
+
+@query
+def movie_pages(spark, sf):
+    return _shop_items(spark, sf, "movie_html", pages.MOVIE_PAGE)
+
+
+@query
+def activity_pages(spark, sf):
+    return _shop_items(spark, sf, "activity_html", pages.ACTIVITY_PAGE)
+
+
 @query
 def clean_movies(spark, sf):
     no_link = F.when(F.col("pos") % 3 == 0, F.lit("")).otherwise(F.col("content_url"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIFTED = "ts + INTERVAL '9' HOUR + CAST(30 * (event_id % 12) AS INT) * INTERVAL '1' DAY"
 
+LONG_TEXT = "CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE repeat(p_brand, 20) END"
+
 # view -> (table, {column: expression}); string_t stands for the engine's string type
 VIEWS = {
     "diaries": ("events", {
@@ -109,6 +111,36 @@ VIEWS = {
         ),
         "phrase_index": "0",
     }),
+    # Result pages as the three sites lay them out: menus outside the scope, lazy images, several links, missing parts.
+    "shop_pages": ("part", {
+        "page_id": "p_partkey",
+        "url": "'https://shop.example.com/list?q=1'",
+        "emotion": "'기쁨'",
+        "phrase_index": "0",
+        "book_html": (
+            "concat('<div class=\"prod_area x\"><div class=\"img_box\"><img src=\"/s.png\" data-src=\"/b/', "
+            "CAST(p_partkey AS string_t), '.png\"></div><a class=\"prod_info\" href=\"/book/', CAST(p_partkey AS string_t), "
+            "'\"><span class=\"prod_category\">[x]</span><span id=\"cmdtName_1\">', p_name, '</span></a>"
+            "<span class=\"author\">', p_brand, '</span><p class=\"desc\">', " + LONG_TEXT + ", '</p></div>"
+            "<div class=\"prod_area\"><a class=\"prod_info\" href=\"more?p=', CAST(p_partkey AS string_t), '\"><span>', "
+            "p_type, ' &amp; more</span></a></div><div class=\"prod_area\"><a class=\"prod_info\"><span>no address</span></a></div>')"
+        ),
+        "movie_html": (
+            "concat('<div><ul><li><a class=\"link_txt\" href=\"/menu\">menu</a></li></ul></div><div class=\"coll_cont\"><div><ul>"
+            "<li><img src=\"/s.png\" data-src=\"/i/', CAST(p_partkey AS string_t), '.png\"><a class=\"link_txt\" href=\"/m/', "
+            "CAST(p_partkey AS string_t), '\">', p_name, '</a><a href=\"/no\">no</a><a class=\"f link_txt\" href=\"n/', "
+            "CAST(p_partkey AS string_t), '\">', p_brand, ' &amp; more</a><p class=\"desc\">', " + LONG_TEXT + ", "
+            "'</p></li></ul></div></div><div class=\"info_tit\"><a href=\"//o.example/', CAST(p_partkey AS string_t), '\">', "
+            "p_brand, '</a></div>')"
+        ),
+        "activity_html": (
+            "concat('<div><ul><li><a class=\"link_txt\" href=\"/menu\">menu of things</a></li></ul></div><div class=\"coll_cont\">"
+            "<ul><li><a class=\"f_link_b\" href=\"/a/', CAST(p_partkey AS string_t), '\">', p_name, '</a><div class=\"desc\">', "
+            + LONG_TEXT + ", '</div></li><li><a class=\"link_txt\" href=\"/s\">short</a></li></ul></div>"
+            "<div class=\"wrap_cont\"><a class=\"link_txt\" href=\"/w/', CAST(p_partkey AS string_t), '\">', p_brand, "
+            "' box</a><img src=\"w.png\"></div>')"
+        ),
+    }),
 }
 
 
