@@ -27,10 +27,17 @@ CELL_ROWS = 1_024
 CELL_HASHES = 500_000
 
 
-def runs(threshold: float, recall: float) -> int:
-    """Runs for the target recall, if a pair at the threshold parts on its first path with the usual chance."""
-    shared = 2 * threshold / (1 + threshold) / threshold
-    return math.ceil(math.log(1 - recall) / -shared)
+def runs(recall: float, levels: int) -> int:
+    """Runs for the target recall, if a pair at the threshold meets in large buckets only.
+
+    It then needs a path that both sets share through all levels. Of a shared path it shares at least one more path on
+    average, and no more where one set contains the other; the chance that none gets through a level follows from the
+    chance for the levels below. Sets that share such a path share it in one bucket, however many they are.
+    """
+    missed = 0.0
+    for _ in range(levels):
+        missed = math.exp(missed - 1)
+    return math.ceil(math.log(1 - recall) / math.log(missed))
 
 
 def _choose(values: np.ndarray, start: np.ndarray, parent: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +335,7 @@ def near_duplicates(
     Texts without words are linked to nothing and are each a class of their own. Rows without an id can't be named
     and are left out. Repeated rows give a row each. Other columns are not read; an empty table gives an empty result.
     """
-    every = cut_lineage(document_sets(docs, threshold, runs(threshold, recall), width))
+    every = cut_lineage(document_sets(docs, threshold, runs(recall, levels), width))
     rows = every.where("n > 0")
     first = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     reps = cut_lineage(rows.join(first, ["key", "doc_id"]).dropDuplicates(["key"]))

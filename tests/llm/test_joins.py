@@ -104,6 +104,18 @@ def test_links_are_those_of_the_loop(docs, corpus, options):
     assert found == plain_links(corpus)
 
 
+def test_recall_of_pairs_that_meet_in_large_buckets_only(spark):
+    """Every bucket is large, one set of a pair contains the other, and they are just alike enough."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 1200, 2):
+        text = [f"p{k}w{rng.randrange(10**9)}" for _ in range(104)]
+        rows += [(k, " ".join(text)), (k + 1, " ".join(text[:84]))]
+    pairs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_duplicates(pairs, leaf=1).where("doc_id <> class_id").count()
+    assert found == 600
+
+
 def test_one_of_each_class_stays(docs, corpus):
     plain = plain_links(corpus)
     kept = ngram_join.keep_one_each(docs)
