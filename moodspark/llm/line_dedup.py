@@ -10,8 +10,9 @@ from moodspark.llm.common import batches, join_unique, measured, mix, partition_
 from moodspark.plans.session import cut_lineage
 
 THRESHOLD = 0.8
-# Lines of fewer different words are left alone.
+# Lines of fewer different words are left alone, unless another number is asked for; with EVERY_LINE none that has words.
 LEAST_WORDS = 5
+EVERY_LINE = 1
 # Words are counted in so many counters; words that share one only seem less rare than they are.
 COUNTERS = 1 << 20
 # Lines that share a word of their prefixes are compared in one task up to this number.
@@ -115,7 +116,8 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
             low, top = (_parity(half, start)[keep] for half in halves)
             long = n[keep] > LONG
             bits, bits2 = np.where(long, low, low ^ top), np.where(long, top, np.uint64(0))
-            p = prefix_length(n[keep], threshold)
+            # A line so short that one word more is too much matches equal sets only, which need no prefix.
+            p = np.where(n[keep] >= threshold * (n[keep] + 1) - 1e-9, prefix_length(n[keep], threshold), 0)
             first = np.r_[0, np.cumsum(p)]
             at = np.arange(first[-1]) - np.repeat(first[:-1], p) + np.repeat(start[:-1][keep], p)
             prefix, common = words[at], often[at] > cell_lines
@@ -445,10 +447,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAS
     )
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of `docs` without repeated lines, in the same columns, n_chars put right; a text of which nothing but
     white space is left because of that goes altogether."""
-    left = without_lines(docs, repeated_lines(docs, threshold))
+    left = without_lines(docs, repeated_lines(docs, threshold, least))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         left = left.withColumn("n_chars", F.when(F.col("_n_taken") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -53,7 +53,7 @@ def op7_quality(spark, sf):
 
 @query
 def op8_line_dedup(spark, sf):
-    return line_dedup.dedup_lines(read(spark, sf, "documents"))
+    return line_dedup.dedup_lines(read(spark, sf, "documents"), least=line_dedup.EVERY_LINE)
 
 
 @query

@@ -7,6 +7,7 @@ import pytest
 
 from moodspark.llm import chat, decontamination, fingerprints, line_dedup, ngram_join
 from moodspark.llm.components import components
+from moodspark.llm.queries import LLM_QUERIES
 
 
 def words(rng, n, vocabulary=400):
@@ -78,6 +79,21 @@ def test_texts_without_lines(docs, corpus):
     assert stage.columns == docs.columns
 
 
+def test_the_query_takes_short_lines_too(spark, tmp_path):
+    rows = [
+        (1, "Read more\nMenu\na b c d\n\n"), (2, "read  MORE\nmenu\na b c d e\na b c\n"), (3, "more read\nread\na b c\na b d\n \nMenu"),
+        (4, None), (None, "Menu\nRead more"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["text"] for r in LLM_QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found[None] == "Menu\nRead more"
+    words_only = [(d, t) for d, t in rows if d is not None]
+    gone = plain_lines(words_only, least=1)
+    assert {(2, 0), (2, 1), (2, 2), (3, 0), (3, 2), (3, 5)} == gone
+    for d, t in words_only:
+        assert found[d] == "\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone)
+
+
 def plain_links(corpus):
     sets = {}
     for d, t in corpus:
