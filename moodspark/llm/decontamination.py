@@ -21,19 +21,17 @@ SHARD_TERMS = 1_000_000
 WIDTH = 5
 
 _ANSWER = re.compile(r"\n\s*(?:answer|antwort|réponse|respuesta)\s*[:.]", re.I)
-_SENTENCE = re.compile(r"[.?!]\s+(?=\S)|\n")
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """An item's question and answer: what follows an answer mark or the last question mark, else the last sentence."""
+    """An item's question and answer: what follows an answer mark or the last question mark; else all is the question."""
     marked = _ANSWER.search(text)
     if marked:
         return text[:marked.start()], text[marked.end():]
     asked = text.rfind("?")
     if 0 <= asked and text[asked + 1:].strip():
         return text[:asked + 1], text[asked + 1:]
-    ends = [m.end() for m in _SENTENCE.finditer(text.rstrip())]
-    return (text[:ends[-1]], text[ends[-1]:]) if ends else (text, "")
+    return text, ""
 
 
 def item_terms(benchmark: DataFrame) -> DataFrame:
@@ -77,6 +75,8 @@ class Index:
     items: np.ndarray
     questions: list[tuple[int, np.ndarray]]  # words in a shingle, shingles
     answers: list[tuple[int, np.ndarray]]
+    lengths: list[int]  # words of question and answer
+    answer_words: list[np.ndarray]
     reach: int
 
     @classmethod
@@ -90,7 +90,8 @@ class Index:
         parts = [question_and_answer(texts[i]) for i in ids.tolist()]
         sizes = np.diff(word_hashes(letter_words(pa.array([texts[i] for i in ids.tolist()])))[1])
         sets = [[_shingles_of(p) for p in part] for part in parts]
-        return cls(terms, matrix, block_max, block_max.max(1), ids, [s[0] for s in sets], [s[1] for s in sets], int(sizes.max()))
+        own = [np.unique(word_hashes(letter_words(pa.array([answer])))[0]) for _, answer in parts]
+        return cls(terms, matrix, block_max, block_max.max(1), ids, [s[0] for s in sets], [s[1] for s in sets], sizes.tolist(), own, int(sizes.max()))
 
 
 def _shingles_of(part: str) -> tuple[int, np.ndarray]:
@@ -160,8 +161,9 @@ def retrieve(index: Index, values: np.ndarray, start: np.ndarray, threshold: flo
 def verified(index: Index, texts: pa.Array, found: list[tuple[int, int, float]], least: float) -> list[tuple[int, int, float, float, float]]:
     """Text, item, score, question and answer overlap of those whose two overlaps reach `least`.
 
-    The overlap is the share of the question's, or answer's, word shingles that the text has; an item without an
-    answer is judged by its question alone.
+    The overlap is the share of the question's, or answer's, word shingles that the text has. An answer so short that
+    one other word can spoil too many of its shingles is judged by its words beside the question too, and the larger
+    share counts. An item without an answer, or in which none is marked, is judged by all its shingles together.
     """
     best: dict[tuple[int, int], float] = {}
     for row, item, score in found:
@@ -170,7 +172,7 @@ def verified(index: Index, texts: pa.Array, found: list[tuple[int, int, float]],
         return []
     rows = sorted({r for r, _ in best})
     words = texts.take(pa.array(rows))
-    grams = {}
+    grams, plain = {}, word_hashes(words)
     out = []
     for (row, item), score in best.items():
         k = bisect_left(rows, row)
@@ -180,11 +182,28 @@ def verified(index: Index, texts: pa.Array, found: list[tuple[int, int, float]],
                 grams[width] = shingle_hashes(words, width)
             values, start = grams[width]
             shares.append(float(np.isin(part, values[start[k]:start[k + 1]]).mean()) if len(part) else 1.0)
+        answer = index.answers[item][1]
+        if shares[0] >= least > shares[1] and len(answer) * (1 - least) < WIDTH:
+            width, question = index.questions[item]
+            values, start = grams[width]
+            at = np.flatnonzero(np.isin(values[start[k]:start[k + 1]], question))
+            near = _beside(plain[0][plain[1][k]:plain[1][k + 1]], at, width, index.lengths[item])
+            shares[1] = max(shares[1], float(np.isin(index.answer_words[item], near).mean()))
         if min(shares) >= least:
             out.append((row, item, score, *shares))
     return out
 
 
+def _beside(words: np.ndarray, at: np.ndarray, width: int, reach: int) -> np.ndarray:
+    """The words up to `reach` words after the begin of any shingle of the question, without those of its shingles."""
+    edges = np.zeros((2, len(words) + 1), np.int64)
+    for row, length in zip(edges, (reach, width)):
+        np.add.at(row, at, 1)
+        np.add.at(row, np.minimum(at + length, len(words)), -1)
+    close, inside = np.cumsum(edges, axis=1)[:, :-1] > 0
+    return words[close & ~inside]
+
+
 def indexes(benchmark: DataFrame, shard_terms: int = SHARD_TERMS) -> list[Index]:
     """The index of all items, cut into as many as are needed for none to hold more than about `shard_terms` terms."""
     terms = cut_lineage(item_terms(benchmark))

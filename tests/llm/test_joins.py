@@ -173,6 +173,24 @@ def test_contaminated_texts_are_found_whole_and_in_passages(spark):
     assert decontamination.find_contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_changed_words_in_items_with_and_without_answers(spark):
+    """One changed word in the last sentence, or in a short answer; other answers beside the question do not count."""
+    rng = random.Random(4)
+    first, last = words(rng, 60, 10**6), words(rng, 6, 10**6)
+    question, answer = words(rng, 30, 10**6), words(rng, 7, 10**6)
+    items = [(1, f"{' '.join(first)}. {' '.join(last)}."), (2, f"{' '.join(question)}?\nAnswer: {' '.join(answer)}")]
+    near, far = [*answer[:3], "else", *answer[4:]], [*answer[:3], "quite", "else", *answer[5:]]
+    rows = [
+        (1, f"{' '.join(first)}. {' '.join([*last[:3], 'else', *last[4:]])}."), (2, f"{' '.join(question)} {' '.join(near)}"),
+        (3, f"{' '.join(question)} {' '.join(far)}"), (4, " ".join(question)),
+        (5, f"{' '.join(near)} {' '.join(words(rng, 90, 10**6))} {' '.join(question)}"), (6, " ".join(first[:40])),
+    ]
+    found = decontamination.find_contaminated(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 2)]
+
+
 def test_passages_lose_no_item(spark, small):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     exact = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}
