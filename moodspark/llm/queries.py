@@ -1,8 +1,8 @@
 """The corpus operators as named queries over the given tables, and SQL checks where SQL can express them."""
 
-import public_tokenizers
-
-from moodspark.llm import chat, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, toxicity, warc
+from moodspark.llm import (
+    chat, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, repair, toxicity, warc,
+)
 from moodspark.llm.common import read
 
 LLM_QUERIES = {}
@@ -36,6 +36,8 @@ def op4_fingerprints(spark, sf):
 
 @query
 def op5_best_fit_packing(spark, sf):
+    import public_tokenizers
+
     return packing.pack_documents(
         read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     )
@@ -64,3 +66,8 @@ def op9_ngram_join(spark, sf):
 @query
 def op10_toxicity(spark, sf):
     return toxicity.score_toxicity(read(spark, sf, "documents"), read(spark, sf, "labels")).drop("raw")
+
+
+@query
+def op11_structure_repair(spark, sf):
+    return repair.repair_conversations(repair.damaged(read(spark, sf, "conversations")))
