@@ -1,7 +1,7 @@
 """The corpus operators as named queries over the given tables, and SQL checks where SQL can express them."""
 
 from moodspark.llm import (
-    chat, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, repair, toxicity, warc,
+    chat, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, repair, runs, toxicity, warc,
 )
 from moodspark.llm.common import read
 
@@ -71,3 +71,8 @@ def op10_toxicity(spark, sf):
 @query
 def op11_structure_repair(spark, sf):
     return repair.repair_conversations(repair.damaged(read(spark, sf, "conversations")))
+
+
+@query
+def op12_periodic_runs(spark, sf):
+    return runs.describe_runs(runs.periodic_runs(read(spark, sf, "documents"), runs.planted_tails))
