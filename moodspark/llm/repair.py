@@ -215,12 +215,13 @@ def with_faults(turns: DataFrame, floor: int = HOT_ROWS) -> DataFrame:
     """
     same = F.md5(F.concat_ws("\x00", F.col("conv_id").cast("string"), F.col("conv_id").isNull().cast("string"),
                              F.octet_length("role").cast("string"), "role", "text"))
-    keyed = turns.withColumn("_same", F.when(F.col("copies") > 0, same))
-    first = keyed.where("_same IS NOT NULL").groupBy("_same").agg(
-        F.min(F.struct("turn")).alias("_first"), F.count("*").alias("_n")
+    keyed = turns.withColumn("_same", same)
+    first = keyed.where("copies > 0").groupBy("_same").agg(
+        F.min("turn").alias("_first"), F.count("*").alias("_n"), (F.count("*") > F.count("turn")).alias("_unnumbered")
     ).where("_n > 1")
     joined = join_unique(keyed, first, "_same", "_n", "turn", "left", floor)
-    later = F.col("_first").isNotNull() & F.coalesce(F.col("turn") > F.col("_first.turn"), F.col("turn").isNotNull())
+    # Turns without a number come before all others.
+    later = F.coalesce(F.col("turn").isNotNull() & (F.col("_unnumbered") | (F.col("turn") > F.col("_first"))), F.lit(False))
     last = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), -1, 1)
     return joined.select(
         "conv_id", "turn", "role", "text", "copies", later.alias("later"), (last == "").alias("blank"),
