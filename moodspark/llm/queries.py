@@ -1,7 +1,7 @@
 """The corpus operators as named queries over the given tables, and SQL checks where SQL can express them."""
 
 from moodspark.llm import (
-    chat, decontamination, fingerprints, line_dedup, ngram_join, packing, pii, quality, repair, runs, toxicity, warc,
+    chat, decontamination, fingerprints, language_model, line_dedup, ngram_join, packing, pii, quality, repair, runs, toxicity, warc,
 )
 from moodspark.llm.common import read
 
@@ -76,3 +76,8 @@ def op11_structure_repair(spark, sf):
 @query
 def op12_periodic_runs(spark, sf):
     return runs.describe_runs(runs.periodic_runs(read(spark, sf, "documents"), runs.planted_tails))
+
+
+@query
+def op13_language_model(spark, sf):
+    return language_model.score_language(read(spark, sf, "documents"))
