@@ -27,7 +27,7 @@ HEAVY_WORDS = 1 << 18
 PRIOR = 300.0
 # What each count is raised by in unigram probabilities.
 RAISED = 0.1
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 
 _END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -388,15 +388,39 @@ def score_texts(docs: DataFrame, table: CountTable, prior: float = PRIOR) -> Dat
                 if len(names):
                     n = np.where(names[near] == keys, counts[near], 0)
                 # Within a blob rows come in order.
-                numbers = row + np.frombuffer(numbers, np.int32).astype(np.int64)
+                numbers = np.frombuffer(numbers, np.int32)
                 first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(numbers[first]), pa.array(np.add.reduceat((n > 0).astype(np.int64), first)), pa.array(np.add.reduceat(np.log10(n + RAISED), first))
-                ], ["row", "more_known", "more_base"])
+                known = np.add.reduceat((n > 0).astype(np.int32), first)
+                base = np.add.reduceat(np.log10(n + RAISED), first)
+                yield pa.RecordBatch.from_pylist([{
+                    "row": row, "segment": segment, "rows": numbers[first].tobytes(), "known": known.tobytes(), "base": base.tobytes()
+                }], pa.schema([("row", pa.int64()), ("segment", pa.int64()), ("rows", pa.binary()), ("known", pa.binary()), ("base", pa.binary())]))
 
-    more = given.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.asc_nulls_first("row")).mapInArrow(
-        look_up, "row long, more_known long, more_base double"
-    ).groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
+    def add_up(rows):
+        """The answers to a batch's questions, one for each segment, added up by row."""
+        of, parts = None, []
+
+        def close():
+            number, known, base = (np.concatenate(x) for x in zip(*parts))
+            some = np.unique(number)
+            return pa.RecordBatch.from_arrays([
+                pa.array(of + some.astype(np.int64)), pa.array(np.bincount(number, known)[some].astype(np.int64)), pa.array(np.bincount(number, base)[some])
+            ], ["row", "more_known", "more_base"])
+
+        for batch in rows:
+            for row, number, known, base in zip(*(batch[c].to_pylist() for c in ("row", "rows", "known", "base"))):
+                if row != of and parts:
+                    yield close()
+                    parts.clear()
+                of = row
+                parts.append((np.frombuffer(number, np.int32), np.frombuffer(known, np.int32), np.frombuffer(base, np.float64)))
+        if parts:
+            yield close()
+
+    answers = given.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", F.asc_nulls_first("row")).mapInArrow(
+        look_up, "row long, segment long, rows binary, known binary, base binary"
+    )
+    more = answers.repartition("row").sortWithinPartitions("row", "segment").mapInArrow(add_up, "row long, more_known long, more_base double")
     return scored.where("segment IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "score").join(more, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
