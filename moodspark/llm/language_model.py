@@ -390,7 +390,7 @@ def score_texts(docs: DataFrame, table: CountTable, prior: float = PRIOR) -> Dat
                 # Within a blob rows come in order.
                 numbers = np.frombuffer(numbers, np.int32)
                 first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-                known = np.add.reduceat((n > 0).astype(np.int32), first)
+                known = np.add.reduceat((n > 0).astype(np.int32), first).astype(np.int32)
                 base = np.add.reduceat(np.log10(n + RAISED), first)
                 yield pa.RecordBatch.from_pylist([{
                     "row": row, "segment": segment, "rows": numbers[first].tobytes(), "known": known.tobytes(), "base": base.tobytes()
