@@ -27,7 +27,8 @@ HEAVY_WORDS = 1 << 18
 PRIOR = 300.0
 # What each count is raised by in unigram probabilities.
 RAISED = 0.1
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
+BLOB_BYTES = 16 << 20
 
 _END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,7 +238,7 @@ def count_grams(docs: DataFrame, order: int = 2, filter_bytes: int = FILTER_BYTE
                 held[kind] = [all_of(kind)]
                 held["size", kind] = len(held[kind][0][0])
 
-        for batch in rows:
+        for batch in batches(rows, BLOB_BYTES):
             for segment, single, keys, counts in zip(*(batch[c].to_pylist() for c in ("segment", "single", "keys", "counts"))):
                 if held["segment"] != segment:
                     if held["segment"] is not None:
@@ -369,12 +370,15 @@ def score_texts(docs: DataFrame, table: CountTable, prior: float = PRIOR) -> Dat
             row += len(n)
 
     scored = cut_lineage(now.mapInArrow(scoring, _SCORED))
+    # The scores are written: no task needs the filter any more.
+    held.destroy()
+    heavy.destroy()
     asked = scored.where("segment IS NOT NULL").select("segment", "row", "rows", "keys", F.lit(None).cast("binary").alias("counts"))
     given = table.rows.select("segment", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("rows"), "keys", "counts")
 
     def look_up(rows):
         of, names, counts = None, None, None
-        for batch in rows:
+        for batch in batches(rows, BLOB_BYTES):
             for segment, row, numbers, keys, given_counts in zip(*(batch[c].to_pylist() for c in ("segment", "row", "rows", "keys", "counts"))):
                 keys = np.frombuffer(keys, np.uint64)
                 if row is None:
