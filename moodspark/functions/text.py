@@ -1,6 +1,7 @@
 """String helpers on columns. All are built-in expressions, so they stay inside the JVM."""
 
-from functools import reduce
+from functools import cache, reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,12 +14,8 @@ _BLANKS = "".join(chr(code) for code in range(0x21))
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 _SITE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
 
-# Named entities decoded in page text. The ampersand is decoded last.
-_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”",
-}
+# All named entities of HTML, by name. Python's own table, less the names that count without a semicolon.
+_ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 
 
 def _col(c) -> Column:
@@ -133,39 +130,57 @@ def absolute_url(base, href) -> Column:
     return let(_col(href), lambda h: _resolve(base, h))
 
 
-def _decode_numeric(c: Column, mark: str, digits: str, base: int) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"&#{mark}({digits});"), F.lit(1)))
+@cache
+def _entity_table() -> Column:
+    """Code points of named entities, a map for each first letter, as one constant."""
+    groups: dict[str, list[str]] = {}
+    for name, char in sorted(_ENTITIES.items()):
+        groups.setdefault(name[0], []).append(f"{name}={' '.join(str(ord(c)) for c in char)}")
+    maps = ((F.lit(letter), F.str_to_map(F.lit(",".join(names)), F.lit(","), F.lit("="))) for letter, names in groups.items())
+    return F.create_map(*[c for pair in maps for c in pair])
 
-    def step(text, number):
-        # Any number of digits; one beyond the last character is as good as another.
-        plain = F.regexp_replace(number, "^0+(?=.)", "")
-        plain = F.when(F.length(plain) <= 7, plain).otherwise(F.lit("9999999"))
-        hexed = F.lpad(F.conv(plain, base, 16), 8, "0")
-        code = F.conv(plain, base, 10).cast("bigint")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = (
-            F.when(code == 38, F.lit("&amp;"))
-            .when(valid, F.decode(F.unhex(hexed), "UTF-32"))
-            .otherwise(F.lit("\ufffd"))
-        )
-        return F.replace(text, F.concat(F.lit(f"&#{mark}"), number, F.lit(";")), char)
 
-    return F.when(c.contains(f"&#{mark}"), F.aggregate(found, c, step)).otherwise(c)
+def _character(code: Column) -> Column:
+    """The character of a number; the replacement character where there is none."""
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
-def decode_entities(text: Column) -> Column:
-    """Numeric and common named entities as the characters they stand for."""
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number written out. Any number of digits; one beyond the last character is as good as another."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return _character(F.conv(F.when(F.length(plain) <= 7, plain).otherwise(F.lit("9999999")), base, 10).cast("bigint"))
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named entity, NULL for an unknown name."""
+    codes = F.try_element_at(F.try_element_at(_entity_table(), F.substring(name, 1, 1)), name)
+    return F.array_join(F.transform(F.split(codes, " "), lambda c: _character(c.cast("bigint"))), "")
+
 
-    def named(c):
-        for entity, char in _ENTITIES.items():
-            c = F.replace(c, F.lit(entity), F.lit(char))
-        return F.replace(c, F.lit("&amp;"), F.lit("&"))
+# An entity and the text up to the next one, or the text before the first.
+_ENTITY = r"(?s)&(?:#[0-9]++;|#[xX][0-9A-Fa-f]++;|[A-Za-z][A-Za-z0-9]*+;)?[^&]*+|^[^&]++"
 
-    def decoded(t):
-        numeric = _decode_numeric(t, "", "[0-9]++", 10)
-        return let(numeric, lambda n: named(_decode_numeric(n, "x", "[0-9A-Fa-f]++", 16)))
 
-    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
+def _decode_piece(piece: Column) -> Column:
+    def decoded(end: Column) -> Column:
+        body = F.substring(piece, F.lit(2), end - 2)
+        char = (
+            F.when(body == "amp", F.lit("&")).when(body == "lt", F.lit("<")).when(body == "gt", F.lit(">"))
+            .when(body == "quot", F.lit('"')).when(body == "nbsp", F.lit("\u00a0"))
+            .when(body.rlike("^#[0-9]+$"), _numbered(F.substr(body, F.lit(2)), 10))
+            .when(body.rlike("^#[xX][0-9A-Fa-f]+$"), _numbered(F.substr(body, F.lit(3)), 16))
+            .when(body.rlike("^[A-Za-z][A-Za-z0-9]*$"), _named(body))
+        )
+        return F.coalesce(F.concat(char, F.substr(piece, end + 1)), piece)
+
+    return F.when(piece.startswith("&") & piece.contains(";"), let(F.locate(";", piece), decoded)).otherwise(piece)
+
+
+def decode_entities(text: Column) -> Column:
+    """Entities, numbered and named, as the characters they stand for. One pass: what an entity gives is not read again."""
+    pieces = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, _decode_piece), "")).otherwise(text)
 
 
 def page_text(html) -> Column:

@@ -540,14 +540,16 @@ _SHOP = "'https://shop.example.com/"
 _KEY = " || CAST(p_partkey AS VARCHAR)"
 ORACLES["book_pages"] = _shop(
     "BOOK", vocab.BOOK_SNIPPET,
-    _shop_item(0, "p_name", f"'{vocab.AUTHOR_PREFIX}' || p_brand || ' | '", LONG_TEXT, f"{_SHOP}b/'{_KEY} || '.png'", f"{_SHOP}book/'{_KEY}"),
+    _shop_item(0, "p_name || ' in tail é'", f"'{vocab.AUTHOR_PREFIX}' || p_brand || ' | '", LONG_TEXT, f"{_SHOP}b/'{_KEY} || '.png'", f"{_SHOP}book/'{_KEY}"),
     _shop_item(1, "p_type || ' & more'", f"'{vocab.AUTHOR_PREFIX}{vocab.NO_AUTHOR} | '", f"'{vocab.NO_DESCRIPTION}'", "''", f"{_SHOP}more?p='{_KEY}"),
 )
 ORACLES["movie_pages"] = _shop(
     "MOVIE", vocab.MOVIE_SNIPPET,
     _shop_item(0, "p_name", "''", LONG_TEXT, f"{_SHOP}i/'{_KEY} || '.png'", f"{_SHOP}m/'{_KEY}"),
     _shop_item(1, "p_brand || ' & more'", "''", LONG_TEXT, f"{_SHOP}i/'{_KEY} || '.png'", f"{_SHOP}n/'{_KEY}"),
-    _shop_item(2, "p_brand", "''", f"'{vocab.NO_SYNOPSIS}'", "''", f"'https://o.example/'{_KEY}"),
+    # Image and text of this one's list item are not in the element that the link is in.
+    _shop_item(2, "p_name || ' in tail'", "''", "p_type", "''", f"{_SHOP}q/'{_KEY}"),
+    _shop_item(3, "p_brand", "''", f"'{vocab.NO_SYNOPSIS}'", "''", f"'https://o.example/'{_KEY}"),
 )
 ORACLES["activity_pages"] = _shop(
     "ACTIVITY", vocab.ACTIVITY_SNIPPET,

@@ -120,7 +120,7 @@ VIEWS = {
         "book_html": (
             "concat('<div class=\"prod_area x\"><div class=\"img_box\"><img src=\"/s.png\" data-src=\"/b/', "
             "CAST(p_partkey AS string_t), '.png\"></div><a class=\"prod_info\" href=\"/book/', CAST(p_partkey AS string_t), "
-            "'\"><span class=\"prod_category\">[x]</span><span id=\"cmdtName_1\">', p_name, '</span></a>"
+            "'\"><span class=\"prod_category\">[x]</span><span id=\"cmdtName_1\">', p_name, ' <span>in</span> tail &eacute;</span></a>"
             "<span class=\"author\">', p_brand, '</span><p class=\"desc\">', " + LONG_TEXT + ", '</p></div>"
             "<div class=\"prod_area\"><a class=\"prod_info\" href=\"more?p=', CAST(p_partkey AS string_t), '\"><span>', "
             "p_type, ' &amp; more</span></a></div><div class=\"prod_area\"><a class=\"prod_info\"><span>no address</span></a></div>')"
@@ -130,7 +130,9 @@ VIEWS = {
             "<li><img src=\"/s.png\" data-src=\"/i/', CAST(p_partkey AS string_t), '.png\"><a class=\"link_txt\" href=\"/m/', "
             "CAST(p_partkey AS string_t), '\">', p_name, '</a><a href=\"/no\">no</a><a class=\"f link_txt\" href=\"n/', "
             "CAST(p_partkey AS string_t), '\">', p_brand, ' &amp; more</a><p class=\"desc\">', " + LONG_TEXT + ", "
-            "'</p></li></ul></div></div><div class=\"info_tit\"><a href=\"//o.example/', CAST(p_partkey AS string_t), '\">', "
+            "'</p></li><li><div><img src=\"/far.png\"></div><p class=\"desc\">far</p><span><a class=\"link_txt\" href=\"/q/', "
+            "CAST(p_partkey AS string_t), '\">', p_name, ' <b><i>in</i></b> tail</a><b><p class=\"desc\">', p_type, '</p></b></span></li>"
+            "</ul></div></div><div class=\"info_tit\"><a href=\"//o.example/', CAST(p_partkey AS string_t), '\">', "
             "p_brand, '</a></div>')"
         ),
         "activity_html": (

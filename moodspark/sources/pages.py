@@ -1,193 +1,133 @@
-"""Candidates from fetched result pages, by patterns that say where a page keeps its items."""
+"""Candidates from fetched result pages, by selectors that say where a page keeps its items."""
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import absolute_url, decode_entities, java_trim, let, page_text
-
-
-def tag(name: str, css_class: str | None = None) -> str:
-    """Pattern of an opening tag, with a class among its classes if given."""
-    if css_class is None:
-        return rf"<{name}\b[^>]*>"
-    c = f"(?:{css_class})"
-    listed = rf"(?:\"(?:[^\"]*\s)?{c}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{c}(?:\s[^']*)?'|{c}(?=[\s>]))"
-    return rf"<{name}\b[^>]*\sclass\s*=\s*{listed}[^>]*>"
-
-
-def inside(opening: str, name: str) -> str:
-    """Pattern of an element without nested ones of its kind; group 1 is what it holds."""
-    return rf"{opening}(.*?)</{name}>"
-
-
-def until_next(opening: str) -> str:
-    """Pattern of a block that reaches to the next one or to the end of the page."""
-    return rf"{opening}(?:(?!{opening}).)*+"
+from moodspark.sources import nodes
+from moodspark.sources.nodes import Element, Path
 
 
 @dataclass(frozen=True)
 class PageProfile:
-    """Where the items of a kind of result page are.
+    """Where the items of a kind of result page are: paths to elements, any of which will do.
 
-    `block` finds an item, the others look inside it, each with a group for what it wants: `link` and `image`
-    the opening tag, `title`, `author` and `description` the markup of the text. With `scope`, list items count
-    only in a `div` of that class. With `parts` a block has an item for each link that these patterns find, one
-    after the other, and `link` and `title` look at that link alone.
+    `items` leads to an item's element, the other paths look inside it; where one is empty, it is the item itself.
+    With `around`, author, description and image are looked for in the element that the item is directly in.
     """
 
     source: str
-    block: str
-    link: str
-    title: str
-    author: str | None = None
-    description: str | None = None
-    image: str | None = None
-    author_group: int = 1
-    description_group: int = 1
-    scope: str | None = None
-    parts: tuple[str, str] | None = None
+    items: tuple[Path, ...]
+    title: tuple[Path, ...] = ()
+    link: tuple[Path, ...] = ()
+    author: tuple[Path, ...] | None = None
+    description: tuple[Path, ...] | None = None
+    image: tuple[Path, ...] | None = None
+    around: bool = False
 
 
-# An element's own class may be one of several; a title span must not be the category label.
-_NO_LABEL = r"span\b(?![^>]*\bprod_category\b)"
+def _is(name: str | None = None, css_class: str | None = None, **more: str) -> Element:
+    return Element(name, css_class, **more)
 
+
+# The names and classes that the three sites give their elements.
+_BOOK_LINK, _SCOPE = _is("a", "prod_info"), _is("div", "coll_cont")
 BOOK_PAGE = PageProfile(
     source="BOOK",
-    block=until_next(tag("div", "prod_area")),
-    link=f"({tag('a', 'prod_info')})",
-    title=rf"{tag('a', 'prod_info')}(?:[^<]++|<(?!/a>|{_NO_LABEL}))*+<span\b[^>]*>(.*?)</span>",
-    author=rf"{tag(r'(\w+)', 'author')}(.*?)</\1>",
-    description=rf"{tag(r'(\w+)', '(?:desc|desc_area)')}(.*?)</\1>",
-    image=rf"{tag(r'\w+', 'img_box')}.*?({tag('img')})",
-    author_group=2,
-    description_group=2,
+    items=((_is("div", "prod_area"),),),
+    title=((_BOOK_LINK, _is("span", not_class="prod_category")), (_BOOK_LINK, _is("span", id_start="cmdtName"))),
+    link=((_BOOK_LINK,),),
+    author=((_is(None, "author"),),),
+    description=((_is(None, "desc"),), (_is("p", "desc_area"),)),
+    image=((_is(None, "img_box"), _is("img")),),
 )
-_INFO = rf"{tag('div', 'info_tit')}(?:(?!</div>).)*+</div>"
-_LINK_END = r"(?:(?!</a>).)*+</a>"
 MOVIE_PAGE = PageProfile(
     source="MOVIE",
-    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{_INFO}",
-    # Links of the class, and every link of a title box.
-    parts=(rf"{_INFO}|{tag('a', 'link_txt')}{_LINK_END}", rf"<a\b[^>]*>{_LINK_END}"),
-    link=r"^(<a\b[^>]*>)",
-    title=r"^<a\b[^>]*>(.*)</a>$",
-    description=inside(tag("p", "desc"), "p"),
-    image=f"({tag('img')})",
-    scope="coll_cont",
+    items=((_SCOPE, _is("li"), _is("a", "link_txt")), (_is("div", "info_tit"), _is("a"))),
+    description=((_is("p", "desc"),),),
+    image=((_is("img"),),),
+    around=True,
 )
-_BOX = tag("div", "wrap_cont")
+_ACTIVITY_LINK = ((_is("a", "link_txt"),), (_is("a", "f_link_b"),))
 ACTIVITY_PAGE = PageProfile(
     source="ACTIVITY",
-    block=rf"{tag('li')}(?:(?!</li>).)*+</li>|{_BOX}(?:(?!{_BOX}|<li\b).)*+",
-    link=f"({tag('a', '(?:link_txt|f_link_b)')})",
-    title=inside(tag("a", "(?:link_txt|f_link_b)"), "a"),
-    description=rf"{tag('(p|div)', 'desc')}(.*?)</\1>",
-    image=f"({tag('img')})",
-    description_group=2,
-    scope="coll_cont",
-)
-# Any page: every plain link is an item.
-LINK_PAGE = PageProfile(
-    source="ACTIVITY",
-    block=r'<a href="[^"]*">[^<]*</a>',
-    link=r'(<a href="[^"]*">)',
-    title=r"<a [^>]*>([^<]*)</a>",
+    items=((_SCOPE, _is("li")), (_is("div", "wrap_cont"),)),
+    title=_ACTIVITY_LINK,
+    link=_ACTIVITY_LINK,
+    description=((_is("p", "desc"),), (_is("div", "desc"),)),
+    image=((_is("img"),),),
 )
+# Any page: every link that holds nothing but text is an item.
+LINK_PAGE = PageProfile(source="ACTIVITY", items=())
+_PLAIN_LINK = r'<a href="([^"]*)">([^<]*)</a>'
 
 
-# Tag and class names are matched in any case. Comments, scripts and styles hold no items.
-_FLAGS = "(?is)"
-_NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-
-
-def _first(c: Column, pattern: str, group: int) -> Column:
-    """First match, NULL where there is none."""
-    return F.get(F.regexp_extract_all(c, F.lit(_FLAGS + pattern), F.lit(group)), F.lit(0))
+def _attribute(node: Column, name: str) -> Column:
+    return java_trim(decode_entities(nodes.attribute(node, name)))
 
 
-def _attribute(opening: Column, name: str) -> Column:
-    """Value of an attribute, NULL without it."""
-    value = r"[\"']?((?<=\")[^\"]*|(?<=')[^']*|(?<=[=\s])[^\s\"'>]+)"
-    return java_trim(decode_entities(_first(opening, rf"\s{name}\s*=\s*{value}", 1)))
+def _item(found: Column, pieces: Column, item: Column, url: Column, profile: PageProfile) -> Column:
+    def inside(holder: Column, paths: tuple[Path, ...] | None, body) -> Column:
+        """body of the first element that the paths lead to."""
+        if paths is None:
+            return F.lit(None).cast("string")
+        return body(item) if paths == () else let(nodes.first(nodes.within(found, holder), *paths), body)
 
+    def text(node: Column) -> Column:
+        return F.when(node.isNotNull(), page_text(nodes.inner_markup(pieces, node)))
 
-# A tag that opens or closes a `div`, or the page's beginning, and all up to the next such tag.
-_SEGMENT = r"(?is)(?:</?div\b[^>]*>|^)(?:[^<]++|<(?!/?div\b))*+"
+    def picture(node: Column) -> Column:
+        lazy = F.nullif(_attribute(node, "data-src"), F.lit(""))
+        return absolute_url(url, F.coalesce(lazy, _attribute(node, "src")))
 
+    def described(holder: Column) -> Column:
+        return F.struct(
+            inside(item, profile.title, text).alias("title"),
+            inside(holder, profile.author, text).alias("author"),
+            inside(holder, profile.description, text).alias("description"),
+            inside(holder, profile.image, picture).alias("image_url"),
+            inside(item, profile.link, lambda node: absolute_url(url, _attribute(node, "href"))).alias("content_url"),
+        )
 
-def _without_items(markup: Column) -> Column:
-    return F.regexp_replace(markup, r"(?i)<li\b", "<_li")
+    return let(nodes.parent(found, item), described) if profile.around else described(item)
 
 
-def _scoped(markup: Column, css_class: str) -> Column:
-    """The markup with list items outside of any `div` of the class made unknown elements."""
-    opening = _FLAGS + tag("div", css_class)
-
-    def step(state: Column, segment: Column) -> Column:
-        opens = segment.rlike(r"(?i)^<div\b")
-        change = F.when(opens, 1).when(segment.rlike(r"(?i)^</div\b"), -1).otherwise(0)
-        depth = F.greatest(state["depth"] + change, F.lit(0))
-        begins = opens & (state["since"] == 0) & segment.rlike(opening)
-        since = F.when(begins, depth).when(depth < state["since"], 0).otherwise(state["since"])
-        return F.struct(depth.alias("depth"), since.alias("since"), F.concat(state["within"], F.array(since > 0)).alias("within"))
-
-    def marked(m: Column) -> Column:
-        segments = F.regexp_extract_all(m, F.lit(_SEGMENT), F.lit(0))
-        start = F.expr("struct(0 AS depth, 0 AS since, cast(array() AS array<boolean>) AS within)")
-        within = F.aggregate(segments, start, step, lambda state: state["within"])
-        return F.array_join(F.zip_with(segments, within, lambda s, w: F.when(w, s).otherwise(_without_items(s))), "")
-
-    return let(markup, lambda m: F.when(m.rlike(opening), marked(m)).otherwise(_without_items(m)))
-
-
-def _parts(block: Column, patterns: tuple[str, str]) -> Column:
-    """The links of a block: those found by themselves, and those in the boxes found."""
-    outer, inner = (F.lit(_FLAGS + p) for p in patterns)
-    return F.flatten(F.transform(
-        F.regexp_extract_all(block, outer, F.lit(0)),
-        lambda part: F.when(part.rlike(r"(?i)^<a\b"), F.array(part)).otherwise(F.regexp_extract_all(part, inner, F.lit(0))),
+@cache
+def _items(profile: PageProfile) -> Column:
+    """The items of a page, an array, from its columns html and url. Some thousand expressions, so made once a profile."""
+    html, url = F.col("html"), F.col("url")
+    if profile.items:
+        return let(nodes.page_nodes(html), lambda page: F.transform(
+            nodes.select(page["nodes"], *profile.items), lambda item: _item(page["nodes"], page["pieces"], item, url, profile)
+        ))
+    links = F.regexp_extract_all(F.regexp_replace(html, nodes.NOT_MARKUP, ""), F.lit("(?is)" + _PLAIN_LINK), F.lit(0))
+    none = F.lit(None).cast("string")
+    return F.transform(links, lambda link: F.struct(
+        page_text(F.regexp_extract(link, "(?is)" + _PLAIN_LINK, 2)).alias("title"), none.alias("author"), none.alias("description"),
+        none.alias("image_url"), absolute_url(url, java_trim(decode_entities(F.regexp_extract(link, "(?is)" + _PLAIN_LINK, 1)))).alias("content_url"),
     ))
 
 
-def _item(block: Column, part: Column, url: Column, profile: PageProfile) -> Column:
-    def text(pattern: str | None, group: int, markup: Column = block) -> Column:
-        return F.lit(None).cast("string") if pattern is None else page_text(_first(markup, pattern, group))
-
-    def picture(img: Column) -> Column:
-        lazy = F.nullif(_attribute(img, "data-src"), F.lit(""))
-        return absolute_url(url, F.coalesce(lazy, _attribute(img, "src")))
-
-    image = F.lit(None).cast("string") if profile.image is None else let(_first(block, profile.image, 1), picture)
-    return F.struct(
-        text(profile.title, 1, part).alias("title"),
-        text(profile.author, profile.author_group).alias("author"),
-        text(profile.description, profile.description_group).alias("description"),
-        image.alias("image_url"),
-        absolute_url(url, _attribute(_first(part, profile.link, 1), "href")).alias("content_url"),
-    )
+def _spread(pages: DataFrame) -> DataFrame:
+    """Few partitions of pages dealt to all cores, as reading a page takes far longer than moving it; many as they are."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or pages.rdd.getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores)
 
 
 def extract_candidates(pages: DataFrame, profile: PageProfile) -> DataFrame:
-    """One row per item block of each page with its position: title, author, description, image, address.
+    """One row per item of each page with its position: title, author, description, image, address.
 
-    Missing elements are NULL, found but empty ones are empty. Pages are matched once; the finer patterns
-    see one block at a time. Items are read before they become rows, so that later filters work on the
-    values and do not repeat the patterns.
+    Missing elements are NULL, found but empty ones are empty. A page's tags are read once into a table of its elements;
+    an element's parts are looked for among the tags between its first and its last. Items are read before they become
+    rows, so that later filters work on the values and do not read the page again.
     """
     kept = [c for c in pages.columns if c not in ("html", "url")]
-    markup = F.regexp_replace("html", _NOT_MARKUP, "")
-    if profile.scope:
-        markup = _scoped(markup, profile.scope)
-    blocks = F.regexp_extract_all(markup, F.lit(_FLAGS + profile.block), F.lit(0))
-    url = F.col("url")
-    if profile.parts:
-        items = F.flatten(F.transform(
-            blocks, lambda block: F.transform(_parts(block, profile.parts), lambda part: _item(block, part, url, profile))
-        ))
-    else:
-        items = F.transform(blocks, lambda block: _item(block, block, url, profile))
-    return pages.select(*kept, F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item")).select(
+    items = _items(profile)
+    return _spread(pages).select(*kept, F.col("url").alias("page_url"), F.posexplode(items).alias("pos", "item")).select(
         *kept, "page_url", "pos", F.lit(profile.source).alias("source"), "item.*"
     )
