@@ -27,6 +27,18 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, led by as many underscores as it takes for none to be a column of the table."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def measured(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The table with a broadcast hint if its measured size allows that, else as it is."""
     values = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes

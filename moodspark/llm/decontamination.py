@@ -2,7 +2,7 @@
 
 import re
 from bisect import bisect_left
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ def item_terms(benchmark: DataFrame) -> DataFrame:
                 ["item_id", "term", "tf", "words"],
             )
 
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).where("item_id IS NOT NULL").distinct()
+    texts = item_texts(benchmark).select(F.col("key").alias("item_id"), "text")
     terms = cut_lineage(texts.mapInArrow(run, "item_id long, term long, tf long, words long"))
     size = terms.select("item_id", "words").distinct().agg(F.count("*").alias("items"), F.avg("words").alias("mean"))
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -204,19 +204,31 @@ def _beside(words: np.ndarray, at: np.ndarray, width: int, reach: int) -> np.nda
     return words[close & ~inside]
 
 
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """key, item_id, text of every different text of every item with an id; the key is a hash of both."""
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).where("item_id IS NOT NULL").distinct()
+    return texts.select(F.xxhash64("item_id", "text").alias("key"), "item_id", "text")
+
+
 def indexes(benchmark: DataFrame, shard_terms: int = SHARD_TERMS) -> list[Index]:
-    """The index of all items, cut into as many as are needed for none to hold more than about `shard_terms` terms."""
-    terms = cut_lineage(item_terms(benchmark))
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).groupBy("item_id").agg(F.min("text").alias("text"))
+    """The index of all items, cut into as many as are needed for none to hold more than about `shard_terms` terms.
+
+    Each text of an item is indexed by itself, under the item's id; all texts of an item are in the same part.
+    """
+    texts = cut_lineage(item_texts(benchmark))
+    terms = cut_lineage(item_terms(benchmark).join(texts.select(F.col("key").alias("item_id"), F.col("item_id").alias("of")), "item_id"))
     shards = -(-terms.count() // shard_terms)
     out = []
     for k in range(shards):
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k
         # Bounded: a shard's terms, and the texts they come from.
-        rows = terms.where(mine).toPandas()
+        rows = terms.where(F.pmod(F.xxhash64("of"), F.lit(shards)) == k).toPandas()
         if len(rows):
-            text = {r["item_id"]: r["text"] for r in texts.where(mine).collect()}
-            out.append(Index.build(rows["item_id"].to_numpy(), rows["term"].to_numpy(), rows["weight"].to_numpy(), text))
+            held = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
+            built = Index.build(
+                rows["item_id"].to_numpy(), rows["term"].to_numpy(), rows["weight"].to_numpy(), {r["key"]: r["text"] for r in held}
+            )
+            ids = {r["key"]: r["item_id"] for r in held}
+            out.append(replace(built, items=np.array([ids[key] for key in built.items.tolist()], np.int64)))
     return out
 
 
@@ -236,7 +248,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     Words are compared in lower case and without punctuation. A null, empty or wordless text holds nothing, nor does
     a wordless item match; a row without an id is reported without one. Repeated rows are reported each, a repeated
-    item once. Other columns are not read; an empty table on either side gives an empty result. Texts are looked at
+    item once; different texts under one item id are looked for each. Other columns are not read; an empty table on either side gives an empty result. Texts are looked at
     whole, in passages; if the items do not fit one index, the corpus is passed over once for each.
     """
     shape = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -248,8 +260,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         def run(rows, shared=shared):
             index = Index(*shared.value)
             for batch in batches(rows, 2 << 20):
-                found = _matches(index, batch["text"], threshold, least)
-                row, item, *numbers = zip(*found) if found else [()] * 5
+                # Of several texts of an item that a row holds, the one with the best score counts.
+                best = {}
+                for row, item, *numbers in _matches(index, batch["text"], threshold, least):
+                    key = row, int(index.items[item])
+                    best[key] = max(best.get(key, (row, item, *numbers)), (row, item, *numbers), key=lambda f: f[2:])
+                row, item, *numbers = zip(*best.values()) if best else [()] * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(index.items[list(item)] if item else [], pa.int64()),
                      *[pa.array(x, pa.float64()) for x in numbers]],

@@ -6,12 +6,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, join_unique, measured, mix, partition_sums, whole_text, word_codes
+from moodspark.llm.common import batches, fresh_names, join_unique, measured, mix, partition_sums, whole_text, word_codes
 from moodspark.plans.session import cut_lineage
 
 THRESHOLD = 0.8
-# Lines of fewer different words are left alone, unless another number is asked for; with EVERY_LINE none that has words.
-LEAST_WORDS = 5
+# Lines of fewer different words are left alone; as it stands, none that has words.
 EVERY_LINE = 1
 # Words are counted in so many counters; words that share one only seem less rare than they are.
 COUNTERS = 1 << 20
@@ -382,7 +381,7 @@ def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     return both.where(common * (1 + threshold) >= threshold * (F.size("words") + F.size("words2")) - 1e-9).select("doc_id", "line").distinct()
 
 
-def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS, cell_lines: int = CELL_LINES) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = EVERY_LINE, cell_lines: int = CELL_LINES) -> DataFrame:
     """doc_id, line of every line that an earlier one matches; earlier by doc_id, then by number of the line.
 
     Lines of equal sets are brought together before anything is joined. Of the others each first reports some earlier
@@ -418,21 +417,24 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = L
     return copies.unionByName(matched).distinct()
 
 
-def without_lines(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The rows of `docs` with the repeated lines taken out of the text, and the numbers of lines and of lines taken."""
-    taken = cut_lineage(repeated.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines")))
+def without_lines(docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, str, str]:
+    """The rows of `docs` with the repeated lines taken out of the text, and the names of two more columns, which no
+    other has: the numbers of lines and of lines taken."""
+    doc, gone, n_lines, n_taken = fresh_names(docs, "_doc", "_lines", "_n_lines", "_n_taken")
+    taken = cut_lineage(repeated.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(gone)))
     lines = F.split(whole_text(), "\n")
-    joined = docs.join(measured(taken, F.size("_lines") * 4 + 24), docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    joined = docs.join(measured(taken, F.size(gone) * 4 + 24), docs["doc_id"].cast("long") == F.col(doc), "left")
     # Numbers beyond the text's lines can only come from another row of the same id.
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("_lines"), k)), "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = F.array_join(F.transform(numbers, lambda k: lines[k]), "\n")
     return joined.select(
-        *[docs[c] for c in docs.columns if c != "text"],
-        F.when(F.col("_lines").isNull(), whole_text()).otherwise(left).alias("text"),
-        F.size(lines).alias("_n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_taken"),
-    )
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
+        F.when(F.col(gone).isNull(), whole_text()).otherwise(left).alias("text"),
+        F.size(lines).alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).alias(n_taken),
+    ), n_lines, n_taken
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS, cell_lines: int = CELL_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = EVERY_LINE, cell_lines: int = CELL_LINES) -> DataFrame:
     """doc_id, text, n_lines, n_removed of every row: the text without the lines that an earlier line matches.
 
     Two lines match if the Jaccard similarity of their sets of lower-case words is at least the threshold; lines with
@@ -442,16 +444,15 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAS
     read; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return without_lines(docs, repeated_lines(docs, threshold, least, cell_lines)).select(
-        "doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_taken").alias("n_removed")
-    )
+    left, n_lines, n_taken = without_lines(docs, repeated_lines(docs, threshold, least, cell_lines))
+    return left.select("doc_id", "text", F.col(n_lines).alias("n_lines"), F.col(n_taken).alias("n_removed"))
 
 
-def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = EVERY_LINE) -> DataFrame:
     """The rows of `docs` without repeated lines, in the same columns, n_chars put right; a text of which nothing but
     white space is left because of that goes altogether."""
-    left = without_lines(docs, repeated_lines(docs, threshold, least))
+    left, _, n_taken = without_lines(docs, repeated_lines(docs, threshold, least))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        left = left.withColumn("n_chars", F.when(F.col("_n_taken") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return left.where((F.col("_n_taken") == 0) | F.col("text").rlike(r"\S")).select(docs.columns)
+        left = left.withColumn("n_chars", F.when(F.col(n_taken) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return left.where((F.col(n_taken) == 0) | F.col("text").rlike(r"\S")).select(docs.columns)

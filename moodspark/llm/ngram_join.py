@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, join_unique, measured, mix, shingle_sets, sorted_groups, whole_text
+from moodspark.llm.common import batches, fresh_names, join_unique, measured, mix, shingle_sets, sorted_groups, whole_text
 from moodspark.llm.components import components
 from moodspark.plans.session import cut_lineage
 
@@ -356,7 +356,27 @@ def near_duplicates(
 
 
 def keep_one_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` but those of a class that has a smaller id, with all their columns; rows without an id stay."""
-    found = near_duplicates(docs, threshold)
-    extra = cut_lineage(found.where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(measured(extra, 16), "doc_id", "left_anti").select(docs.columns)
+    """One row of each class of `docs`, with all its columns: the one of the smallest id.
+
+    A row is told by its id and its text, so of two texts under one id each is judged by itself, and of rows that
+    share both one stays (the least by its other columns). Texts without words are a class of their own each. Rows
+    without an id stay. Null texts count as empty; an empty table gives an empty result.
+    """
+    own, best = fresh_names(docs, "own", "best")
+    hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), whole_text()))
+    ids = cut_lineage(docs.select(hashed.alias("own"), F.col("doc_id").cast("long").alias("id")).where("own IS NOT NULL").groupBy("own").agg(
+        F.min("id").alias("id"), F.count("*").alias("rows")
+    ))
+    found = near_duplicates(docs.select(hashed.alias("doc_id"), whole_text().alias("text")), threshold)
+    classes = cut_lineage(found.select(F.col("doc_id").alias("own"), "class_id").distinct().join(ids, "own"))
+    first = classes.groupBy("class_id").agg(F.min(F.struct("id", "own")).alias("first"), F.count("*").alias("members"))
+    extra = cut_lineage(
+        classes.join(measured(first.where("members > 1"), 32), "class_id").where("own <> first.own").select(F.col("own").alias(own))
+    )
+    kept = docs.withColumn(own, hashed).join(measured(extra, 16), own, "left_anti")
+    repeated = cut_lineage(ids.where("rows > 1").select(F.col("own").alias(own)))
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    repeated = measured(repeated, 16)
+    single = kept.join(repeated, own, "left_semi").groupBy(own).agg(F.min(F.struct(*docs.columns)).alias(best)).select(f"{best}.*")
+    return kept.join(repeated, own, "left_anti").select(docs.columns).unionByName(single.select(docs.columns))

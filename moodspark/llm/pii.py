@@ -73,16 +73,18 @@ def _place(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
+# A word with a capital, in the letters of western European languages.
+_CAPITAL = "[A-ZÀ-ÖØ-ÞŒŸ][a-zß-öø-ÿœ]+"
 # Candidates beyond the base kinds, loosely matched; the labelers tell which are personal data.
 _LOOSE = [
     ("email", re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[(](?:at|AT|@)[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(](?:dot|DOT)[\])] ?|\.)[A-Za-z]{2,24}\b")),
     ("phone", re.compile(r"(?<![\w+.-])(?:00[1-9][0-9 ().-]{7,18}[0-9]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})(?![\w-])")),
     ("card", re.compile(r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![\w-])")),
     ("account", re.compile(r"\b(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4})\b")),
-    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,64}|[A-Za-z0-9+/_-]{32,88})\b")),
-    ("name", re.compile(r"\b[A-Z][a-z]{1,19} [A-Z][a-z]{1,19}\b")),
+    ("secret", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|[A-Za-z0-9+/_-]{32,})\b")),
+    ("name", re.compile(rf"\b{_CAPITAL} {_CAPITAL}\b")),
 ]
-_LOOSE_HINT = re.compile(r"[\[(](?:at|AT|@)[\])]|[0-9]|[A-Z][a-z]{1,19} [A-Z][a-z]|[A-Za-z0-9+/_-]{32}")
+_LOOSE_HINT = re.compile(rf"[\[(](?:at|AT|@)[\])]|[0-9]|{_CAPITAL} {_CAPITAL}|[A-Za-z0-9+/_-]{{32}}")
 
 # Fixed values of the gazetteer and context labelers: endings and prefixes of the kind, words that stand before it.
 _ENDINGS = frozenset("com org net edu gov info io de fr es uk eu at ch".split())

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -224,8 +225,11 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int
     an empty table gives an empty result.
     """
     folder = folder or scratch_folder(pages.sparkSession, "warc")
-    if "://" not in folder and ":/" not in folder:
-        folder = f"file://{folder}"
+    # Without a scheme a folder is one of the file system that the session has by default.
+    path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    folder = re.sub("^file:/+", "file:///", files.makeQualified(path).toString())
     return read_archives(write_archives(mark_revisits(pages, least_bytes), folder))
 
 

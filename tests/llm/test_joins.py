@@ -43,7 +43,7 @@ def docs(spark, corpus):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, line int")
 
 
-def plain_lines(corpus, least=5):
+def plain_lines(corpus, least=1):
     seen, gone = [], set()
     for d, t in corpus:
         for k, line in enumerate((t or "").split("\n")):
@@ -57,8 +57,9 @@ def plain_lines(corpus, least=5):
 
 @pytest.mark.parametrize("cell", [line_dedup.CELL_LINES, 3])
 def test_lines_are_those_of_the_loop(docs, corpus, cell):
-    found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs, cell_lines=cell).collect()}
-    assert found == plain_lines(corpus)
+    for least in (1, 5):
+        found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs, least=least, cell_lines=cell).collect()}
+        assert found == plain_lines(corpus, least)
 
 
 def test_lines_in_a_second_pass(docs, corpus, monkeypatch):
