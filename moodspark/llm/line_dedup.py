@@ -6,6 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moodspark.functions.text import let
 from moodspark.llm.common import batches, fresh_names, join_unique, measured, mix, partition_sums, whole_text, word_codes
 from moodspark.plans.session import cut_lineage
 
@@ -425,8 +426,9 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, str,
     lines = F.split(whole_text(), "\n")
     joined = docs.join(measured(taken, F.size(gone) * 4 + 24), docs["doc_id"].cast("long") == F.col(doc), "left")
     # Numbers beyond the text's lines can only come from another row of the same id.
-    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    left = F.array_join(F.transform(numbers, lambda k: lines[k]), "\n")
+    left = let(lines, lambda held: F.array_join(
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(held) - 1), F.col(gone)), lambda k: held[k]), "\n"
+    ))
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
         F.when(F.col(gone).isNull(), whole_text()).otherwise(left).alias("text"),
