@@ -59,11 +59,16 @@ def monthly_stats(diaries: DataFrame) -> DataFrame:
     return _records(mood_parts(diaries))
 
 
+def added_parts(parts: DataFrame) -> DataFrame:
+    """The parts of several batches as those of one."""
+    return parts.groupBy(*MONTH_KEY, "emotion").agg(
+        *[F.sum(c).alias(c) for c in ("n", "score_n", "score_high", "score_low")]
+    )
+
+
 def stats_from_parts(parts: DataFrame) -> DataFrame:
     """Month records from the parts of several batches."""
-    return _records(parts.groupBy(*MONTH_KEY, "emotion").agg(
-        *[F.sum(c).alias(c) for c in ("n", "score_n", "score_high", "score_low")]
-    ))
+    return _records(added_parts(parts))
 
 
 def monthly_stats_wide(diaries: DataFrame, emotions: list[str] = vocab.DIARY_EMOTIONS) -> DataFrame:

@@ -7,7 +7,7 @@ from moodspark import vocab
 from moodspark.functions import numbers
 from moodspark.operators import candidates, dedup, sentiment, stats
 from moodspark.operators.validation import diary_rules, validate
-from moodspark.sources import pages
+from moodspark.sources import pages, part_list
 from moodspark.sources.fixtures import shape, table, view
 from moodspark.streaming import catalogue_arrivals, diary_arrivals
 
@@ -49,7 +49,7 @@ def test_diaries_in_batches(spark, small, tmp_path):
     assert stored.select("batch_id").distinct().count() == 5
     assert rows(stored.select(*expected.columns)) == rows(expected)
     assert rows(diary_arrivals.stored_stats(spark, out)) == rows(stats.monthly_stats(expected))
-    assert spark.read.parquet(f"{out}/rejects").count() == rejected.count()
+    assert diary_arrivals.stored_rejects(spark, out).count() == rejected.count()
 
 
 def test_a_repeated_diary_batch_replaces_itself(spark, small, tmp_path):
@@ -61,6 +61,45 @@ def test_a_repeated_diary_batch_replaces_itself(spark, small, tmp_path):
     assert rows(diary_arrivals.stored_stats(spark, out)) == once
 
 
+def test_merged_diary_batches_hold_the_same_rows(spark, small, tmp_path):
+    out = str(tmp_path / "out")
+    events = requests(table(spark, small, "events"))
+    for batch_id in range(6):
+        before = diary_arrivals.stored_diaries(spark, out)
+        some = events.where(F.col("id") % 6 == batch_id)
+        diary_arrivals.store_batch(some, batch_id, out, classifier, fan=2)
+        # A reader of the list before goes on.
+        assert before.count() == before.select("id").distinct().count()
+    # The newest batch can be repeated; one that is merged already is not stored again.
+    diary_arrivals.store_batch(events.where("id % 6 = 5"), 5, out, classifier, fan=2)
+    diary_arrivals.store_batch(events.where("id % 6 = 0"), 0, out, classifier, fan=2)
+    valid, rejected = validate(events, diary_rules())
+    expected = sentiment.enrich_diaries(valid, classifier)
+    listed = part_list.current(spark, out).parts
+    assert len(listed) <= 3 and max(p.level for p in listed) == 2
+    assert rows(diary_arrivals.stored_diaries(spark, out).select(*expected.columns)) == rows(expected)
+    assert rows(diary_arrivals.stored_stats(spark, out)) == rows(stats.monthly_stats(expected))
+    assert diary_arrivals.stored_rejects(spark, out).count() == rejected.count()
+
+
+def test_a_progress_folder_made_anew_loses_nothing(spark, small, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    events = table(spark, small, "events")
+    total = 0
+    for again, some in enumerate((events.where("event_id < 300"), events.where("event_id >= 300"))):
+        some.coalesce(1).write.parquet(f"{source}{again}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{source}{again}")
+        # The second time as if the folder had been deleted: another one, known under the same path.
+        link = tmp_path / "progress"
+        link.unlink(missing_ok=True)
+        (tmp_path / f"progress{again}").mkdir()
+        link.symlink_to(tmp_path / f"progress{again}")
+        diary_arrivals.start_diary_arrivals(requests(stream), out, progress, classifier).awaitTermination()
+        total += validate(requests(some), diary_rules())[0].count()
+    stored = diary_arrivals.stored_diaries(spark, out)
+    assert stored.count() == total and stored.select("run").distinct().count() == 2
+
+
 @pytest.fixture()
 def arrivals(spark, small):
     raw = table(spark, small, "pages")
