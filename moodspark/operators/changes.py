@@ -1,4 +1,4 @@
-"""Current diaries from a log of creations, edits and deletions."""
+"""Current diaries from a log of creations, edits and deletions, in one go or part after part."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,3 +107,57 @@ def apply_changes(
     )
     rejects = judged.where(F.col("reason").isNotNull()).select("seq", "id", "member_id", "op", "reason")
     return current, rejects
+
+
+def decisive(log: DataFrame, complete: bool = False, floor: int = HOT_FLOOR) -> DataFrame:
+    """The events of a part of the log that can still count, whatever parts come before and after it.
+
+    Parts follow one another by `seq`. What decides on a diary is its first creation, the owner's first deletion after it
+    and the owner's last edit between the two. Within a part that is: the first creation, and for each member the first
+    deletion and the last edit before it, once over the whole part, in case an earlier part has the creation, and once from the
+    part's own creation on. So a diary keeps at most four events a member and one more, however long its log is, and
+    `decisive(a + b)` decides as `decisive(decisive(a) + decisive(b))` does. A part that nothing precedes
+    (`complete`) needs only what follows its own creation, at most three events a diary.
+    """
+    edit, delete = F.col("op") == "UPDATE", F.col("op") == "DELETE"
+    created = log.where((F.col("op") == "CREATE") & ~is_blank("content")).groupBy("id").agg(
+        F.min("seq").alias("create_seq"), F.min_by("member_id", "seq").alias("owner")
+    )
+    later = log.where(delete | (edit & ~is_blank("content") & F.col("date").isNotNull())).select("id", "seq", "member_id", "op")
+    placed = salted_join(later, created, ["id"], "inner" if complete else "left", ["seq"], hot_keys(log, ["id"], floor)).select(
+        "id", "seq", "member_id", "op",
+        F.when((F.col("member_id") == F.col("owner")) & (F.col("seq") > F.col("create_seq")), F.col("create_seq")).alias("_own"),
+    )
+    if complete:
+        placed = placed.where("_own IS NOT NULL")
+    ends = placed.groupBy("id", "member_id").agg(
+        F.min(F.when(delete, F.col("seq"))).alias("_any_end"),
+        F.min(F.when(delete & F.col("_own").isNotNull(), F.col("seq"))).alias("_own_end"),
+    )
+    edits = salted_join(
+        placed.where(edit), ends, ["id", "member_id"], "inner", ["seq"], hot_keys(placed, ["id", "member_id"], floor)
+    )
+    before = lambda end: F.col(end).isNull() | (F.col("seq") < F.col(end))
+    last = edits.groupBy("id", "member_id").agg(
+        F.max(F.when(before("_any_end"), F.col("seq"))).alias("_any_edit"),
+        F.max(F.when(F.col("_own").isNotNull() & before("_own_end"), F.col("seq"))).alias("_own_edit"),
+    )
+    kept = created.select("id", F.col("create_seq").alias("seq"))
+    for rows, columns in ((ends, ("_any_end", "_own_end")), (last, ("_any_edit", "_own_edit"))):
+        kept = kept.unionByName(rows.select("id", F.explode(F.array(*columns)).alias("seq")).where("seq IS NOT NULL"))
+    return log.join(kept.distinct(), ["id", "seq"], "left_semi")
+
+
+def advance(state: DataFrame, part: DataFrame, floor: int = HOT_FLOOR) -> tuple[DataFrame, DataFrame]:
+    """The state after a new part of the log, and the part's rejected events; the log before is not read.
+
+    A state is itself a log, of at most three events a diary: what `decisive` leaves of all parts so far. It starts as a
+    table without rows. `apply_changes` of a state gives the current diaries. Only the diaries that the part names are
+    judged again. Both inputs are read several times, so they should be stored tables.
+    """
+    named = part.select("id").distinct().withColumn("_named", F.lit(True))
+    marked = state.join(named, "id", "left")
+    log = marked.where("_named").drop("_named").unionByName(part)
+    rejects = judge_changes(log, floor).where(F.col("reason").isNotNull()).select("seq", "id", "member_id", "op", "reason")
+    untouched = marked.where("_named IS NULL").drop("_named")
+    return untouched.unionByName(decisive(log, True, floor)), rejects

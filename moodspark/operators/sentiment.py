@@ -65,21 +65,40 @@ _JSON_START = r'^(?:[{\["]|-?[0-9]|(?:true|false|null)$)'
 _END = "\u2403 end of answer \u2403"
 
 
+def _named_numbers(c: Column) -> Column:
+    """The text with NaN, Infinity and -Infinity as texts, where they stand outside of JSON texts.
+
+    With escapes out of the way, every second piece between quotes is outside. Nothing is done to a text without them.
+    """
+    backslash, quote = "\u0001", "\u0002"
+    masked = F.replace(F.replace(c, F.lit("\\\\"), F.lit(backslash)), F.lit('\\"'), F.lit(quote))
+
+    def outside(piece):
+        for word, text in (("-Infinity", "-inf"), ("Infinity", "inf"), ("NaN", "nan")):
+            piece = F.regexp_replace(piece, rf"(?<![\w.+-]){word}(?![\w.+-])", f'"{text}"')
+        return piece
+
+    pieces = F.transform(F.split(masked, '"'), lambda p, i: F.when(i % 2 == 0, outside(p)).otherwise(p))
+    whole = F.array_join(pieces, '"')
+    whole = F.replace(F.replace(whole, F.lit(quote), F.lit('\\"')), F.lit(backslash), F.lit("\\\\"))
+    return F.when(c.rlike("NaN|Infinity") & ~c.rlike(f"[{backslash}{quote}]"), whole).otherwise(c)
+
+
 def _with_value(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the text, stripped of blanks, as one JSON value; NULL for anything else.
+    """Add the text, stripped of blanks, as one JSON value; NULL for anything else. NaN and infinities are read as texts.
 
     The parser ignores what follows a value, so the text is parsed as the first of two elements of a list:
     if the second one is not found where it should be, the text was more than one value. Each step is a
     column of its own, which is computed once.
     """
-    c = F.col(text)
+    c = F.col("_plain")
     listed = F.when(c.rlike(_JSON_START), F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]'))))
     named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     alone = F.try_variant_get("_list", "$[1]", "string") == _END
     alone = alone & F.try_variant_get("_list", "$[2]", "variant").isNull()
     alone = alone & (~c.contains(_END) | named.isNotNull())
     value = F.when(alone, F.try_variant_get("_list", "$[0]", "variant"))
-    return df.withColumn("_list", listed).withColumn(name, value).drop("_list")
+    return df.withColumn("_plain", _named_numbers(F.col(text))).withColumn("_list", listed).withColumn(name, value).drop("_list", "_plain")
 
 
 def with_envelope_text(df: DataFrame, envelope: str, name: str) -> DataFrame:

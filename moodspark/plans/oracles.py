@@ -519,6 +519,10 @@ ORACLES["appended_diaries"] = sql(
 ORACLES["seeded_catalogue"] = ORACLES["csv_catalogue_rows"]
 ORACLES["overwritten_category"] = ORACLES["replace_category"]
 
+# Parts of the change log give what the whole gives.
+ORACLES["diaries_by_parts"] = ORACLES["diaries_from_merged_parts"] = ORACLES["current_diaries"]
+ORACLES["rejects_by_parts"] = ORACLES["change_rejects"]
+
 
 def _shop(category: str, limit: int, *items: str) -> str:
     """Clean rows from the parts themselves; an item is its place, title, what precedes the text, text, image, address."""

@@ -1,6 +1,7 @@
 """Named queries over the driver's tables, one or more per operator."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -499,6 +500,44 @@ def change_rejects(spark, sf):
     return changes.apply_changes(view(spark, sf, "changes"))[1]
 
 
+def _parts_of_log(log, parts):
+    """Stretches of the log of about the same length by number."""
+    end = log.agg(F.max("seq")).first()[0] or 0
+    edges = [end * i // parts for i in range(1, parts)]
+    return [
+        log.where((F.col("seq") > low if low is not None else F.lit(True)) & (F.col("seq") <= high if high is not None else F.lit(True)))
+        for low, high in zip([None, *edges], [*edges, None])
+    ]
+
+
+def _advanced(spark, sf):
+    log = cut_lineage(view(spark, sf, "changes"))
+    state, rejected = log.limit(0), []
+    for part in _parts_of_log(log, 3):
+        state, rejects = changes.advance(state, part)
+        state = cut_lineage(state)
+        rejected.append(rejects)
+    return state, rejected
+
+
+@query
+def diaries_by_parts(spark, sf):
+    """The change log part after part: each updates the stored state of the parts before."""
+    return changes.apply_changes(_advanced(spark, sf)[0])[0]
+
+
+@query
+def rejects_by_parts(spark, sf):
+    return reduce(DataFrame.unionByName, _advanced(spark, sf)[1])
+
+
+@query
+def diaries_from_merged_parts(spark, sf):
+    """Parts of the change log reduced each by itself, then put together."""
+    log = cut_lineage(view(spark, sf, "changes"))
+    return changes.apply_changes(reduce(DataFrame.unionByName, map(changes.decisive, _parts_of_log(log, 3))))[0]
+
+
 # Column helpers
 
 @query

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from moodspark.operators import changes, members
+from moodspark.plans.session import cut_lineage
 
 SCHEMA = (
     "seq bigint, id bigint, member_id bigint, ts timestamp_ntz, op string, content string, emoji string, date date, "
@@ -80,6 +81,55 @@ def test_same_as_the_loop(spark, seed, floor):
     assert applied(spark, log, floor=floor) == loop(log)
 
 
+def random_log(seed, n=150):
+    draw = random.Random(seed)
+    return [
+        event(
+            seq, draw.choice([1, 1, 2, 3, 4, 5, 6, 7, 8]), draw.choice([7, 7, 7, 8]),
+            draw.choice(["CREATE", "UPDATE", "UPDATE", "UPDATE", "DELETE"]) if draw.random() < 0.4 else "UPDATE",
+            draw.choice(["text", "text", "text", " "]), draw.choice(["e", None]), draw.choice([dt.date(2024, 5, 1), None]),
+        )
+        for seq in range(1, n)
+    ]
+
+
+@pytest.mark.parametrize("seed, floor, edges", [(5, 100_000, [40, 41]), (6, 0, [75])])
+def test_parts_one_after_another(spark, seed, floor, edges):
+    log = random_log(seed)
+    state, rejects = spark.createDataFrame([], SCHEMA), {}
+    for low, high in zip([0, *edges], [*edges, 1000]):
+        part = spark.createDataFrame([e for e in log if low <= e[0] < high], SCHEMA)
+        state, rejected = changes.advance(state, part, floor)
+        rejects |= {r["seq"]: r["reason"] for r in rejected.collect()}
+        state = spark.createDataFrame(state.collect(), state.schema).select(*part.columns)
+    assert max(r["count"] for r in state.groupBy("id").count().collect()) <= 3
+    current = {r["id"]: r.asDict() for r in changes.apply_changes(state, floor=floor)[0].collect()}
+    assert (current, rejects) == loop(log)
+
+
+@pytest.mark.parametrize("seed, edges", [(8, [30, 90])])
+def test_parts_put_together_in_any_grouping(spark, seed, edges):
+    log = random_log(seed)
+    parts = [
+        cut_lineage(changes.decisive(spark.createDataFrame([e for e in log if low <= e[0] < high], SCHEMA)))
+        for low, high in zip([0, *edges], [*edges, 1000])
+    ]
+    left = parts[0]
+    for part in parts[1:]:
+        left = cut_lineage(changes.decisive(left.unionByName(part)))
+    right = parts[-1]
+    for part in reversed(parts[:-1]):
+        right = cut_lineage(changes.decisive(part.unionByName(right)))
+    for found in (left, right):
+        assert {r["id"]: r.asDict() for r in changes.apply_changes(found)[0].collect()} == loop(log)[0]
+
+
+def test_a_long_log_of_a_diary_keeps_few_events(spark):
+    log = spark.createDataFrame([event(i, 1, 7, "UPDATE") for i in range(500)], SCHEMA)
+    assert changes.decisive(log).count() == 1 and changes.decisive(log, True).count() == 0
+    assert changes.decisive(log.limit(0)).count() == 0
+
+
 def test_given_date_can_be_kept(spark):
     log = [event(1, 1, 7, "CREATE")]
     assert applied(spark, log)[0][1]["date"] == dt.date(2024, 1, 2)

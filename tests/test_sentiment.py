@@ -53,7 +53,17 @@ CASES = [
     (answer(emotion=J, sentimentScore=0.5) + ',"k":1', (J, 0.5, "")),
     (answer(emotion=J, sentimentScore=0.5) + f',"{sentiment._END}"],[' + answer(emotion=J), FAILED),
     (answer(emotion=J, sentimentScore=0.5, aiComment=sentiment._END), (J, 0.5, sentiment._END)),
-    ('{"emotion": "' + J + '", "sentimentScore": NaN}', FAILED),
+    ('{"emotion": "' + J + '", "sentimentScore": NaN}', (J, 1.0, "")),
+    ('{"emotion": "' + J + '", "sentimentScore":-Infinity, "aiComment": "a"}', (J, 0.0, "a")),
+    ('{"emotion": "' + J + '", "score": Infinity}', (J, 1.0, "")),
+    ('{"emotion": NaN, "sentimentScore": 0.5, "aiComment": -Infinity}', (vocab.NEUTRAL, 0.5, "-inf")),
+    (answer(emotion=J, sentimentScore=float("nan"), aiComment='NaN "NaN" \\" NaN, \\\\'), (J, 1.0, 'NaN "NaN" \\" NaN, \\\\')),
+    ('NaN "it is {"emotion": "' + J + '", "sentimentScore": NaN} NaN', (J, 1.0, "")),
+    ('{"emotion": "' + J + '", "sentimentScore": -NaN}', FAILED),
+    ('{"emotion": "' + J + '", "sentimentScore": +Infinity}', FAILED),
+    ('{"emotion": "' + J + '", "sentimentScore": NaNs}', FAILED),
+    ('{"emotion": "' + J + '", "sentimentScore": nan}', FAILED),
+    ("NaN", NO_ANSWER),
     ("{'emotion': 1}", FAILED),
     (None, NO_ANSWER),
 ]
