@@ -65,8 +65,8 @@ def store_batch(
     _place(diaries, part_folder(folder, "diaries", part.name))
     written = read_parts(spark, folder, "diaries", [part.name], _DIARIES)
     mood_parts(written).write.parquet(part_folder(folder, "mood_parts", part.name))
-    add_part(spark, folder, TABLES, part, keep)
-    merge_parts(spark, folder, TABLES, run, lambda names, target: _merge(spark, folder, names, target), fan, keep)
+    now = add_part(spark, folder, TABLES, part, keep)
+    merge_parts(spark, folder, TABLES, run, now, lambda names, target: _merge(spark, folder, names, target), fan, keep)
 
 
 def start_diary_arrivals(
