@@ -4,6 +4,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from moodspark import vocab
@@ -15,6 +16,7 @@ from moodspark.plans.skew import BROADCAST_BYTES, HOT_FLOOR, hot_keys, keep_firs
 TITLE_CHECKED = {"ACTIVITY"}
 
 _NARROW = ["ord", "emotion", "content_url", "stored_key", "probe_key"]
+_SAVED = ["ord", "emotion", "content_url", "stored_key"]
 _URL, _TITLE = ("content_url",), ("emotion", "probe_key")
 
 # Joins rows with a table of one row per key, whatever share of the rows one key has.
@@ -44,48 +46,95 @@ def _without_known(rows: DataFrame, catalogue: DataFrame, join: Join) -> DataFra
     return join(join(rows, urls, _URL, "left_anti"), titles, _TITLE, "left_anti")
 
 
-def _savable(rows: DataFrame, long_titles: int, join: Join) -> DataFrame:
-    """Undecided rows that nothing undecided before them can exclude.
+def _first_two(rows: DataFrame, keys: list[str], place: str, first: str) -> DataFrame:
+    """The first two undecided rows of each key, with their place and the first one's order.
+
+    Every task keeps two rows per key before the shuffle.
+    """
+    by_key = W.partitionBy(*keys).orderBy("ord")
+    so_far = by_key.rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = rows.withColumn(place, F.row_number().over(by_key)).withColumn(first, F.first("ord").over(so_far))
+    return ranked.where(F.col(place) <= 2)
+
 
-    They come first among their address and no earlier row stores the title they look for. A title within the
-    limit is looked for as it is stored, so there first of its title is enough, and the two lists of
-    first rows meet on the number alone. A longer title never finds its own stored form.
+def _leading(rows: DataFrame, long_titles: int, join: Join) -> DataFrame:
+    """Undecided rows that at most one undecided row before them can exclude, with that row as `blocker`.
+
+    Such a row is first or second of its address and of the rows that store the title it looks for. A title
+    within the limit is looked for as it is stored, so there the places in the two lists are enough, and the
+    lists meet on the order alone. A longer title never finds its own stored form; such rows are taken only where
+    nothing can exclude them.
     """
-    first_url = rows.groupBy("content_url").agg(F.min("n").alias("n")).select("n")
-    titles = rows.groupBy("emotion", "stored_key").agg(F.min("n").alias("n"))
-    leading = rows.join(first_url, "n", "left_semi")
-    usual = leading.where("stored_key = probe_key").join(titles.select("n"), "n", "left_semi")
+    urls = _first_two(rows, ["content_url"], "_u", "_url_first")
+    titles = _first_two(rows.select("ord", "emotion", "stored_key"), ["emotion", "stored_key"], "_t", "_title_first")
+    both = urls.where("stored_key = probe_key").join(titles.select("ord", "_t", "_title_first"), "ord")
+    blocker = (
+        F.when(F.col("_u") == 1, F.when(F.col("_t") == 2, F.col("_title_first")))
+        .when((F.col("_t") == 1) | (F.col("_url_first") == F.col("_title_first")), F.col("_url_first"))
+    )
+    one = (F.col("_u") == 1) | (F.col("_t") == 1) | (F.col("_url_first") == F.col("_title_first"))
+    usual = both.where(one).select(*_SAVED, blocker.alias("blocker"))
     if not long_titles:
         return usual
-    earlier = titles.select("emotion", F.col("stored_key").alias("probe_key"), F.col("n").alias("_before"))
-    long = join(leading.where("stored_key <> probe_key"), earlier, _TITLE, "left")
-    return usual.unionByName(long.where("_before IS NULL OR _before >= n").drop("_before"))
+    earlier = titles.where("_t = 1").select("emotion", F.col("stored_key").alias("probe_key"), F.col("ord").alias("_before"))
+    long = join(urls.where("_u = 1 AND stored_key <> probe_key"), earlier, _TITLE, "left")
+    free = long.where("_before IS NULL OR _before >= ord")
+    return usual.unionByName(free.select(*_SAVED, F.lit(None).cast(rows.schema["ord"].dataType).alias("blocker")))
+
+
+def _follow(rows: DataFrame) -> DataFrame:
+    """One doubling: each row that still points at a blocker takes over what its blocker knows.
+
+    `saved` is the decision of a row without a blocker, and of the others says whether they go the way of their
+    blocker or the other way. A row whose blocker is not among the rows has to wait, and goes.
+    """
+    settled, open_ = rows.where("blocker IS NULL"), rows.where("blocker IS NOT NULL")
+    known = rows.select(F.col("ord").alias("blocker"), F.col("blocker").alias("_next"), F.col("saved").alias("_saved"))
+    moved = open_.join(known, "blocker").select(
+        *_SAVED, F.col("_next").alias("blocker"), (F.col("saved") == F.col("_saved")).alias("saved")
+    )
+    return settled.unionByName(moved)
+
+
+def _savable(rows: DataFrame, long_titles: int, join: Join) -> DataFrame:
+    """Undecided rows that are saved whatever becomes of the rows that stay undecided.
+
+    A row that nothing can exclude is saved. One that a single row can exclude is saved if that one is not,
+    so along a chain of such rows the decisions alternate; pointers are doubled until each reaches the end of its
+    chain, which takes as many steps as the logarithm of the longest.
+    """
+    chains = cut_lineage(_leading(rows, long_titles, join).withColumn("saved", F.col("blocker").isNull()))
+    while not chains.where("blocker IS NOT NULL").isEmpty():
+        chains = cut_lineage(_follow(chains))
+    return chains.where("saved").drop("blocker", "saved")
 
 
 def _not_excluded(rows: DataFrame, saved: DataFrame, join: Join) -> DataFrame:
     """Undecided rows that no saved row excludes by its address, which drops the saved too, or by an earlier title."""
     rest = join(rows, saved.select("content_url"), _URL, "left_anti")
-    titles = saved.groupBy("emotion", F.col("stored_key").alias("probe_key")).agg(F.min("n").alias("_before"))
-    return join(rest, titles, _TITLE, "left").where("_before IS NULL OR _before > n").drop("_before")
+    first = keep_first(saved.select("emotion", "stored_key", "ord"), ["emotion", "stored_key"], [F.col("ord")])
+    titles = first.select("emotion", F.col("stored_key").alias("probe_key"), F.col("ord").alias("_before"))
+    return join(rest, titles, _TITLE, "left").where("_before IS NULL OR _before > ord").drop("_before")
 
 
 def new_by_url_and_title(candidates: DataFrame, catalogue: DataFrame, floor: int = HOT_FLOOR) -> DataFrame:
     """What saving the candidates one by one would keep, testing address and title against saved rows.
 
-    Each round saves every undecided candidate that nothing undecided can exclude, and drops those the
-    saved ones exclude, until all are decided. Rounds work on the few columns that decide, with a number for
-    the place, and write their result to the shared folder. A repeat of mood, address and title never
-    matters and goes first. The candidates are read more than once, so cut their lineage before if they
-    are costly.
+    Each round saves every undecided candidate that nothing undecided can exclude, decides the chains of those
+    that hang on a single other one, and drops what the saved ones exclude, until all are decided. A chain costs the
+    logarithm of its length; only candidates with two or more undecided ones before them wait for a further round.
+    Rounds work on the few columns that decide and write their result to the shared folder. A
+    repeat of mood, address and title never matters and goes first. The candidates are read more than once, so
+    cut their lineage before if they are costly.
     """
     join = _joiner(candidates, candidates.count(), floor)
     single = keep_first(candidates.select(*_NARROW), ["emotion", "content_url", "probe_key"], [F.col("ord")])
     fresh = _without_known(single, catalogue, join)
-    undecided = cut_lineage(fresh.orderBy("ord").withColumn("n", F.monotonically_increasing_id()))
+    undecided = cut_lineage(fresh)
     left = F.count("*").alias("rows"), F.count_if(F.col("stored_key") != F.col("probe_key")).alias("long")
     saved = []
     while (todo := undecided.agg(*left).first())["rows"]:
-        savable = cut_lineage(_savable(undecided, todo["long"], join))
+        savable = _savable(undecided, todo["long"], join)
         saved.append(savable.select("ord"))
         undecided = cut_lineage(_not_excluded(undecided, savable, join))
     if not saved:

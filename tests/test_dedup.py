@@ -1,5 +1,6 @@
 """Address and title checks against a plain loop that saves row by row."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,8 @@ from hypothesis import strategies as st
 
 from moodspark import vocab
 from moodspark.operators import dedup
+from moodspark.plans.session import cut_lineage
+from tests.plans import executed
 
 SCHEMA = (
     "source string, emotion string, "
@@ -59,6 +62,27 @@ def test_long_chain_takes_many_rounds(spark):
     assert places(new) == loop(rows, []) and len(places(new)) == 6
 
 
+@pytest.mark.parametrize("length", [40, 160])
+def test_steps_grow_with_the_logarithm_of_a_chain(spark, monkeypatch, length):
+    cuts = []
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: cuts.append(df) or cut_lineage(df))
+    rows = [candidate(i, f"u{(i + 1) // 2}", f"title {i // 2}") for i in range(length)]
+    new = dedup.new_by_url_and_title(*frames(spark, rows, []))
+    assert places(new) == loop(rows, [])
+    assert len(cuts) <= math.log2(length) + 5
+
+
+def test_second_of_address_and_title_by_one_long_title(spark):
+    rows = [candidate(1, "a", "b" * 201), candidate(2, "a", "b" * 200), candidate(3, "c", "b" * 200)]
+    assert places(dedup.new_by_url_and_title(*frames(spark, rows, []))) == loop(rows, [])
+
+
+def test_only_two_rows_of_a_key_are_shuffled(spark):
+    rows = [candidate(i, "a", f"title {i}") for i in range(50)]
+    lead = dedup._leading(frames(spark, rows, [])[0].select(*dedup._NARROW), 0, None)
+    assert executed(lead).count("WindowGroupLimit") >= 4
+
+
 def test_titles_above_the_limit_block_but_are_not_blocked(spark):
     long, short = "a" * 201, "A" * 200
     rows = [candidate(1, "a", long), candidate(2, "b", long), candidate(3, "c", short), candidate(4, "d", long)]
