@@ -17,14 +17,22 @@ def _rows(diaries: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _last_of_day(rows: DataFrame) -> DataFrame:
-    """Last diary (highest id) per member, diary month and cell day; rows without a mood or time are skipped."""
-    shown = rows.where(
+def _months(rows: DataFrame) -> DataFrame:
+    """Members' months with their days as a map: the last diary (highest id) of each cell day.
+
+    Rows without a mood or time, or of a day outside the month, are shown nowhere and only stand for their
+    month; they go along as rows without a day, so that months and days come from one pass.
+    """
+    shown = (
         F.col("emotion").isNotNull()
         & F.col("created_at").isNotNull()
         & (dates.month_start("day") == F.col("month_start"))
     )
-    return keep_first(shown.drop("created_at"), [*MONTH_KEY, "day"], [F.col("id").desc()])
+    dated = rows.withColumn("day", F.when(shown, F.col("day"))).drop("created_at")
+    last = keep_first(dated, [*MONTH_KEY, "day"], [F.col("id").desc()])
+    entry = F.struct("day", F.struct(F.col("id").alias("diary_id"), "emotion"))
+    found = F.collect_list(F.when(F.col("day").isNotNull(), entry))
+    return last.groupBy(*MONTH_KEY).agg(F.map_from_entries(found).alias("found"))
 
 
 def month_grid(diaries: DataFrame, requests: DataFrame | None = None, key: str = "created_at") -> DataFrame:
@@ -35,17 +43,16 @@ def month_grid(diaries: DataFrame, requests: DataFrame | None = None, key: str =
     it. Padding cells have no day.
     """
     rows = _rows(diaries, key)
-    asked = (rows if requests is None else requests).select(*MONTH_KEY).distinct()
-    if requests is not None:
-        rows = only_wanted(rows, asked, MONTH_KEY)
-    entry = F.struct("day", F.struct(F.col("id").alias("diary_id"), "emotion"))
-    months = _last_of_day(rows).groupBy(*MONTH_KEY).agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+    if requests is None:
+        months = _months(rows)
+    else:
+        asked = requests.select(*MONTH_KEY).distinct()
+        months = asked.join(_months(only_wanted(rows, asked, MONTH_KEY)), MONTH_KEY, "left")
     lead = dates.weekday("month_start")
     length = F.day(F.last_day("month_start"))
     cells = F.ceil((lead + length) / F.lit(7)).cast("int") * 7
     grid = (
-        asked.join(months, MONTH_KEY, "left")
-        .withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
+        months.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
         .withColumn("offset", F.col("cell") - lead)
         .withColumn("day", F.when(F.col("offset").between(0, length - 1), F.date_add("month_start", F.col("offset"))))
         .withColumn("hit", F.when(F.col("day").isNotNull(), F.try_element_at("found", F.col("day"))))

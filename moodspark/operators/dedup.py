@@ -104,9 +104,12 @@ def _savable(rows: DataFrame, long_titles: int, join: Join) -> DataFrame:
     chain, which takes as many steps as the logarithm of the longest.
     """
     chains = cut_lineage(_leading(rows, long_titles, join).withColumn("saved", F.col("blocker").isNull()))
-    while not chains.where("blocker IS NOT NULL").isEmpty():
-        chains = cut_lineage(_follow(chains))
-    return chains.where("saved").drop("blocker", "saved")
+    pointing = chains.where("blocker IS NOT NULL")
+    # Without a pointer at a pointer only rows of their own are saved, and they exclude the rest.
+    if not pointing.join(pointing.select(F.col("ord").alias("blocker")), "blocker", "left_semi").isEmpty():
+        while not chains.where("blocker IS NOT NULL").isEmpty():
+            chains = cut_lineage(_follow(chains))
+    return chains.where("blocker IS NULL AND saved").drop("blocker", "saved")
 
 
 def _not_excluded(rows: DataFrame, saved: DataFrame, join: Join) -> DataFrame:

@@ -26,22 +26,26 @@ def emotion_counts(diaries: DataFrame) -> DataFrame:
 
 
 def _parts(rows: DataFrame) -> DataFrame:
-    high, low = numbers.exact_parts("sentiment_score")
+    sums = numbers.sum_limbs(numbers.exact_limbs("sentiment_score"))
     return rows.groupBy(*MONTH_KEY, "emotion").agg(
         F.count("*").alias("n"),
         F.count("sentiment_score").alias("score_n"),
-        F.sum(high).alias("score_high"),
-        F.sum(low).alias("score_low"),
+        *[c.alias(f"score_{k}") for k, c in sums.items()],
     )
 
 
+def _sums() -> dict[str, Column]:
+    """Sums over the stored sums."""
+    return numbers.sum_limbs({k: F.col(f"score_{k}") for k in ("whole", "mid", "low", "huge")})
+
+
 def mood_parts(diaries: DataFrame) -> DataFrame:
     """Sums per member, month and mood. Parts of several batches add up to the parts of all."""
     return _parts(by_month(diaries))
 
 
-def _mean(high: Column, low: Column, n: Column) -> Column:
-    return numbers.half_up((high + low) / F.nullif(n, F.lit(0)), 2)
+def _mean(sums: dict[str, Column], n: Column) -> Column:
+    return numbers.half_up(numbers.from_limbs(sums) / F.nullif(n, F.lit(0)), 2)
 
 
 def _records(moods: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def _records(moods: DataFrame) -> DataFrame:
     entry = F.when(F.col("emotion").isNotNull(), F.struct("emotion", "n"))
     return moods.groupBy(*MONTH_KEY).agg(
         F.sum("n").alias("total_count"),
-        _mean(F.sum("score_high"), F.sum("score_low"), F.sum("score_n")).alias("average_score"),
+        _mean(_sums(), F.sum("score_n")).alias("average_score"),
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("emotion_counts"),
     )
 
@@ -62,7 +66,7 @@ def monthly_stats(diaries: DataFrame) -> DataFrame:
 def added_parts(parts: DataFrame) -> DataFrame:
     """The parts of several batches as those of one."""
     return parts.groupBy(*MONTH_KEY, "emotion").agg(
-        *[F.sum(c).alias(c) for c in ("n", "score_n", "score_high", "score_low")]
+        *[F.sum(c).alias(c) for c in ("n", "score_n")], *[c.alias(f"score_{k}") for k, c in _sums().items()]
     )
 
 
@@ -74,10 +78,10 @@ def stats_from_parts(parts: DataFrame) -> DataFrame:
 def monthly_stats_wide(diaries: DataFrame, emotions: list[str] = vocab.DIARY_EMOTIONS) -> DataFrame:
     """Month records with one count column per given mood, n_0 and on: one hash aggregation, one shuffle."""
     counts = [F.count_if(F.col("emotion") == e).alias(f"n_{i}") for i, e in enumerate(emotions)]
-    high, low = numbers.exact_parts("sentiment_score")
+    sums = numbers.sum_limbs(numbers.exact_limbs("sentiment_score"))
     return by_month(diaries).groupBy(*MONTH_KEY).agg(
         F.count("*").alias("total_count"),
-        _mean(F.sum(high), F.sum(low), F.count("sentiment_score")).alias("average_score"),
+        _mean(sums, F.count("sentiment_score")).alias("average_score"),
         *counts,
     )
 

@@ -22,7 +22,10 @@ _DIARIES = (
     "id long, member_id long, content string, emoji string, emotion string, sentiment_score double, ai_comment string, "
     "date date, status string, created_at timestamp_ntz, updated_at timestamp_ntz, run string, batch_id long, month date"
 )
-_MOODS = "member_id long, month_start date, emotion string, n long, score_n long, score_high double, score_low double"
+_MOODS = (
+    "member_id long, month_start date, emotion string, n long, score_n long, score_whole decimal(38,0), "
+    "score_mid decimal(38,0), score_low decimal(38,0), score_huge double"
+)
 
 
 def _place(diaries: DataFrame, target: str) -> None:

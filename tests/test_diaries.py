@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from moodspark import schemas, vocab
 from moodspark.functions import numbers
 from moodspark.operators import calendar, catalogue, diaries, stats
+from tests.plans import executed
 
 
 def diary(id, member=1, emotion=None, score=None, date="2024-05-03", created=None, status="ACTIVE"):
@@ -60,15 +61,44 @@ def test_parts_add_up(spark):
     assert stats.stats_from_parts(parts).first() == together
 
 
+def total(rows):
+    limbs = numbers.sum_limbs(numbers.exact_limbs("sentiment_score"))
+    kept = rows.agg(*[c.alias(k) for k, c in limbs.items()])
+    return kept.select(numbers.from_limbs({k: F.col(k) for k in limbs}).alias("s")).first()["s"]
+
+
+@pytest.mark.parametrize("scores", [
+    [2.0 ** 52 + 0.5, 2.0 ** -60, -(2.0 ** 52), 1e-20, -0.1] * 30,
+    [0.1] * 1000 + [-0.1] * 999,
+    [2.0 ** 40, -1e-9, 3.3, -(2.0 ** 40)] * 50,
+    [-1e-20, 1e-20, -0.3, 0.3],
+])
+def test_adverse_scores_add_up_exactly_in_any_order_and_grouping(spark, scores):
+    expected = math.fsum(scores)
+    for seed in range(3):
+        random.Random(seed).shuffle(scores)
+        rows = frame(spark, *[diary(i, score=s) for i, s in enumerate(scores)]).repartition(seed + 1)
+        assert total(rows) == pytest.approx(expected, rel=2 ** -52, abs=2.0 ** -90)
+        half = len(scores) // 2
+        parts = stats.mood_parts(rows.where(f"id < {half}")).unionByName(stats.mood_parts(rows.where(f"id >= {half}")))
+        sums = stats.added_parts(parts).select("score_whole", "score_mid", "score_low").first()
+        assert sums == stats.mood_parts(rows).select("score_whole", "score_mid", "score_low").first()
+
+
+def test_scores_beyond_the_limbs(spark):
+    assert total(frame(spark, diary(1, score=1e300), diary(2, score=0.5))) == 1e300
+    assert math.isnan(total(frame(spark, diary(1, score=math.nan), diary(2, score=0.5))))
+    assert total(frame(spark, diary(1, score=math.inf))) == math.inf
+    assert total(frame(spark, diary(1, score=None))) is None
+
+
 def test_mean_does_not_depend_on_the_order_of_the_rows(spark):
     scores = [0.7, 0.71, 0.9, 0.83, 0.1, 0.2, 0.3] * 40 + [1e-9, 0.999999999]
     means = set()
     for seed in range(5):
         random.Random(seed).shuffle(scores)
         rows = frame(spark, *[diary(i, score=s) for i, s in enumerate(scores)]).repartition(seed + 1)
-        high, low = numbers.exact_parts("sentiment_score")
-        exact = rows.agg((F.sum(high) + F.sum(low)).alias("s")).first()["s"]
-        assert exact == math.fsum(scores)
+        assert total(rows) == math.fsum(scores)
         means.add(stats.monthly_stats(rows).first()["average_score"])
     assert len(means) == 1
 
@@ -109,6 +139,7 @@ def test_grid_is_whole_weeks_keyed_by_creation(spark):
     found = {c["day"]: c["diary_id"] for c in cells if c["diary_id"] is not None}
     assert found == {dt.date(2024, 5, 10): 2, dt.date(2024, 5, 21): 3}
     by_date = calendar.month_grid(rows, key="date").collect()
+    assert "Join" not in executed(calendar.month_grid(rows))
     assert {c["day"].day: c["diary_id"] for c in by_date if c["diary_id"]} == {10: 2, 20: 3, 12: 5}
 
 
