@@ -1,11 +1,15 @@
 """Quality, toxicity and personal data: edge cases, held-out accuracy, plain patterns."""
 
 import hashlib
+import math
+import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from moodspark.llm import common, line_dedup, pii, quality, toxicity
 from moodspark.llm.common import isotonic
@@ -72,6 +76,64 @@ def test_lexicon_finds_disguises_and_spares_exceptions():
     assert toxicity.raw_score(3, 10) > toxicity.raw_score(3, 1000)
 
 
+def test_time_grows_with_the_matches():
+    matcher = toxicity.Lexicon({toxicity.fold("moron"): 3.0, toxicity.fold("trash"): 2.0}, ("trash can",)).matcher()
+    folded = toxicity.fold("a trash can and a moron, " * 60_000)
+    start = time.monotonic()
+    assert toxicity.toxic_weight(matcher, folded) == 180_000.0
+    assert time.monotonic() - start < 10
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    draw = random.Random(4)
+    words = ["ab", "abc", "bca", "cab", "abcab", "b", "can"]
+    weights = {f" {w} ": float(k + 1) for k, w in enumerate(words[:3])} | {" abca": 9.0, " ca": 0.5}
+    phrases = ("abc can", "b cab b")
+    matcher = toxicity.Lexicon(weights, phrases).matcher()
+    for _ in range(300):
+        text = toxicity.fold(" ".join(draw.choice(words) for _ in range(draw.randrange(12))))
+        # The blank that ends a phrase begins the next word, which is outside.
+        spared = [(m, m + len(f) - 1) for f in map(toxicity.fold, phrases) for m in range(len(text)) if text.startswith(f, m)]
+        plain = sum(
+            max((w for p, w in weights.items() if text.startswith(p, at)), default=0.0)
+            for at in range(len(text)) if not any(a <= at < b for a, b in spared)
+        )
+        assert toxicity.toxic_weight(matcher, text) == pytest.approx(plain)
+
+
+def test_lexicon_as_counted_plainly(spark):
+    draw = random.Random(6)
+    clean = [" ".join(draw.choice(["plain", "words", "here", "zubbiq"] if draw.random() < 0.1 else ["plain", "words"])
+                      for _ in range(8)) + f" {k}x" for k in range(900)]
+    toxic = [t + draw.choice([" grobnak", " zubbiq", " wexxer grobnak"]) for t in clean[:300]]
+    rows = [(k, t, int(k >= len(clean))) for k, t in enumerate(clean + toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    found = toxicity.learn_lexicon(docs.drop("label"), docs.select("doc_id", "label")).weights
+    for pattern, weight in found.items():
+        bad, good = (sum(pattern in toxicity.fold(t) for t in texts) for texts in (toxic, clean))
+        assert bad >= 5 and weight == pytest.approx(math.log2((bad / len(toxic)) / ((good + 0.5) / (len(clean) + 1))))
+        assert weight >= 3
+    assert {" grob", " wexx"} <= set(found) and " plain " not in found
+
+
+def test_a_rare_toxic_word_is_learnt_however_many_labels_there_are(spark):
+    rows = [(k, f"some plain words here w{k % 50} " + ("grobnak" if k % 3 == 0 else "")) for k in range(6000)]
+    rows += [(6000 + k, f"some plain words here zubbiq w{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.concat_ws(" ", "text", "doc_id"))
+    labels = docs.select("doc_id", F.expr("CAST(text LIKE '%grobnak%' OR text LIKE '%zubbiq%' AS INT) AS label"))
+    found = toxicity.learn_lexicon(docs, labels)
+    assert found.weights[" zubb"] > 3 and " plai" not in found.weights
+    sample = toxicity.learn_lexicon(docs, labels, most_labels=2000)
+    assert " grob" in sample.weights and " plai" not in sample.weights
+
+
+def test_accidents_are_not_learnt():
+    # A thousand patterns by chance, one far from it: the one alone is taken. Nothing to test, nothing taken.
+    steps = {8 * 2: 900, 8 * 5: 100, 8 * 40: 1}
+    assert toxicity._least_unlikely(steps, 0.02) == 8 * 40
+    assert toxicity._least_unlikely({}, 0.02) > toxicity._CHANCES
+
+
 def test_toxicity_learns(spark):
     rows = [(k, ("some plain words here " * 3) + ("grobnikei " if k % 4 == 0 else "") + f"w{k}", k % 4 == 0) for k in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
