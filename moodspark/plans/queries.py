@@ -659,13 +659,13 @@ def stream_catalogue(spark, sf):
     known = dedup.new_by_url(_earlier_harvest(spark, sf), view(spark, sf, "catalogue"))
     catalogue_arrivals.start_catalogue(candidates.to_catalogue(known), f"{here}/out")
     raw = table(spark, sf, "pages")
+    # What arrives at once is one batch, in as many files as the table is read by.
     for again in (raw, raw.where("page_id % 3 = 0"), raw.where("page_id % 3 = 1")):
-        again.coalesce(1).write.mode("append").parquet(f"{here}/in")
-    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{here}/in")
-    run = catalogue_arrivals.start_catalogue_arrivals(
-        shape(arriving, "result_pages"), f"{here}/out", f"{here}/progress", pages.LINK_PAGE
-    )
-    run.awaitTermination()
+        again.write.mode("append").parquet(f"{here}/in")
+        arriving = shape(spark.readStream.schema(raw.schema).parquet(f"{here}/in"), "result_pages")
+        catalogue_arrivals.start_catalogue_arrivals(
+            arriving, f"{here}/out", f"{here}/progress", pages.LINK_PAGE
+        ).awaitTermination()
     stored = catalogue_arrivals.stored_catalogue(spark, f"{here}/out")
     return stored.where("batch_id >= 0").select("emotion", "category", "title", "content_url")
 

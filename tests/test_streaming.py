@@ -7,6 +7,7 @@ from moodspark import vocab
 from moodspark.functions import numbers
 from moodspark.operators import candidates, dedup, sentiment, stats
 from moodspark.operators.validation import diary_rules, validate
+from moodspark.plans import queries
 from moodspark.sources import pages, part_list
 from moodspark.sources.fixtures import shape, table, view
 from moodspark.streaming import catalogue_arrivals, diary_arrivals
@@ -136,3 +137,18 @@ def test_a_repeated_catalogue_batch_replaces_itself(spark, small, tmp_path, arri
     once = rows(catalogue_arrivals.stored_catalogue(spark, out))
     catalogue_arrivals.store_batch(shape(arrivals[1], "result_pages"), 1, out, pages.LINK_PAGE)
     assert rows(catalogue_arrivals.stored_catalogue(spark, out)) == once
+
+
+def test_arrivals_are_written_by_as_many_tasks_as_read_the_pages(spark, small, tmp_path, monkeypatch):
+    sf = tmp_path / "sf"
+    table(spark, small, "pages").repartition(3, "page_id").write.parquet(str(sf / "pages.parquet"))
+    table(spark, small, "part").write.parquet(str(sf / "part.parquet"))
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark, name: str(tmp_path / "here"))
+    found = queries.QUERIES["stream_catalogue"](spark, str(sf))
+    arrived = spark.read.parquet(str(tmp_path / "here" / "in")).select(F.input_file_name().alias("file")).distinct()
+    read_by = table(spark, str(sf), "pages").rdd.getNumPartitions()
+    assert read_by > 1 and arrived.count() == 3 * read_by
+    # Each arrival is one batch, and the last two bring nothing new.
+    stored = catalogue_arrivals.stored_catalogue(spark, str(tmp_path / "here" / "out"))
+    assert (tmp_path / "here" / "progress" / "commits" / "2").exists() and not (tmp_path / "here" / "progress" / "commits" / "3").exists()
+    assert rows(found, *COLUMNS) == rows(stored.where("batch_id = 0"), *COLUMNS) and not found.isEmpty()
