@@ -73,6 +73,16 @@ def _give_back() -> None:
         trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task's function that, when it has ended and let go of what it held, gives back free memory."""
+
+    def whole(rows):
+        yield from run(rows)
+        _give_back()
+
+    return whole
+
+
 def batches(rows: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that none holds much more than `most` bytes unless a single row does."""
     for batch in rows:
@@ -111,10 +121,10 @@ def partition_sums(
     shape = "slot int, sums binary"
     tasks = df.rdd.getNumPartitions()
     into = max(4, -(-tasks // fan))
-    sums = df.mapInArrow(add_up(into, False), shape)
+    sums = df.mapInArrow(giving_back(add_up(into, False)), shape)
     while tasks > 4:
         tasks, into = into, max(4, -(-into // fan))
-        sums = sums.repartition(tasks, "slot").mapInArrow(add_up(into, True), shape)
+        sums = sums.repartition(tasks, "slot").mapInArrow(giving_back(add_up(into, True)), shape)
     total = np.zeros(width)
     for found in sums.collect():
         total += np.frombuffer(found["sums"], kind)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, letter_words, shingle_hashes, whole_text, word_hashes
+from moodspark.llm.common import batches, giving_back, letter_words, shingle_hashes, whole_text, word_hashes
 from moodspark.plans.session import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -272,7 +272,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
                 )
 
-        part = texts.mapInArrow(run, shape)
+        part = texts.mapInArrow(giving_back(run), shape)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], shape) if out is None else out
 
@@ -289,5 +289,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                 bad[[f[0] for f in _matches(index, batch["text"], threshold, least)]] = True
                 yield batch.filter(pa.array(~bad))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(giving_back(run), docs.schema)
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import let
-from moodspark.llm.common import batches, fresh_names, join_unique, measured, mix, partition_sums, whole_text, word_codes
+from moodspark.llm.common import batches, fresh_names, giving_back, join_unique, measured, mix, partition_sums, whole_text, word_codes
 from moodspark.plans.session import cut_lineage
 
 THRESHOLD = 0.8
@@ -98,40 +98,45 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
     kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
                       ("bits", pa.int64()), ("bits2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
+    def sets_of(batch):
+        lines, owner, number = _lines(batch["text"])
+        words, often, start = _sets(lines, table.value)
+        n = np.diff(start)
+        keep = np.flatnonzero(n >= least)
+        if not len(keep):
+            return None
+        sums = [np.r_[np.uint64(0), np.cumsum(mix(words, s), dtype=np.uint64)] for s in (5, 6)]
+        with np.errstate(over="ignore"):
+            k1, k2 = ((s[start[1:]] - s[start[:-1]])[keep] for s in sums)
+        drawn = mix(words, 7)
+        flags = np.uint64(1) << (drawn & np.uint64(63))
+        high = (drawn & np.uint64(64)) > 0
+        halves = [np.where(high == h, flags, np.uint64(0)) for h in (False, True)]
+        low, top = (_parity(half, start)[keep] for half in halves)
+        long = n[keep] > LONG
+        bits, bits2 = np.where(long, low, low ^ top), np.where(long, top, np.uint64(0))
+        # A line so short that one word more is too much matches equal sets only, which need no prefix.
+        p = np.where(n[keep] >= threshold * (n[keep] + 1) - 1e-9, prefix_length(n[keep], threshold), 0)
+        first = np.r_[0, np.cumsum(p)]
+        at = np.arange(first[-1]) - np.repeat(first[:-1], p) + np.repeat(start[:-1][keep], p)
+        prefix, common = words[at], often[at] > cell_lines
+        lengths = p
+        if common.any():
+            prefix, lengths = _cells(prefix, np.ceil(often[at] / cell_lines).astype(np.int64), np.repeat(k1, p), p)
+        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)),
+             pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bits.view(np.int64)),
+             pa.array(bits2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))], schema=kind,
+        )
+
     def run(rows):
+        # What a batch needs is let go of before the next one is looked at.
         for batch in batches(rows, BATCH_BYTES):
-            lines, owner, number = _lines(batch["text"])
-            words, often, start = _sets(lines, table.value)
-            n = np.diff(start)
-            keep = np.flatnonzero(n >= least)
-            if not len(keep):
-                continue
-            sums = [np.r_[np.uint64(0), np.cumsum(mix(words, s), dtype=np.uint64)] for s in (5, 6)]
-            with np.errstate(over="ignore"):
-                k1, k2 = ((s[start[1:]] - s[start[:-1]])[keep] for s in sums)
-            drawn = mix(words, 7)
-            flags = np.uint64(1) << (drawn & np.uint64(63))
-            high = (drawn & np.uint64(64)) > 0
-            halves = [np.where(high == h, flags, np.uint64(0)) for h in (False, True)]
-            low, top = (_parity(half, start)[keep] for half in halves)
-            long = n[keep] > LONG
-            bits, bits2 = np.where(long, low, low ^ top), np.where(long, top, np.uint64(0))
-            # A line so short that one word more is too much matches equal sets only, which need no prefix.
-            p = np.where(n[keep] >= threshold * (n[keep] + 1) - 1e-9, prefix_length(n[keep], threshold), 0)
-            first = np.r_[0, np.cumsum(p)]
-            at = np.arange(first[-1]) - np.repeat(first[:-1], p) + np.repeat(start[:-1][keep], p)
-            prefix, common = words[at], often[at] > cell_lines
-            lengths = p
-            if common.any():
-                prefix, lengths = _cells(prefix, np.ceil(often[at] / cell_lines).astype(np.int64), np.repeat(k1, p), p)
-            offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)),
-                 pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bits.view(np.int64)),
-                 pa.array(bits2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))], schema=kind,
-            )
+            if (made := sets_of(batch)) is not None:
+                yield made
 
-    return _texts(docs).mapInArrow(run, "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, prefix array<long>")
+    return _texts(docs).mapInArrow(giving_back(run), "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, prefix array<long>")
 
 
 def _parity(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -335,8 +340,8 @@ def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, w
                 ["block", "entries"],
             )
 
-    packed = lines.select("doc_id", "line", "n", "bits", "bits2", "prefix", "probe").mapInArrow(spread, "block int, entries binary")
-    found = packed.repartition(parts, "block").mapInArrow(_candidates(threshold, reports), _PAIR)
+    packed = lines.select("doc_id", "line", "n", "bits", "bits2", "prefix", "probe").mapInArrow(giving_back(spread), "block int, entries binary")
+    found = packed.repartition(parts, "block").mapInArrow(giving_back(_candidates(threshold, reports)), _PAIR)
     return cut_lineage(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
 
 
@@ -368,7 +373,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
     texts = _texts(docs).join(measured(wanted, F.size("lines") * 4 + 24), "doc_id")
     # Rows that share an id may give a line twice; then either may match.
-    words = cut_lineage(texts.mapInArrow(run, "doc_id long, line int, words array<long>"))
+    words = cut_lineage(texts.mapInArrow(giving_back(run), "doc_id long, line int, words array<long>"))
     best = pairs.groupBy("doc_id", "line").agg(F.min(F.struct("apart", "doc_id2", "line2")).alias("best"))
     matched = cut_lineage(_similar(best.select("doc_id", "line", "best.doc_id2", "best.line2"), words, threshold))
     rest = pairs.select("doc_id", "line", "doc_id2", "line2").join(measured(matched, 16), ["doc_id", "line"], "left_anti")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, fresh_names, join_unique, measured, mix, shingle_sets, sorted_groups, whole_text
+from moodspark.llm.common import batches, fresh_names, giving_back, join_unique, measured, mix, shingle_sets, sorted_groups, whole_text
 from moodspark.llm.components import components
 from moodspark.plans.session import cut_lineage
 
@@ -107,7 +107,7 @@ def document_sets(docs: DataFrame, threshold: float, repeats: int, width: int =
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id IS NOT NULL")
-    return texts.mapInArrow(run, "doc_id long, key binary, n int, sketch binary, paths array<long>")
+    return texts.mapInArrow(giving_back(run), "doc_id long, key binary, n int, sketch binary, paths array<long>")
 
 
 def _deeper(docs: DataFrame, frontier: DataFrame, level: int, threshold: float, width: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _deeper(docs: DataFrame, frontier: DataFrame, level: int, threshold: float,
                 )
 
     joined = texts.join(measured(wanted, F.size("paths") * 8 + 40), "doc_id")
-    return joined.mapInArrow(run, "key binary, path long")
+    return joined.mapInArrow(giving_back(run), "key binary, path long")
 
 
 def buckets(docs: DataFrame, reps: DataFrame, threshold: float, width: int, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
@@ -217,7 +217,7 @@ def candidate_classes(reps: DataFrame, paths: DataFrame, bucket_rows: int = BUCK
     def between(rows):
         yield from _linked(rows, 1.1, 0.15, False)
 
-    found = cut_lineage(rows.select("bucket", "path", "key", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(within, shape))
+    found = cut_lineage(rows.select("bucket", "path", "key", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(within), shape))
     edges = found.where("a IS NOT NULL").select("a", "b")
     large = paths.where(F.col("size") > bucket_rows).select("path").distinct()
     if not large.isEmpty():
@@ -225,7 +225,7 @@ def candidate_classes(reps: DataFrame, paths: DataFrame, bucket_rows: int = BUCK
         leaders = found.where("leader IS NOT NULL").join(large, "path", "left_semi").select(
             F.col("path").alias("bucket"), "path", F.col("leader").alias("key"), "sketch"
         )
-        more = leaders.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(between, shape)
+        more = leaders.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(between), shape)
         edges = edges.unionByName(more.select("a", "b"))
     return components(edges)
 
@@ -270,7 +270,7 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, width: int, cel
             blobs = pa.array([values[start[k]:start[k + 1]].tobytes() if right[k] else b"" for k in range(len(keys))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["key"], batch["root"], batch["parts"], blobs], ["key", "root", "parts", "hashes"]).filter(pa.array(right))
 
-    found = texts.join(measured(wanted, 80), "doc_id").mapInArrow(sets, "key binary, root binary, parts long, hashes binary")
+    found = texts.join(measured(wanted, 80), "doc_id").mapInArrow(giving_back(sets), "key binary, root binary, parts long, hashes binary")
     # A document whose id is repeated may give a set twice, which a cell brings together.
     own = F.pmod(F.xxhash64("key"), F.col("parts"))
     dealt = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -302,7 +302,7 @@ def links(docs: DataFrame, members: DataFrame, threshold: float, width: int, cel
                 [pa.array(keys, pa.binary()), pa.array(linked.sum(1).astype(np.int64)), pa.array(_spanning(linked, keys), pa.binary())], schema=kind
             )
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(count, "key binary, n_links long, linked binary")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(giving_back(count), "key binary, n_links long, linked binary")
 
 
 def _spanning(linked: np.ndarray, keys: list[bytes]) -> list[bytes]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, whole_text
+from moodspark.llm.common import batches, giving_back, whole_text
 from moodspark.plans.session import cut_lineage
 
 LIMIT = 1024
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, limit: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        giving_back(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

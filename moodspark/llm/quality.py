@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import BINS, batches, isotonic, one_label, partition_sums, split_by_crc, whole_text
+from moodspark.llm.common import BINS, batches, giving_back, isotonic, one_label, partition_sums, split_by_crc, whole_text
 from moodspark.plans.session import cut_lineage
 
 STATISTICS = [
@@ -60,7 +60,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(
-        run, "doc_id long, stats array<double>"
+        giving_back(run), "doc_id long, stats array<double>"
     )
 
 
@@ -188,7 +188,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
             stats = np.array([text_statistics(t or "") for t in batch["text"].to_pylist()]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def _few(known: DataFrame, limit: int = 1_000_000) -> bool:

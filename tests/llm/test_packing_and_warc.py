@@ -7,9 +7,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from moodspark.llm import packing, warc
+from moodspark.llm import common, packing, warc
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 ROWS = [(1, "hello world"), (1, "hello world"), (2, ""), (3, None), (None, "no id"), (4, "lorem ipsum dolor " * 1500), (5, "a" * 50_000), (6, "naïve façade – 你好 <|endoftext|>")]
@@ -104,3 +105,27 @@ def test_reader_takes_members_in_any_chunks():
 def test_broken_archives_are_refused(broken):
     with pytest.raises(warc.WarcError):
         warc.records_of(broken)
+
+
+def test_the_tokenizer_is_gone_before_memory_is_given_back(spark, monkeypatch):
+    seen = []
+
+    class Encoder:
+        def __call__(self, texts):
+            return [np.array([7], np.uint32) for _ in texts]
+
+        def __del__(self):
+            seen.append("gone")
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, shape):
+            return run
+
+    monkeypatch.setattr(packing, "tokenizer", lambda *paths: Encoder())
+    monkeypatch.setattr(common, "_give_back", lambda: seen.append("given back"))
+    made = list(packing.pieces(Rows(), "none", None)(iter([pa.record_batch({"doc_id": [1, 2], "text": ["a", "b"]})])))
+    assert sum(batch.num_rows for batch in made) == 2
+    assert seen.count("gone") == 1 and seen[-1] == "given back"
