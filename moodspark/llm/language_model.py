@@ -82,11 +82,17 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (mix(keys, 41) % np.uint64(segments)).astype(np.int64)
 
 
-def _probe(keys: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
-    """Place of the k-th bit of a key at a level in a segment of `size` bits."""
+def _walks(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first number and the step of each key at a level: its k-th bit is at the first number and k steps, modulo
+    the segment's size."""
     with np.errstate(over="ignore"):
         a = mix(keys + np.uint64(level * 0xC2B2AE3D27D4EB4F % 2**64), 42)
-        return ((a + np.uint64(k) * (mix(a, 43) | np.uint64(1))) % np.asarray(size).astype(np.uint64)).astype(np.int64)
+    return a, mix(a, 43) | np.uint64(1)
+
+
+def _places(walk: np.ndarray, size: int) -> np.ndarray:
+    """The remainders; division by one number and multiplication are several times as fast as taking them."""
+    return (walk - walk // np.uint64(size) * np.uint64(size)).view(np.int64)
 
 
 def _probes(level: int) -> range:
@@ -99,12 +105,30 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size = max(64, int(np.ceil((len(keys) * (FIRST_PROBES - MORE_PROBES) + levels.sum() * MORE_PROBES) / np.log(2) / 8)) * 8)
     bits = np.zeros(size, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= level]
-        for k in _probes(level):
-            bits[_probe(some, level, k, size)] = True
+        at, step = _walks(keys[levels >= level], level)
+        for _ in _probes(level):
+            bits[_places(at, size)] = True
+            at += step
     return np.packbits(bits, bitorder="little")
 
 
+def read_segment(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The level of each key's count in the segment that it belongs to."""
+    found = np.zeros(len(keys), np.int64)
+    live, level = np.arange(len(keys)), 0
+    while len(live):
+        level += 1
+        walk, step = _walks(keys[live], level)
+        for _ in _probes(level):
+            at = _places(walk, len(bits) * 8)
+            held = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+            if not held.all():
+                live, walk, step = live[held], walk[held], step[held]
+            walk += step
+        found[live] = level
+    return found
+
+
 @dataclass(frozen=True)
 class CountFilter:
     """The segments from `first` on of a log-frequency Bloom filter; `edges` says where each begins in `data`."""
@@ -118,17 +142,13 @@ class CountFilter:
         """The level of each key's count: never too low, too high for few. 0 for keys of segments that are not here."""
         segment = segment_of(keys, self.segments) - self.first
         live = np.flatnonzero((segment >= 0) & (segment < len(self.edges) - 1) & (keys != 0))
-        base = self.edges[segment[live]]
-        size = (self.edges[segment[live] + 1] - base) * 8
+        # Segment after segment, so that probes near in time are near in memory.
+        live = live[np.argsort(segment[live].astype(np.min_scalar_type(len(self.edges))), kind="stable")]
+        ends = np.searchsorted(segment[live], np.arange(len(self.edges)))
         found = np.zeros(len(keys), np.int64)
-        some, level = keys[live], 0
-        while len(live):
-            level += 1
-            for k in _probes(level):
-                at = _probe(some, level, k, size)
-                held = (self.data[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 != 0
-                live, base, size, some = live[held], base[held], size[held], some[held]
-            found[live] = level
+        for s in np.flatnonzero(np.diff(ends)).tolist():
+            here = live[ends[s]:ends[s + 1]]
+            found[here] = read_segment(self.data[self.edges[s]:self.edges[s + 1]], keys[here])
         return found
 
 

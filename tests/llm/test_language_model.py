@@ -150,3 +150,21 @@ def test_edges(spark):
     assert lm.score_language(spark.createDataFrame([], shape)).collect() == []
     only = lm.score_language(spark.createDataFrame([(out, "nothing learnt")], shape)).collect()
     assert [tuple(r) for r in only] == [(out, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_a_key_is_hashed_once_a_level_not_once_a_probe(monkeypatch):
+    keys = lm.mix(np.arange(1, 20_001))
+    counts = np.where(np.arange(len(keys)) % 10 == 0, 40, 1)
+    segment = lm.segment_of(keys, 3)
+    blobs = [lm.fill_segment(keys[segment == s], counts[segment == s]) for s in range(3)]
+    held = lm.CountFilter(np.concatenate(blobs), np.r_[0, np.cumsum([len(b) for b in blobs])], 0, 3)
+    mixed = []
+    plain = lm.mix
+    monkeypatch.setattr(lm, "mix", lambda x, seed=0: (mixed.append(len(x)), plain(x, seed))[1])
+    found = held.levels(keys)
+    levels = lm.level_of(counts)
+    assert (found >= levels).all() and (found == levels).mean() > 0.9
+    # The segment, and two numbers a level: that of the count and the one above, which is missing.
+    assert sum(mixed) < 1.1 * (len(keys) + 2 * (levels + 1).sum())
+    missing = held.levels(plain(np.arange(100_001, 120_001)))
+    assert (missing == 0).mean() > 0.98
