@@ -235,6 +235,80 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, start, known
 
 
+# White space of several bytes, as Arrow and Python have it: the first and last character of each stretch.
+WIDE_BLANKS = [(0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F),
+               (0x3000, 0x3000)]
+_FIRST_BYTES = sorted({chr(c).encode()[0] for c, _ in WIDE_BLANKS})
+# By length, the bits of eight bytes that a string of so many bytes has.
+_HELD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """Which of the UTF-8 bytes belong to white space; at least two more bytes than the text has are expected."""
+    # Smaller numbers wrap around: 9 to 13 and 28 to 32.
+    blank = (data - np.uint8(9) < 5) | (data - np.uint8(28) < 5)
+    wide = np.zeros(len(data) - 2, bool)
+    for byte in _FIRST_BYTES:
+        wide |= data[:-2] == byte
+    wide = np.flatnonzero(wide)
+    if len(wide):
+        a, b, c = (data[wide + k].astype(np.int32) for k in range(3))
+        two = a < 0xE0
+        point = np.where(two, (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63)
+        found = np.zeros(len(wide), bool)
+        for low, high in WIDE_BLANKS:
+            found |= (point >= low) & (point <= high)
+        for at in (wide[found], wide[found] + 1, wide[found & ~two] + 2):
+            blank[at] = True
+    return blank
+
+
+def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-case words of the texts, one after the other, and each text's first place.
+
+    The words are those of `word_codes`, the hashes others: eight bytes of all words at a time are read as one number.
+    """
+    import xxhash
+
+    texts = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    size = int(ends[-1] - ends[0])
+    data = np.zeros(size + 8, np.uint8)
+    if size:
+        data[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_blanks(data)
+    inside[size:] = False
+    # A word begins after white space and where a text begins, and ends before the next of either.
+    edge = np.zeros(size + 1, bool)
+    edge[ends] = True
+    edge = edge[:size]
+    first = inside[:size].copy()
+    first[1:] &= edge[1:] | ~inside[:size - 1] if size else False
+    last = inside[:size].copy()
+    last[:-1] &= edge[1:] | ~inside[1:size] if size else False
+    first = np.flatnonzero(first)
+    lengths = np.flatnonzero(last) + 1 - first
+    start = np.searchsorted(first, ends)
+    # The eight bytes from each byte on, as a number.
+    eights = np.ndarray(size + 1, "<u8", data.data, strides=(1,))
+    with np.errstate(over="ignore"):
+        hashes = (eights[first] & _HELD[np.minimum(lengths, 8)]) + lengths.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        hashes = mix(hashes, 31)
+        more = np.flatnonzero((lengths > 8) & (lengths <= LONG_WORD))
+        k = 8
+        while len(more):
+            part = eights[first[more] + k] & _HELD[np.minimum(lengths[more] - k, 8)]
+            hashes[more] = mix(hashes[more] * np.uint64(0x100000001B3) + part, 32)
+            k += 8
+            more = more[lengths[more] > k]
+    for w in np.flatnonzero(lengths > LONG_WORD):
+        hashes[w] = xxhash.xxh64_intdigest(data[first[w]:first[w] + lengths[w]])
+    return hashes, start
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-case words of the texts, one after the other, and each text's first place."""
     codes, start, known = word_codes(texts)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import let
-from moodspark.llm.common import batches, fresh_names, giving_back, join_unique, measured, mix, partition_sums, whole_text, word_codes
+from moodspark.llm.common import batches, fresh_names, giving_back, join_unique, measured, mix, partition_sums, whole_text, word_keys
 from moodspark.plans.session import cut_lineage
 
 THRESHOLD = 0.8
@@ -50,8 +50,8 @@ def word_counts(docs: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     def count(batch):
         total = np.zeros(counters)
         for part in batches([batch], BATCH_BYTES):
-            codes, _, known = word_codes(part["text"])
-            total += np.bincount((known % np.uint64(counters)).astype(np.int64), np.bincount(codes, minlength=len(known)), counters)
+            keys, _ = word_keys(part["text"])
+            total += np.bincount((keys % np.uint64(counters)).astype(np.int64), minlength=counters)
         return total
 
     return partition_sums(_texts(docs).select("text"), counters, count, np.float32).astype(np.float32)
@@ -62,6 +62,13 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def _codes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A code for every word of the lines, one after the other, each line's first place, and hashes by code."""
+    keys, start = word_keys(lines)
+    coded = pc.dictionary_encode(pa.array(keys))
+    return coded.indices.to_numpy().astype(np.int64), start, coded.dictionary.to_numpy()
+
+
 def _rarest_first(known: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The order by count, then by hash: one sort of numbers made of both, unless words share such a number."""
     keys = often.view(np.uint32).astype(np.uint64) << np.uint64(32) | known >> np.uint64(32)
@@ -72,7 +79,7 @@ def _rarest_first(known: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 def _sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the different words of each line, rarest first, how often each occurs, and each line's first place."""
-    codes, start, known = word_codes(lines)
+    codes, start, known = _codes(lines)
     n = len(start) - 1
     often = counts[(known % np.uint64(len(counts))).astype(np.int64)]
     by_rank = _rarest_first(known, often)
@@ -295,10 +302,14 @@ def _candidates(threshold: float, reports: int | None):
         if parts:
             every = np.concatenate(parts)
             del parts
-            cols = {c: np.ascontiguousarray(every[c]) for c in _ENTRY.names}
-            del every
-            order = np.argsort(cols["word"])
-            yield from groups({c: v[order] for c, v in cols.items()})
+            word = np.ascontiguousarray(every["word"])
+            order = np.argsort(word)
+            word = word[order]
+            # Most words are those of one line; the rest of such an entry is not looked at.
+            same = np.r_[False, word[1:] == word[:-1], False]
+            every = every[order[same[1:] | same[:-1]]]
+            del word, order, same
+            yield from groups({c: np.ascontiguousarray(every[c]) for c in _ENTRY.names})
 
     return run
 
@@ -361,7 +372,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             sought = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy(zero_copy_only=False)) * base
             sought = sought + np.minimum(asked.flatten().to_numpy(zero_copy_only=False), base - 1)
             keep = np.flatnonzero(np.isin(owner * base + number, sought))
-            codes, start, known = word_codes(lines.take(pa.array(keep)))
+            codes, start, known = _codes(lines.take(pa.array(keep)))
             keys = np.repeat(np.arange(len(keep)), np.diff(start)) * max(1, len(known)) + codes
             keys = np.unique(keys)
             first = np.searchsorted(keys, np.arange(len(keep) + 1) * max(1, len(known))).astype(np.int32)
@@ -437,7 +448,9 @@ def without_lines(docs: DataFrame, repeated: DataFrame) -> tuple[DataFrame, str,
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
         F.when(F.col(gone).isNull(), whole_text()).otherwise(left).alias("text"),
-        F.size(lines).alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).alias(n_taken),
+        # Counted without splitting, which only texts that lose lines need.
+        (F.octet_length(whole_text()) - F.octet_length(F.replace(whole_text(), F.lit("\n"), F.lit(""))) + 1).alias(n_lines),
+        F.coalesce(F.size(gone), F.lit(0)).alias(n_taken),
     ), n_lines, n_taken
 
 

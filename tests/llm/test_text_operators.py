@@ -206,3 +206,30 @@ def test_word_order_is_that_of_counts_then_hashes():
     for often in ([2, 2, 1, 1, 5], [0, 3, 9, 8, 1]):
         often = np.array(often, np.float32)
         assert line_dedup._rarest_first(known, often).tolist() == np.lexsort((known, often)).tolist()
+
+
+def test_word_keys_tell_the_words_apart_that_word_codes_does():
+    every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    texts = [f"Word{c}word" for c in every]
+    texts += [None, "", " ", "\u3000", "\u00a0a\u2003 b\u3000", "a", "a\0", "a\0\0", "\0", "Ü ü", "\u0660\u2028\u3001", "x\u0085", "e", "\u20ac \u00e9"]
+    texts += [f"{'y' * k} {'y' * k}z z{'y' * k}" for k in (7, 8, 9, 15, 16, 17, 255, 256, 257, 300, 5000)]
+    for part in (pa.array(texts), pa.array(texts, pa.large_string()).slice(5), pa.array(texts[-11:])):
+        codes, start, known = common.word_codes(part)
+        keys, first = common.word_keys(part)
+        assert first.tolist() == start.tolist()
+        # As many different words, and as many pairs of a word's code and key.
+        assert len(np.unique(keys)) == len(np.unique(codes)) == len({*zip(codes.tolist(), keys.tolist())})
+    for empty in (pa.array([], pa.string()), pa.array([None, "", "\n"], pa.string())):
+        keys, first = common.word_keys(empty)
+        assert not len(keys) and first.tolist() == [0] * (len(empty) + 1)
+    many = pa.array([f"w{k} {k}-long-word-{k}" for k in range(200_000)])
+    assert len(np.unique(common.word_keys(many)[0])) == 400_000
+
+
+def test_lines_are_counted_without_splitting_texts(spark):
+    texts = [None, "", "\n", "a", "a\n", "\na\r\nb\n\n", "\u3000\u2028b\nc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, n_lines, _ = line_dedup.without_lines(docs, spark.createDataFrame([(5, 1)], "doc_id long, line int"))
+    assert {r["doc_id"]: r[n_lines] for r in found.collect()} == {k: len((t or "").split("\n")) for k, t in enumerate(texts)}
+    plan = found.select(n_lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
