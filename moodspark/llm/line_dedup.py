@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moodspark.functions.text import let
-from moodspark.llm.common import batches, fresh_names, giving_back, join_unique, measured, mix, partition_sums, whole_text, word_keys
+from moodspark.llm.common import batches, fresh_names, giving_back, measured, mix, partition_sums, whole_text, word_keys
 from moodspark.plans.session import cut_lineage
 
 THRESHOLD = 0.8
@@ -26,8 +26,8 @@ REPORTS = 6
 LONG = 64
 # Lines' words that one task puts in order.
 TASK_WORDS = 300_000
-# Bytes of text that a task looks at together; fewer take less memory and more time.
-BATCH_BYTES = 4 << 20
+# Bytes of text that a task looks at together: as much as stays in the processor's cache with all that is made of it.
+BATCH_BYTES = 1 << 20
 # Words whose list is sent to all tasks.
 MOST_WORDS = 500_000
 
@@ -62,13 +62,6 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _codes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A code for every word of the lines, one after the other, each line's first place, and hashes by code."""
-    keys, start = word_keys(lines)
-    coded = pc.dictionary_encode(pa.array(keys))
-    return coded.indices.to_numpy().astype(np.int64), start, coded.dictionary.to_numpy()
-
-
 def _rarest_first(known: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The order by count, then by hash: one sort of numbers made of both, unless words share such a number."""
     keys = often.view(np.uint32).astype(np.uint64) << np.uint64(32) | known >> np.uint64(32)
@@ -77,64 +70,78 @@ def _rarest_first(known: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.lexsort((known, often)) if (keys[1:] == keys[:-1]).any() else order
 
 
-def _sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the different words of each line, rarest first, how often each occurs, and each line's first place."""
-    codes, start, known = _codes(lines)
+def _sets(lines: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words of each line, rarest first, and each line's first place.
+
+    Counts that differ by less than a percent may pass for equal; such words go by their hash, in all lines alike.
+    """
+    keys, start = word_keys(lines)
     n = len(start) - 1
-    often = counts[(known % np.uint64(len(counts))).astype(np.int64)]
-    by_rank = _rarest_first(known, often)
-    rank = np.empty(len(known), np.int64)
-    rank[by_rank] = np.arange(len(known))
-    size = max(1, len(known))
-    # One sort puts the words of each line in order and brings repeats together.
-    keys = np.repeat(np.arange(n), np.diff(start)) * size + rank[codes]
-    keys.sort()
-    keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
-    which = by_rank[keys % size]
-    return known[which], often[which], np.searchsorted(keys, np.arange(n + 1) * size)
+    rare = counts[(keys % np.uint64(len(counts))).astype(np.int64)].view(np.uint32) >> np.uint32(15)
+    line = np.repeat(np.arange(n, dtype=np.uint64), np.diff(start))
+    # Numbers of the line, 16 bits of the word's count and as many bits of its hash as there is room for.
+    room = np.uint64(48 - n.bit_length())
+    above = room + np.uint64(16)
+    mixed = line << above | rare.astype(np.uint64) << room | keys >> (np.uint64(64) - room)
+    order = np.argsort(mixed)
+    mixed, words = mixed.take(order), keys.take(order)
+    repeated = words[1:] == words[:-1]
+    if ((mixed[1:] == mixed[:-1]) & ~repeated).any():
+        # Different words with one number: put in order by the whole hash.
+        order = _rarest_first(keys, (rare << np.uint32(15)).view(np.float32))
+        order = order[np.argsort(line[order], kind="stable")]
+        mixed, words = line[order] << above, keys[order]
+        repeated = words[1:] == words[:-1]
+    keep = np.ones(len(words), bool)
+    keep[1:] = ~repeated | (mixed[1:] >> above != mixed[:-1] >> above)
+    keep = np.flatnonzero(keep)
+    return words.take(keep), np.searchsorted(mixed.take(keep), np.arange(n + 1, dtype=np.uint64) << above)
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int, cell_lines: int = CELL_LINES) -> DataFrame:
-    """doc_id, line, n, k1, k2, bits, bits2, prefix of every line with enough different words.
+    """doc_id, line, k1, k2, held of every line with enough different words.
 
-    k1 and k2 are a hash of the set; `bits`, and `bits2` for long lines, have the parity of the number of words for
-    each class of words, so they differ in no more bits than two sets differ in words. The prefix has a hash for each of its words, or several
-    for one that very many lines have: a cell for each pair of parts that the line's part is in.
+    k1 and k2 are a hash of the set. `held` has n, bits, bits2 and the prefix, eight bytes for each number. `bits`, and
+    `bits2` for long lines, have the parity of the number of words for each class of words, so they differ in no more
+    bits than two sets differ in words. The prefix has a hash for each of its words, or several for one that very many
+    lines have: a cell for each pair of parts that the line's part is in.
     """
     table = docs.sparkSession.sparkContext.broadcast(counts)
-    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()),
-                      ("bits", pa.int64()), ("bits2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("held", pa.binary())])
 
     def sets_of(batch):
         lines, owner, number = _lines(batch["text"])
-        words, often, start = _sets(lines, table.value)
+        words, start = _sets(lines, table.value)
         n = np.diff(start)
         keep = np.flatnonzero(n >= least)
         if not len(keep):
             return None
-        sums = [np.r_[np.uint64(0), np.cumsum(mix(words, s), dtype=np.uint64)] for s in (5, 6)]
+        sums = [np.r_[np.uint64(0), np.cumsum(values, dtype=np.uint64)] for values in (words, mix(words, 5))]
         with np.errstate(over="ignore"):
             k1, k2 = ((s[start[1:]] - s[start[:-1]])[keep] for s in sums)
-        drawn = mix(words, 7)
-        flags = np.uint64(1) << (drawn & np.uint64(63))
-        high = (drawn & np.uint64(64)) > 0
-        halves = [np.where(high == h, flags, np.uint64(0)) for h in (False, True)]
-        low, top = (_parity(half, start)[keep] for half in halves)
+        # The words' classes are bits of their hashes.
+        flags = np.uint64(1) << (words >> np.uint64(58))
+        bits, bits2 = _parity(flags, start)[keep], np.zeros(len(keep), np.uint64)
         long = n[keep] > LONG
-        bits, bits2 = np.where(long, low, low ^ top), np.where(long, top, np.uint64(0))
+        if long.any():
+            top = _parity(np.where(words & np.uint64(1 << 57), flags, np.uint64(0)), start)[keep]
+            bits, bits2 = np.where(long, bits ^ top, bits), np.where(long, top, np.uint64(0))
         # A line so short that one word more is too much matches equal sets only, which need no prefix.
         p = np.where(n[keep] >= threshold * (n[keep] + 1) - 1e-9, prefix_length(n[keep], threshold), 0)
         first = np.r_[0, np.cumsum(p)]
         at = np.arange(first[-1]) - np.repeat(first[:-1], p) + np.repeat(start[:-1][keep], p)
-        prefix, common = words[at], often[at] > cell_lines
-        lengths = p
-        if common.any():
-            prefix, lengths = _cells(prefix, np.ceil(often[at] / cell_lines).astype(np.int64), np.repeat(k1, p), p)
-        offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+        prefix, lengths = words[at], p
+        often = table.value[(prefix % np.uint64(len(table.value))).astype(np.int64)]
+        if (often > cell_lines).any():
+            prefix, lengths = _cells(prefix, np.ceil(often / cell_lines).astype(np.int64), np.repeat(k1, p), p)
+        held, begin = np.empty(len(prefix) + 3 * len(keep), np.uint64), np.cumsum(lengths + 3) - lengths - 3
+        plain = np.ones(len(held), bool)
+        for k, values in enumerate((n[keep], bits, bits2)):
+            held[begin + k], plain[begin + k] = values, False
+        held[plain] = prefix
         return pa.RecordBatch.from_arrays(
-            [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)),
-             pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(bits.view(np.int64)),
-             pa.array(bits2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix.view(np.int64)))], schema=kind,
+            [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)), pa.array(k1.view(np.int64)),
+             pa.array(k2.view(np.int64)), _packed(held, lengths + 3)], schema=kind,
         )
 
     def run(rows):
@@ -143,7 +150,32 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float, least: int,
             if (made := sets_of(batch)) is not None:
                 yield made
 
-    return _texts(docs).mapInArrow(giving_back(run), "doc_id long, line int, n int, k1 long, k2 long, bits long, bits2 long, prefix array<long>")
+    return _texts(docs).mapInArrow(giving_back(run), "doc_id long, line int, k1 long, k2 long, held binary")
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Numbers of one type as strings of bytes, so many in each."""
+    ends = np.r_[0, np.cumsum(lengths)] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(blobs: pa.Array, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all strings of bytes, one after the other, and how many each has."""
+    blobs = blobs.cast(pa.large_binary())
+    ends = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset:blobs.offset + len(blobs) + 1] if len(blobs) else np.zeros(1, int)
+    held = blobs.buffers()[2]
+    values = np.frombuffer(held[int(ends[0]):int(ends[-1])], kind) if held is not None else np.zeros(0, kind)
+    return values, np.diff(ends) // values.itemsize
+
+
+def _lines_held(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, bits and bits2 of each line, all prefixes one after the other, and how many words each has."""
+    held, lengths = _unpacked(blobs, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    plain = np.ones(len(held), bool)
+    for k in range(3):
+        plain[begin + k] = False
+    return np.stack([held[begin + k] for k in range(3)]), held[plain], lengths - 3
 
 
 def _parity(flags: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -164,16 +196,6 @@ def _cells(prefix: np.ndarray, parts: np.ndarray, key: np.ndarray, p: np.ndarray
     return cells, totals[ends] - totals[ends - p]
 
 
-def _long_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray, threshold: float) -> np.ndarray:
-    """Length and position filters; neither loses a pair, over all the words that the two prefixes share.
-
-    The two arrays of places are of one shape, or a column and a row; so they are below.
-    """
-    n1, n2 = cols["n"][late], cols["n"][early]
-    left = np.minimum(n1 - cols["pos"][late], n2 - cols["pos"][early])
-    return (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9) & ((1 + threshold) * left >= threshold * (n1 + n2) - 1e-9)
-
-
 def _apart(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarray) -> np.ndarray:
     """In how many bits parities differ; two sets differ in at least as many words."""
     low = cols["bits"][late] ^ cols["bits"][early]
@@ -188,60 +210,76 @@ def _alike_enough(cols: dict[str, np.ndarray], late: np.ndarray, early: np.ndarr
     return (1 + threshold) * _apart(cols, late, early) <= (1 - threshold) * (cols["n"][late] + cols["n"][early]) + 1e-9
 
 
-def _small_groups(cols, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a line and an earlier one; `first` is where each line's word begins. Lines of a word are in no order."""
-    here = np.arange(len(first))
-    many = here - first
-    late, early = [], []
+def _reach(cols: dict[str, np.ndarray], threshold: float) -> np.ndarray:
+    """Filter by length and position: the most words that a line may have to match each line by its word, over all the
+    words that their prefixes share. It holds both ways, so the longer line of a pair has at least the word's length."""
+    return np.floor((1 + threshold) / threshold * (cols["n"] - cols["pos"]) + 1e-6).astype(np.int64) - cols["n"]
+
+
+def _key(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A number that sorts by word, then by length; words that are one in these bits are one group, which loses nothing."""
+    return word & ~_LENGTHS | np.clip(n, 0, int(_LENGTHS)).astype(np.uint64)
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where each word begins."""
+    word = key & ~_LENGTHS
+    return np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+
+
+def _pairs_within(cols, who: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float):
+    """Pairs of each line of `who` with those from `low` up to `high`, that pass all filters."""
+    many = np.maximum(high - low, 0)
     total = np.r_[0, np.cumsum(many)]
-    low = 0
-    while low < len(here):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + 400_000, "right")) - 1)
-        i = np.repeat(here[low:high], many[low:high])
-        j = np.arange(len(i)) - np.repeat(total[low:high] - total[low], many[low:high]) + first[i]
-        for test in (_long_enough, _alike_enough):
-            ok = test(cols, i, j, threshold)
+    reach, n, at = cols["reach"], cols["n"], 0
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while at < len(who):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + 400_000, "right")) - 1)
+        i = np.repeat(who[at:to], many[at:to])
+        j = np.arange(len(i)) + np.repeat(low[at:to] - total[at:to] + total[at], many[at:to])
+        for test in (lambda i, j: (n[j] <= reach[i]) & (n[i] <= reach[j]), lambda i, j: _alike_enough(cols, i, j, threshold)):
+            ok = test(i, j)
             i, j = i[ok], j[ok]
-        doc, line = cols["doc_id"], cols["line"]
-        swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
-        late.append(np.where(swap, j, i))
-        early.append(np.where(swap, i, j))
-        low = high
-    return np.concatenate(late), np.concatenate(early)
+        left.append(i)
+        right.append(j)
+        at = to
+    return np.concatenate(left), np.concatenate(right)
+
 
+def _small_groups(cols, who: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a line and an earlier one; lines are in order of word and length, and each is tried with the next ones."""
+    i, j = _pairs_within(cols, who, who + 1, high, threshold)
+    doc, line = cols["doc_id"], cols["line"]
+    swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
+    return np.where(swap, j, i), np.where(swap, i, j)
 
-def _large_groups(cols, first: np.ndarray, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for words of many lines, which are in order of document and line.
+
+def _large_groups(cols, first: np.ndarray, high: np.ndarray, threshold: float, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for words of which lines have many others of a like length; `first` is where each line's word begins.
 
     Each line is tried with the first ones of its word, and only if these fail with all earlier ones. Also says for
     each line whether earlier ones were left untried; with `every` all are tried.
     """
-    here = np.arange(len(first))
+    by_place = np.lexsort((cols["line"], cols["doc_id"], first))
+    place = np.empty(len(first), np.int64)
+    place[by_place] = np.arange(len(first))
     late, early = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     untried = np.zeros(len(first), bool)
-
-    def test(i, j):
-        for filter_ in (_long_enough, _alike_enough):
-            ok = filter_(cols, i, j, threshold)
-            i, j = i[ok], j[ok]
-        late.append(i)
-        early.append(j)
-        return i
-
-    heads = 0 if every else HEADS
-    for h in range(heads):
-        i = here[cols["probe"] & (here - first > h)]
-        untried[test(i, first[i] + h)] = True
-    rest = np.flatnonzero(cols["probe"] & ~untried & (here - first > heads))
-    many = rest - first[rest] - heads
-    total = np.r_[0, np.cumsum(many)]
-    low = 0
-    while low < len(rest):
-        high = max(low + 1, int(np.searchsorted(total, total[low] + 400_000, "right")) - 1)
-        i = np.repeat(rest[low:high], many[low:high])
-        test(i, np.arange(len(i)) - np.repeat(total[low:high] - total[low], many[low:high]) + first[i] + heads)
-        low = high
-    late, early = np.concatenate(late), np.concatenate(early)
+    n, reach = cols["n"], cols["reach"]
+    for h in range(0 if every else HEADS):
+        i = np.flatnonzero(cols["probe"] & (place - first > h))
+        j = by_place[first[i] + h]
+        ok = (n[j] <= reach[i]) & (n[i] <= reach[j])
+        i, j = i[ok], j[ok]
+        ok = _alike_enough(cols, i, j, threshold)
+        late.append(i[ok])
+        early.append(j[ok])
+        untried[i[ok]] = True
+    rest = np.flatnonzero(cols["probe"] & ~untried)
+    low = np.searchsorted(cols["key"], _key(cols["key"][rest], np.ceil(threshold * n[rest] - 1e-6)))
+    i, j = _pairs_within(cols, rest, low, high[rest], threshold)
+    ok = place[j] < place[i]
+    late, early = np.concatenate([*late, i[ok]]), np.concatenate([*early, j[ok]])
     order = np.argsort(late, kind="stable")
     return late[order], early[order], untried
 
@@ -277,46 +315,105 @@ def _candidates(threshold: float, reports: int | None):
         )
 
     def groups(cols):
-        word = cols["word"]
-        edges = np.flatnonzero(np.r_[True, word[1:] != word[:-1], True])
-        sizes = np.diff(edges)
-        small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-        if small.any():
-            part = {c: v[small] for c, v in cols.items()}
-            w = part["word"]
-            heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            first = np.repeat(heads, np.diff(np.r_[heads, len(w)]))
-            yield from found(part, *_small_groups(part, first, threshold))
-        large = np.repeat(sizes > SMALL, sizes)
+        key = cols["key"]
+        heads = _heads(key)
+        sizes = np.diff(np.r_[heads, len(key)])
+        cols["reach"] = _reach(cols, threshold)
+        here = np.arange(len(key))
+        high = np.maximum(np.searchsorted(key, _key(key, cols["reach"]), "right"), here + 1)
+        # Pairs of a line and the next ones that it may match, for each word.
+        many = np.add.reduceat(high - here - 1, heads)
+        large = np.repeat(2 * many > SMALL * sizes, sizes)
+        small = np.flatnonzero(~large)
+        if len(small):
+            yield from found(cols, *_small_groups(cols, small, high[small], threshold))
         if large.any():
             order = np.flatnonzero(large)
-            order = order[np.lexsort((cols["line"][order], cols["doc_id"][order], word[order]))]
+            moved = np.cumsum(large) - 1
             part = {c: v[order] for c, v in cols.items()}
-            w = part["word"]
-            heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            first = np.repeat(heads, np.diff(np.r_[heads, len(w)]))
-            yield from found(part, *_large_groups(part, first, threshold, reports is None))
+            yield from found(part, *_large_groups(part, moved[np.repeat(heads, sizes)[order]], moved[high[order] - 1] + 1, threshold, reports is None))
 
     def run(rows):
-        parts = [np.frombuffer(blob.as_buffer(), _ENTRY) for batch in rows for blob in batch["entries"]]
-        if parts:
-            every = np.concatenate(parts)
-            del parts
-            word = np.ascontiguousarray(every["word"])
-            order = np.argsort(word)
-            word = word[order]
+        every = np.frombuffer(b"".join(_unpacked(batch["entries"], np.uint8)[0] for batch in rows), _ENTRY)
+        if len(every):
+            key = np.ascontiguousarray(every["key"])
+            order = np.argsort(key)
+            key = key[order]
             # Most words are those of one line; the rest of such an entry is not looked at.
-            same = np.r_[False, word[1:] == word[:-1], False]
-            every = every[order[same[1:] | same[:-1]]]
-            del word, order, same
-            yield from groups({c: np.ascontiguousarray(every[c]) for c in _ENTRY.names})
+            alone = np.r_[_heads(key), len(key)]
+            alone = alone[:-1][np.diff(alone) == 1]
+            every = every.take(np.delete(order, alone))
+            del key, order, alone
+            if len(every):
+                yield from groups({c: np.ascontiguousarray(every[c]) for c in _ENTRY.names})
 
     return run
 
 
 _PAIR = "doc_id long, line int, doc_id2 long, line2 int, apart int, more boolean"
+# A line's set, and whether it is a copy for sure.
+_SET = np.dtype([("k1", "i8"), ("k2", "i8"), ("doc_id", "i8"), ("line", "i4"), ("copy", "?")])
+# Bits of a word's key that give way to the line's number of words, or the most that they hold.
+_LENGTHS = np.uint64((1 << 12) - 1)
 # A word of a line's prefix: the line, its number of words, the word's place among them, parities, whether it is asked for.
-_ENTRY = np.dtype([("word", "u8"), ("doc_id", "i8"), ("bits", "u8"), ("bits2", "u8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("probe", "?")])
+_ENTRY = np.dtype([("key", "u8"), ("doc_id", "i8"), ("bits", "u8"), ("bits2", "u8"), ("line", "i4"), ("n", "i4"), ("pos", "i4"), ("probe", "?")])
+
+
+def _dealt(entries: np.ndarray, drawn: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """The entries, packed by the block that the numbers drawn for them deal them to."""
+    block = (drawn % np.uint64(blocks)).astype(np.uint32)
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, int)
+    return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]].astype(np.int32)), _packed(entries.take(order), np.diff(edges))], ["block", "entries"])
+
+
+def _later(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries by set, document and line, where each set begins, and which are not at the set's first place."""
+    entries = entries.take(np.lexsort([entries[c] for c in ("line", "doc_id", "k2", "k1")]))
+    k1, k2, doc, line = (np.ascontiguousarray(entries[c]) for c in ("k1", "k2", "doc_id", "line"))
+    heads = np.ones(len(entries), bool)
+    heads[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    first = np.flatnonzero(heads)
+    first = np.repeat(first, np.diff(np.r_[first, len(entries)]))
+    return entries, heads, (doc != doc[first]) | (line != line[first])
+
+
+def _copies(lines: DataFrame, rows: int) -> DataFrame:
+    """doc_id, line of every line whose set an earlier line has; some come twice.
+
+    Sets are dealt to tasks by hash. Of a set only the first line of each batch needs to go there, as the others are
+    later than that one; so one that very many lines have fills no task.
+    """
+    parts = max(1, -(-rows // TASK_WORDS))
+    blocks = 4 * parts
+
+    def spread(rows):
+        for batch in rows:
+            out = np.zeros(batch.num_rows, _SET)
+            for c in ("k1", "k2", "doc_id", "line"):
+                out[c] = batch[c].to_numpy(zero_copy_only=False)
+            out, heads, out["copy"] = _later(out)
+            out = out.take(np.flatnonzero(heads | out["copy"]))
+            # What is a copy for sure may go anywhere.
+            drawn = np.where(out["copy"], mix(out["doc_id"]) + out["line"].astype(np.uint64), out["k1"].view(np.uint64))
+            yield _dealt(out, mix(drawn, 12), blocks)
+
+    def found(rows):
+        every = np.frombuffer(b"".join(_unpacked(batch["entries"], np.uint8)[0] for batch in rows), _SET)
+        sure = np.flatnonzero(every["copy"])
+        order = np.flatnonzero(~every["copy"])
+        order = order[np.argsort(every["k1"][order])]
+        k1 = every["k1"][order]
+        # Most sets are those of one line.
+        same = np.r_[False, k1[1:] == k1[:-1], False][:len(k1) + 1]
+        some, _, later = _later(every.take(order[same[1:] | same[:-1]]))
+        for copies in (every.take(sure), some.take(np.flatnonzero(later))):
+            if len(copies):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(copies[c])) for c in ("doc_id", "line")], ["doc_id", "line"])
+
+    packed = lines.select("k1", "k2", "doc_id", "line").mapInArrow(giving_back(spread), "block int, entries binary")
+    return packed.repartition(parts, "block").mapInArrow(giving_back(found), "doc_id long, line int")
 
 
 def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, words: np.ndarray | None = None) -> DataFrame:
@@ -329,29 +426,23 @@ def _pairs(lines: DataFrame, rows: int, threshold: float, reports: int | None, w
 
     def spread(rows):
         for batch in rows:
-            prefix = batch["prefix"]
-            n = pc.list_value_length(prefix).to_numpy(zero_copy_only=False)
+            numbers, prefix, n = _lines_held(batch["held"])
+            size = numbers[0].astype(np.int64)
             owner = np.repeat(np.arange(len(n)), n)
             out = np.empty(len(owner), _ENTRY)
-            out["word"] = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             # With cells in a prefix its places are unknown, and 0 keeps the filter by position from dropping anything.
-            plain = n == prefix_length(batch["n"].to_numpy(zero_copy_only=False).astype(np.int64), threshold)
+            plain = n == prefix_length(size, threshold)
             out["pos"] = np.where(plain[owner], np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), 0)
-            for c in ("doc_id", "line", "n", "bits", "bits2", "probe"):
-                values = batch[c].to_numpy(zero_copy_only=False)
-                out[c] = (values.view(np.uint64) if c.startswith("bits") else values)[owner]
+            for c, values in zip(("n", "bits", "bits2"), (size, *numbers[1:])):
+                out[c] = values.take(owner)
+            for c in ("doc_id", "line", "probe"):
+                out[c] = batch[c].to_numpy(zero_copy_only=False).take(owner)
+            out["key"] = _key(prefix, size.take(owner))
             if words is not None:
-                out = out[np.isin(out["word"], words)]
-            block = (mix(out["word"], 11) % np.uint64(blocks)).astype(np.int32)
-            order = np.argsort(block, kind="stable")
-            out, block = out[order], block[order]
-            edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, int)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[edges[:-1]]), pa.array([out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())],
-                ["block", "entries"],
-            )
+                out = out.take(np.flatnonzero(np.isin(prefix, words)))
+            yield _dealt(out, mix(out["key"] & ~_LENGTHS, 11), blocks)
 
-    packed = lines.select("doc_id", "line", "n", "bits", "bits2", "prefix", "probe").mapInArrow(giving_back(spread), "block int, entries binary")
+    packed = lines.select("doc_id", "line", "held", "probe").mapInArrow(giving_back(spread), "block int, entries binary")
     found = packed.repartition(parts, "block").mapInArrow(giving_back(_candidates(threshold, reports)), _PAIR)
     return cut_lineage(found.groupBy("doc_id", "line", "doc_id2", "line2").agg(F.min("apart").alias("apart"), F.max("more").alias("more")))
 
@@ -363,6 +454,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """
     ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("doc_id2").alias("doc_id"), F.col("line2").alias("line")))
     wanted = cut_lineage(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
+    one = np.ones(1, np.float32)  # the order of words does not matter here
 
     def run(rows):
         for batch in batches(rows, BATCH_BYTES):
@@ -372,14 +464,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             sought = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy(zero_copy_only=False)) * base
             sought = sought + np.minimum(asked.flatten().to_numpy(zero_copy_only=False), base - 1)
             keep = np.flatnonzero(np.isin(owner * base + number, sought))
-            codes, start, known = _codes(lines.take(pa.array(keep)))
-            keys = np.repeat(np.arange(len(keep)), np.diff(start)) * max(1, len(known)) + codes
-            keys = np.unique(keys)
-            first = np.searchsorted(keys, np.arange(len(keep) + 1) * max(1, len(known))).astype(np.int32)
-            words = known[keys % max(1, len(known))].view(np.int64)
+            words, first = _sets(lines.take(pa.array(keep)), one)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(owner[keep])), pa.array(number[keep].astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(first), pa.array(words))], ["doc_id", "line", "words"],
+                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int64)))], ["doc_id", "line", "words"],
             )
 
     texts = _texts(docs).join(measured(wanted, F.size("lines") * 4 + 24), "doc_id")
@@ -391,6 +479,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return matched.unionByName(_similar(rest, words, threshold))
 
 
+def _words(rows):
+    """The different words of each batch's prefixes."""
+    for batch in rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_lines_held(batch["held"])[1]).view(np.int64))], ["word"])
+
+
 def _similar(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
     other = words.select(F.col("doc_id").alias("doc_id2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(words, ["doc_id", "line"]).join(other, ["doc_id2", "line2"])
@@ -407,25 +501,19 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = E
     """
     counts = word_counts(docs)
     lines = cut_lineage(line_sets(docs, counts, threshold, least, cell_lines))
-    sets = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("rows"))
-    often = cut_lineage(sets.where("rows > 1").select(
-        F.concat_ws(":", "k1", "k2").alias("key"), F.col("first.doc_id").alias("doc_id0"), F.col("first.line").alias("line0"), "rows"
-    ))
-    named = lines.select("doc_id", "line", F.concat_ws(":", "k1", "k2").alias("key"))
-    few = measured(often, 80)
-    copies = join_unique(named, often, "key", "rows", "doc_id", "inner") if few is often else named.join(few, "key")
-    copies = cut_lineage(copies.where("doc_id <> doc_id0 OR line <> line0").select("doc_id", "line").distinct())
+    total = lines.agg(F.count("*").alias("lines"), F.sum(F.octet_length("held")).alias("bytes")).first()
+    copies = cut_lineage(_copies(lines, total["lines"]))
 
     # One line for each set goes on.
     reps = lines.join(measured(copies, 16), ["doc_id", "line"], "left_anti")
-    rows = lines.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    rows = (total["bytes"] or 0) // 8 - 3 * total["lines"]
     pairs = _pairs(reps.withColumn("probe", F.lit(True)), rows, threshold, REPORTS)
     matched = cut_lineage(_verified(docs, pairs, threshold))
     open_ = cut_lineage(pairs.where("more").select("doc_id", "line").distinct().join(matched, ["doc_id", "line"], "left_anti"))
     if not open_.isEmpty():
         asked = measured(open_.withColumn("probe", F.lit(True)), 16)
         marked = reps.join(asked, ["doc_id", "line"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        sought = marked.where("probe").select(F.explode("prefix").alias("word")).distinct()
+        sought = reps.join(asked, ["doc_id", "line"]).select("held").mapInArrow(_words, "word long").distinct()
         # Other words' lines are left out, if a list of the words is small enough to go to all tasks.
         words = [r["word"] for r in sought.limit(MOST_WORDS + 1).collect()]
         few = np.array(words, np.int64).view(np.uint64) if len(words) <= MOST_WORDS else None

@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from moodspark.llm import chat, decontamination, fingerprints, line_dedup, ngram_join
+from moodspark.llm import chat, common, decontamination, fingerprints, line_dedup, ngram_join
 from moodspark.llm.components import components
 from moodspark.llm.queries import LLM_QUERIES
 
@@ -252,3 +254,82 @@ def test_only_maximal_chats_stay(spark):
             (4, "<|user|>\nt0\n<|assistant|>\nt1\n<|user|>\nt2\n<|assistant|>\nelse\n")]
         assert {(r["conv_id"], r["n_turns"], r["copies"]) for r in found} == {(2, 5, 2), (4, 4, 1), (6, 1, 1)}
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_words_of_a_line_are_one_each_and_rarest_first():
+    lines = ["b a b", "", "c c", " x\ty x ", None, "a b c"]
+    # One counter for all words; then as many as there are hashes, so that those differ.
+    for counts in (np.ones(1, np.float32), np.arange(1, 4098, dtype=np.float32)):
+        words, start = line_dedup._sets(pa.array(lines), counts)
+        order = {}
+        for k, line in enumerate(lines):
+            keys, _ = common.word_keys(pa.array([line], pa.string()))
+            found = words[start[k]:start[k + 1]]
+            assert sorted(found.tolist()) == sorted({*keys.tolist()})
+            rare = counts[(found % np.uint64(len(counts))).astype(int)].view(np.uint32) >> 15
+            order[k] = [*zip(rare.tolist(), found.tolist())]
+            assert order[k] == sorted(order[k])
+
+
+def test_words_that_begin_with_the_same_bits_stay_apart(monkeypatch):
+    keys = np.array([5, 6, 5, 6, 6, 4], np.uint64)
+    monkeypatch.setattr(line_dedup, "word_keys", lambda lines: (keys, np.array([0, 3, 3, 6])))
+    words, start = line_dedup._sets(pa.array(["", "", ""]), np.ones(1, np.float32))
+    assert words.tolist() == [5, 6, 4, 6] and start.tolist() == [0, 2, 2, 4]
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_copies_of_a_set_are_all_but_its_first_line(spark, batch, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TASK_WORDS", 20)
+    rows = [(d, line, (7 * d + line) % 9, (d * line) % 2) for d in range(-20, 20) for line in range(3)] + [(0, 0, 0, 0), (5, 1, 6, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, line int, k1 long, k2 long").repartition(3)
+    first = {}
+    for d, line, *k in rows:
+        first[*k] = min(first.get((*k,), (d, line)), (d, line))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        copies = line_dedup._copies(df, len(rows))
+        assert {(*r,) for r in copies.collect()} == {(d, line) for d, line, *k in rows if (d, line) != first[*k]}
+        assert not line_dedup._copies(df.limit(0), 0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = copies._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("small, reports", [(48, 6), (0, 6), (0, None), (48, None)])
+def test_lines_of_a_word_are_tried_with_those_of_a_like_length_only(small, reports, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SMALL", small)
+    tried = []
+    find = line_dedup._pairs_within
+
+    def counted(cols, who, low, high, threshold):
+        tried.append(np.maximum(high - low, 0).sum())
+        return find(cols, who, low, high, threshold)
+
+    monkeypatch.setattr(line_dedup, "_pairs_within", counted)
+    rng = np.random.default_rng(1)
+    entries = np.zeros(3000, line_dedup._ENTRY)
+    n = np.r_[rng.integers(1, 3000, 2980), [4094, 4095, 4096, 5000, 6000] * 4]
+    pos = np.minimum(rng.integers(0, 40, len(n)), n - 1)
+    word = np.where(np.arange(len(n)) % 5 == 0, 1 << 20, 9 << 40).astype(np.uint64)
+    entries["doc_id"], entries["line"], entries["n"], entries["pos"], entries["probe"] = rng.permutation(len(n)), 1, n, pos, True
+    entries["bits"] = rng.integers(0, 2**63, len(n), np.uint64)
+    entries["key"] = line_dedup._key(word, n)
+    batch = pa.RecordBatch.from_arrays([pa.array([entries[:700].tobytes(), entries[700:].tobytes()], pa.binary())], ["entries"])
+    found = [(r["doc_id"], r["doc_id2"]) for b in line_dedup._candidates(0.8, reports)(iter([batch])) for r in b.to_pylist()]
+    i, j = np.triu_indices(len(n), 1)
+    left = np.minimum(n[i] - pos[i], n[j] - pos[j])
+    near = (word[i] == word[j]) & (1.8 * left >= 0.8 * (n[i] + n[j]) - 1e-9)
+    i, j = i[near], j[near]
+    cols = {c: entries[c] for c in entries.dtype.names}
+    alike = line_dedup._alike_enough(cols, i, j, 0.8)
+    doc = entries["doc_id"]
+    wanted = {(max(doc[a], doc[b]), min(doc[a], doc[b])) for a, b in zip(i[alike], j[alike])}
+    assert wanted and set(found) <= wanted
+    if reports is None:
+        assert set(found) == wanted and len(found) == len(wanted)
+    else:
+        assert {late for late, _ in found} == {late for late, _ in wanted}
+    # By far the most pairs of lines of a word have too different lengths.
+    assert sum(tried) < 0.3 * len(n) * (len(n) - 1) / 2
