@@ -7,17 +7,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodspark.llm.common import batches, mix, split_by_crc, string_hashes, whole_text
+from moodspark.llm.common import batches, giving_back, mix, split_by_crc, string_hashes, whole_text
 from moodspark.plans.session import cut_lineage
 
 # Counts c are held as levels 1 + floor(log_BASE c): a level is read by probing 1, 2, ... until one is missing.
 BASE = 1.5
 # Bits set for an n-gram's first level, which says that it was seen at all, and for each further level.
 FIRST_PROBES, MORE_PROBES = 8, 4
-# A filter of up to this many bytes is broadcast; a larger one in as many parts, one after the other.
+# A filter of up to this many bytes is broadcast; a larger one in as many parts, one after the other. Of more text than
+# this no filter is sent: n-grams go to the segments and levels come back.
 FILTER_BYTES = 128 << 20
 # Text that one segment of the n-grams stands for; an n-gram's hash says its segment.
 SEGMENT_BYTES = 16 << 20
@@ -29,6 +30,8 @@ PRIOR = 300.0
 RAISED = 0.1
 BATCH_BYTES = 2 << 20
 BLOB_BYTES = 16 << 20
+# Text whose n-grams are sent to the segments together, each different one once.
+PARCEL_BYTES = 8 << 20
 
 _END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -204,6 +207,16 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], sums
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, and for each of those given its number among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]][:len(keys)]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return ordered[first], number
+
+
 def _blobs(segment: np.ndarray, segments: int, **columns: np.ndarray) -> Iterator[dict]:
     """One row for each segment that occurs, with the columns' numbers of that segment as bytes."""
     order = np.argsort(segment, kind="stable")
@@ -216,6 +229,14 @@ def _blobs(segment: np.ndarray, segments: int, **columns: np.ndarray) -> Iterato
         yield {"segment": s, **{name: values[a:b].tobytes() for name, values in ordered.items()}}
 
 
+def _text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+
+
+def _segments(size: int, segment_bytes: int) -> int:
+    return max(1, -(-size // segment_bytes))
+
+
 _COUNTED = pa.schema([("segment", pa.int64()), ("single", pa.bool_()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -226,8 +247,7 @@ def count_grams(docs: DataFrame, order: int = 2, filter_bytes: int = FILTER_BYTE
     segments follows the bytes of text, so a segment is of one size however large the corpus; a frequent n-gram is one
     row for each batch at most. Tokens are told apart by 64-bit hashes.
     """
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    segments = max(1, -(-size // segment_bytes))
+    segments = _segments(_text_bytes(docs), segment_bytes)
 
     def count(rows):
         for batch in batches(rows, BATCH_BYTES):
@@ -451,6 +471,219 @@ def score_texts(docs: DataFrame, table: CountTable, prior: float = PRIOR) -> Dat
     )
 
 
+def _parcels(docs: DataFrame, parcel_bytes: int) -> DataFrame:
+    """parcel, texts: the rows in parcels of some `parcel_bytes` of text, each a compressed Arrow stream of batches."""
+
+    def run(rows):
+        number, held = TaskContext.get().partitionId() << 32, []  # numbers of parcels, used with the parcels that are written
+
+        def close():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                for batch in held:
+                    stream.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["parcel", "texts"])
+
+        for batch in batches(rows, min(parcel_bytes, BATCH_BYTES)):
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= parcel_bytes:
+                yield close()
+                number, held = number + 1, []
+        if held:
+            yield close()
+
+    return docs.mapInArrow(giving_back(run), "parcel long, texts binary")
+
+
+def _opened(texts: pa.Buffer | bytes, order: int) -> tuple[pa.Table, np.ndarray, dict[bool, np.ndarray]]:
+    """A parcel's rows, the first place of each text, and its single tokens and longer n-grams, one length after the other."""
+    rows = pa.ipc.open_stream(texts).read_all()
+    found = [tokens(batch["text"]) for batch in rows.to_batches()]
+    line = np.concatenate([x for x, _ in found])
+    start = np.r_[0, np.cumsum(np.concatenate([np.diff(x) for _, x in found]))]
+    single, *longer = grams(line, start, order)
+    return rows, start, {True: single, False: np.concatenate([line[:0], *longer])}
+
+
+def _asked(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments of the different keys, in order; the keys' ranks, rising in each segment; each given key's place there.
+
+    What `segment_of` takes the remainder of is the segment and, as the quotient, the rank, so both name the key.
+    """
+    mixed, number = _numbered(mix(keys, 41))
+    rank, segment = np.divmod(mixed, np.uint64(segments))
+    order = np.argsort(segment.astype(np.min_scalar_type(segments)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return segment[order].astype(np.int64), rank[order], place[number]
+
+
+def _key_of(segment: int, rank: np.ndarray, segments: int) -> np.ndarray:
+    """The keys of a segment with these ranks: `mix` taken back."""
+    with np.errstate(over="ignore"):
+        x = rank * np.uint64(segments) + np.uint64(segment)
+        for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+            x = (x ^ (x >> np.uint64(shift)) ^ (x >> np.uint64(2 * shift))) * np.uint64(pow(factor, -1, 2**64))
+        return x - np.uint64(0x9E3779B97F4A7C15 * (2 * 41 + 1) % 2**64)
+
+
+def _steps(rank: np.ndarray) -> bytes:
+    """Rising numbers as the steps between them, first bytes together, so that the empty ones take no room in a shuffle."""
+    return np.diff(rank, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_steps(blob: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _short(counts: np.ndarray) -> bytes:
+    """A byte for each count, behind them those of 255 and more as numbers."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _of_short(blob: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(blob[:n], np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(blob[n:], np.int64)
+    return counts
+
+
+# What a parcel asks a segment: the ranks of its n-grams, and how often they are learnt.
+_ASKED = pa.schema([("parcel", pa.int64()), ("segment", pa.int64()), ("single", pa.bool_()), ("ranks", pa.binary()), ("counts", pa.binary())])
+# What a segment says to a parcel; or, without a parcel, its part in the totals.
+_TOLD = pa.schema([
+    ("parcel", pa.int64()), ("segment", pa.int64()), ("single", pa.bool_()), ("levels", pa.binary()), ("counts", pa.binary()),
+    ("distinct", pa.int64()), ("tokens", pa.int64()), ("end_level", pa.int64()),
+])
+
+
+def _answers(parcels: DataFrame, order: int, segments: int) -> DataFrame:
+    """The rows of _TOLD: each parcel's different n-grams are counted, and looked up in the filter, where their segment is.
+
+    A segment answers with the levels of a parcel's n-grams in the order in which they were asked for, and with the
+    exact counts of single tokens. It holds the n-grams that it is asked for, which are as many however large the corpus.
+    """
+
+    def ask(rows):
+        for batch in rows:
+            for parcel, texts in zip(batch["parcel"].to_pylist(), batch["texts"]):
+                held, start, found = _opened(texts.as_buffer(), order)
+                learnt = np.repeat(held["learnt"].to_numpy(), np.diff(start))
+                for single, keys in found.items():
+                    there = np.flatnonzero(keys)
+                    segment, rank, place = _asked(keys[there], segments)
+                    counts = np.bincount(place, learnt[there % len(learnt)], len(rank)).astype(np.int64)
+                    edges = np.searchsorted(segment, np.arange(segments + 1)).tolist()
+                    yield pa.RecordBatch.from_pylist([
+                        {"parcel": parcel, "segment": k, "single": single, "ranks": _steps(rank[a:b]), "counts": _short(counts[a:b])}
+                        for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b
+                    ], _ASKED)
+
+    def answer(rows):
+        of, held = None, {True: [], False: []}
+
+        def close():
+            kinds, told = {}, []
+            for single, asked in held.items():
+                ranks, number = _numbered(np.concatenate([np.zeros(0, np.uint64), *[x for _, x, _ in asked]]))
+                counts = np.bincount(number, np.concatenate([np.zeros(0, np.int64), *[x for _, _, x in asked]]), len(ranks)).astype(np.int64)
+                kinds[single] = _key_of(of, ranks, segments), counts, number
+            bits = fill_segment(*(np.concatenate([kind[x][kind[1] > 0] for kind in kinds.values()]) for x in (0, 1)))
+            for single, (keys, counts, number) in kinds.items():
+                levels, at = read_segment(bits, keys).astype(np.uint8), 0
+                for parcel, asked, _ in held[single]:
+                    here = number[at:at + len(asked)]
+                    at += len(asked)
+                    told.append({"parcel": parcel, "segment": of, "single": single, "levels": levels[here].tobytes(), "counts": _short(counts[here]) if single else None})
+            end = np.array([_END])
+            told.append({
+                "segment": of, "distinct": int((kinds[True][1] > 0).sum()), "tokens": int(kinds[True][1].sum()),
+                "end_level": int(read_segment(bits, end)[0]) if segment_of(end, segments)[0] == of else 0,
+            })
+            return pa.RecordBatch.from_pylist(told, _TOLD)
+
+        for batch in batches(rows, BLOB_BYTES):
+            for segment, parcel, single, ranks, counts in zip(*(batch[c].to_pylist() for c in ("segment", "parcel", "single", "ranks", "counts"))):
+                if of != segment:
+                    if of is not None:
+                        yield close()
+                    of, held = segment, {True: [], False: []}
+                ranks = _of_steps(ranks)
+                held[single].append((parcel, ranks, _of_short(counts, len(ranks))))
+        if of is not None:
+            yield close()
+
+    asked = parcels.mapInArrow(giving_back(ask), "parcel long, segment long, single boolean, ranks binary, counts binary")
+    return asked.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(
+        giving_back(answer), "parcel long, segment long, single boolean, levels binary, counts binary, distinct long, tokens long, end_level long"
+    )
+
+
+def score_by_segment(
+    docs: DataFrame, learnt: Column, size: int, order: int = 2, segment_bytes: int = SEGMENT_BYTES, parcel_bytes: int = PARCEL_BYTES,
+    prior: float = PRIOR,
+) -> tuple[DataFrame, int]:
+    """What `score_texts` gives with the counts of the rows that are `learnt`, and the number of tokens counted.
+
+    For any amount of text: nothing is broadcast, and texts are read as often however large the filter. `size` is the
+    bytes of text to be learnt from. Texts are written once, in parcels; a parcel's n-grams go to their segments, which
+    hold the same bits as those of `count_grams`, and the levels and counts found there go to the parcel.
+    """
+    segments = _segments(size, segment_bytes)
+    parcels = cut_lineage(_parcels(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), learnt.alias("learnt")), parcel_bytes
+    ))
+    answers = cut_lineage(_answers(parcels, order, segments))
+    total = answers.where("parcel IS NULL").agg(*[f(c).alias(c) for f, c in ((F.sum, "tokens"), (F.sum, "distinct"), (F.max, "end_level"))]).first()
+    model = Smoothed(total["tokens"], total["distinct"], total["end_level"], prior)
+    scale = np.log10(model.tokens + RAISED * (model.distinct + 1))
+
+    def score(rows):
+        def close(texts, told):
+            held, start, found = _opened(texts, order)
+            levels = {}
+            for single, keys in found.items():
+                there = np.flatnonzero(keys)
+                _, rank, place = _asked(keys[there], segments)
+                got = np.frombuffer(b"".join(x for kind, x, _ in told if kind == single), np.uint8)
+                if len(got) != len(rank):
+                    raise ValueError("the answers are not those to the parcel's questions")
+                levels[single] = np.zeros(len(keys), np.uint8)
+                levels[single][there] = got[place]
+                if single:
+                    counts = np.concatenate([_of_short(x, len(y)) for kind, y, x in told if kind])[place]
+            levels = np.concatenate([levels[True], levels[False]]).reshape(order, -1)
+            row = 0
+            for batch in held.to_batches():
+                here = start[row:row + len(batch) + 1]
+                row += len(batch)
+                a, b = here[0], here[-1]
+                here = here - a
+                yield pa.RecordBatch.from_arrays([
+                    batch["doc_id"], pa.array(np.diff(here)), pa.array(_sums((counts[a:b] > 0).astype(np.int64), here)),
+                    pa.array(_sums(np.log10(counts[a:b] + RAISED), here) - np.diff(here) * scale),
+                    pa.array(_sums(model.log10([x[a:b].astype(np.int64) for x in levels], here), here)),
+                ], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        texts, told = None, []
+        for batch in batches(rows, BLOB_BYTES):
+            for given, *answer in zip(*(batch[c].to_pylist() for c in ("texts", "single", "levels", "counts"))):
+                if given is None:
+                    told.append(answer)
+                    continue
+                if texts is not None:
+                    yield from close(texts, told)
+                texts, told = given, []
+        if texts is not None:
+            yield from close(texts, told)
+
+    told = answers.where("parcel IS NOT NULL").select("parcel", "segment", F.lit(None).cast("binary").alias("texts"), "single", "levels", "counts")
+    both = parcels.withColumn("segment", F.lit(None).cast("long")).unionByName(told, allowMissingColumns=True)
+    # Twice as many tasks as parcels, so that few get more than two.
+    scored = both.repartition(2 * parcels.count(), "parcel").sortWithinPartitions("parcel", F.asc_nulls_first("segment"))
+    return scored.mapInArrow(giving_back(score), "doc_id long, n_tokens long, n_known long, base_score double, score double"), model.tokens
+
+
 def score_language(
     docs: DataFrame, order: int = 2, modulus: int = 10, held: int = 0, filter_bytes: int = FILTER_BYTES,
     segment_bytes: int = SEGMENT_BYTES,
@@ -461,9 +694,18 @@ def score_language(
     text has one token, its end. Rows without an id are learnt from, never held out; repeated rows are counted and
     scored each. Other columns are not read. If there is nothing to learn from, every token has the probability 1; an
     empty table gives an empty result.
+
+    The filter of a small corpus is broadcast; of more than `filter_bytes` of text, n-grams are looked up where they were
+    counted (`score_by_segment`), with the same levels.
     """
     held_out = split_by_crc(modulus, held)
-    table = count_grams(docs.where(~held_out).select("text"), order, filter_bytes, segment_bytes)
-    return score_texts(docs, table).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(table.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    train = docs.where(~held_out).select("text")
+    size = _text_bytes(train)
+    if size > filter_bytes:
+        scored, n = score_by_segment(docs, ~held_out, size, order, segment_bytes)
+    else:
+        table = count_grams(train, order, filter_bytes, segment_bytes)
+        scored, n = score_texts(docs, table), table.tokens
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )

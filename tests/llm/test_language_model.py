@@ -168,3 +168,64 @@ def test_a_key_is_hashed_once_a_level_not_once_a_probe(monkeypatch):
     assert sum(mixed) < 1.1 * (len(keys) + 2 * (levels + 1).sum())
     missing = held.levels(plain(np.arange(100_001, 120_001)))
     assert (missing == 0).mean() > 0.98
+
+
+def test_texts_are_written_as_often_however_small_the_parts(spark, small, monkeypatch):
+    """A filter of many parts took a pass over all texts for each."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    written, sent = [], []
+    cut, part = lm.cut_lineage, lm.CountTable.part
+    monkeypatch.setattr(lm, "cut_lineage", lambda df: (written.append(df.columns), cut(df))[1])
+    monkeypatch.setattr(lm.CountTable, "part", lambda table, k: (sent.append(k), part(table, k))[1])
+    table = lm.count_grams(docs, 2, 9_000, 20_000)
+    assert len(table.bounds) > 4
+    for filter_bytes in (30_000, 9_000, 1):
+        written.clear()
+        assert lm.score_language(docs, filter_bytes=filter_bytes, segment_bytes=20_000).count() == docs.count()
+        assert len(written) == 2 and sum("texts" in c or "text" in c for c in written) == 1
+    assert not sent
+
+
+ODD = [
+    (1, None), (2, ""), (3, "a B a"), (3, "a B a"), (None, "a c"), (None, None), (11, "word " * 3000 + "Other"), (14, "a new b"), (25, " "),
+    (26, "x\x1fy  Z "), *[(k, f"a B w{k % 7} w{k} the the end") for k in range(100, 200)],
+]
+
+
+@pytest.mark.parametrize("order, segment_bytes, parcel_bytes", [(1, 1 << 20, 1 << 20), (2, 2_000, 3_000), (3, 1_000, 300), (4, 20_000, 1 << 20)])
+def test_segments_answer_what_the_filter_says(spark, order, segment_bytes, parcel_bytes):
+    """Row for row the scores of the broadcast filter, false hits too; also with more segments than n-grams of a parcel."""
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").repartition(3)
+    learnt = ~lm.split_by_crc(10, 0)
+    train = docs.where(learnt).select("text")
+    table = lm.count_grams(train, order, segment_bytes=segment_bytes)
+    due = lm.score_texts(docs, table).collect()
+    got, n = lm.score_by_segment(docs, learnt, lm._text_bytes(train), order, segment_bytes, parcel_bytes)
+    assert n == table.tokens and got.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+    by_row = [sorted(map(tuple, x), key=lambda r: (str(r[0]), r[1:])) for x in (got.collect(), due)]
+    assert [r[:3] for r in by_row[0]] == [r[:3] for r in by_row[1]]
+    assert np.allclose([r[3:] for r in by_row[0]], [r[3:] for r in by_row[1]], rtol=1e-12, atol=1e-12)
+    rows = [(*r[:1], held(r[0]), *r[1:3], n, *r[3:]) for r in by_row[0]]
+    same(rows, plain(ODD, order), 0.05)
+
+
+def test_parts_of_a_filter_are_still_scored(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 60")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    table = lm.count_grams(docs.where(~lm.split_by_crc(10, 0)), 2, 9_000, 20_000)
+    assert len(table.bounds) > 3
+    got = lm.score_texts(docs, table).collect()
+    same([(r["doc_id"], held(r["doc_id"]), r["n_tokens"], r["n_known"], table.tokens, r["base_score"], r["score"]) for r in got], plain(rows), 0.02)
+
+
+def test_keys_and_counts_come_back_from_what_is_sent():
+    draw = np.random.default_rng(3)
+    keys = np.r_[draw.integers(1, 2**64 - 1, 3000, np.uint64), np.uint64(1), np.uint64(2**64 - 1)]
+    keys = np.r_[keys, keys[:500]]
+    for segments in (1, 3, 70_000):
+        segment, rank, place = lm._asked(keys, segments)
+        assert len(rank) == 3002 and (np.diff(segment) >= 0).all()
+        back = np.concatenate([lm._key_of(s, lm._of_steps(lm._steps(rank[segment == s])), segments) for s in np.unique(segment).tolist()])
+        assert np.array_equal(back[place], keys) and np.array_equal(lm.segment_of(back, segments), segment)
+    for counts in ([], [0, 1, 254, 255, 256, 2**40, 0], [300]):
+        assert lm._of_short(lm._short(np.array(counts, np.int64)), len(counts)).tolist() == counts
