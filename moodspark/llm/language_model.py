@@ -31,7 +31,7 @@ RAISED = 0.1
 BATCH_BYTES = 2 << 20
 BLOB_BYTES = 16 << 20
 # Text whose n-grams are sent to the segments together, each different one once.
-PARCEL_BYTES = 8 << 20
+PARCEL_BYTES = 4 << 20
 
 _END = np.uint64(0x9E3779B97F4A7C15)
 
@@ -569,7 +569,8 @@ def _answers(parcels: DataFrame, order: int, segments: int) -> DataFrame:
             for parcel, texts in zip(batch["parcel"].to_pylist(), batch["texts"]):
                 held, start, found = _opened(texts.as_buffer(), order)
                 learnt = np.repeat(held["learnt"].to_numpy(), np.diff(start))
-                for single, keys in found.items():
+                for single in (True, False):
+                    keys = found.pop(single)
                     there = np.flatnonzero(keys)
                     segment, rank, place = _asked(keys[there], segments)
                     counts = np.bincount(place, learnt[there % len(learnt)], len(rank)).astype(np.int64)
@@ -585,15 +586,15 @@ def _answers(parcels: DataFrame, order: int, segments: int) -> DataFrame:
         def close():
             kinds, told = {}, []
             for single, asked in held.items():
-                ranks, number = _numbered(np.concatenate([np.zeros(0, np.uint64), *[x for _, x, _ in asked]]))
-                counts = np.bincount(number, np.concatenate([np.zeros(0, np.int64), *[x for _, _, x in asked]]), len(ranks)).astype(np.int64)
-                kinds[single] = _key_of(of, ranks, segments), counts, number
+                ranks, number = _numbered(np.concatenate([np.zeros(0, np.uint64), *[_of_steps(x) for _, x, _ in asked]]))
+                counts = np.concatenate([np.zeros(0, np.int64), *[_of_short(x, len(y) // 8) for _, y, x in asked]])
+                kinds[single] = _key_of(of, ranks, segments), np.bincount(number, counts, len(ranks)).astype(np.int64), number
             bits = fill_segment(*(np.concatenate([kind[x][kind[1] > 0] for kind in kinds.values()]) for x in (0, 1)))
             for single, (keys, counts, number) in kinds.items():
                 levels, at = read_segment(bits, keys).astype(np.uint8), 0
-                for parcel, asked, _ in held[single]:
-                    here = number[at:at + len(asked)]
-                    at += len(asked)
+                for parcel, ranks, _ in held[single]:
+                    here = number[at:at + len(ranks) // 8]
+                    at += len(here)
                     told.append({"parcel": parcel, "segment": of, "single": single, "levels": levels[here].tobytes(), "counts": _short(counts[here]) if single else None})
             end = np.array([_END])
             told.append({
@@ -608,8 +609,7 @@ def _answers(parcels: DataFrame, order: int, segments: int) -> DataFrame:
                     if of is not None:
                         yield close()
                     of, held = segment, {True: [], False: []}
-                ranks = _of_steps(ranks)
-                held[single].append((parcel, ranks, _of_short(counts, len(ranks))))
+                held[single].append((parcel, ranks, counts))
         if of is not None:
             yield close()
 
@@ -642,7 +642,8 @@ def score_by_segment(
         def close(texts, told):
             held, start, found = _opened(texts, order)
             levels = {}
-            for single, keys in found.items():
+            for single in (True, False):
+                keys = found.pop(single)
                 there = np.flatnonzero(keys)
                 _, rank, place = _asked(keys[there], segments)
                 got = np.frombuffer(b"".join(x for kind, x, _ in told if kind == single), np.uint8)
